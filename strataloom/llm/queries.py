@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leakage, split, tokenize
+from . import credentials, leakage, split, tokenize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,7 +18,16 @@ def _pieces(s: SparkSession, d: str) -> DataFrame:
     return split.split_pages(pages, ["document_id", "page_number"])
 
 
+def _credentials(s: SparkSession, d: str) -> DataFrame:
+    docs = credentials.found_in_text(_table(s, d, "documents"), "documents", "doc_id", "text")
+    snippets = credentials.found_in_text(_table(s, d, "git_entities"), "git_entities", "record_id", "provenance.source_snippet")
+    variables = credentials.found_in_variables(_table(s, d, "docker_services"), "docker_services", "service_id", "environment_vars")
+    return docs.unionByName(snippets).unionByName(variables)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": _credentials,
+    "p4_redacted": lambda s, d: credentials.redacted(_table(s, d, "documents"), "doc_id", "text"),
     "p6_found": lambda s, d: split.oversized(_table(s, d, "extracted_pages"), ["document_id", "page_number"]),
     "p6_pieces": _pieces,
     "p7_ids": lambda s, d: tokenize.token_ids(_table(s, d, "documents"), tokenize.vocabulary_path(s)),
