@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, leakage, split, tokenize
+from . import credentials, leakage, names, split, tokenize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,6 +28,8 @@ def _credentials(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": _credentials,
     "p4_redacted": lambda s, d: credentials.redacted(_table(s, d, "documents"), "doc_id", "text"),
+    "p5_found": lambda s, d: names.linked_pairs(_table(s, d, "doc_entities")),
+    "p5_groups": lambda s, d: names.groups(_table(s, d, "doc_entities")),
     "p6_found": lambda s, d: split.oversized(_table(s, d, "extracted_pages"), ["document_id", "page_number"]),
     "p6_pieces": _pieces,
     "p7_ids": lambda s, d: tokenize.token_ids(_table(s, d, "documents"), tokenize.vocabulary_path(s)),
