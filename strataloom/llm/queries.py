@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, leakage, names, split, tokenize
+from . import credentials, leakage, names, residue, split, tokenize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": lambda s, d: leakage.leaks(_table(s, d, "documents"), _table(s, d, "benchmark")),
     "p8_documents": lambda s, d: leakage.leaked_documents(_table(s, d, "documents"), _table(s, d, "benchmark")),
     "p8_items": lambda s, d: leakage.leaked_items(_table(s, d, "documents"), _table(s, d, "benchmark")),
+    "p9_found": lambda s, d: residue.residue(_table(s, d, "documents")).select("doc_id"),
+    "p9_kept": lambda s, d: residue.without_residue(_table(s, d, "documents")).select("doc_id", "repository_name", "file_path"),
+    "p9_validation": lambda s, d: residue.validation(_table(s, d, "documents")),
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
