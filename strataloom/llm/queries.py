@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, leakage, names, residue, split, tokenize
+from . import credentials, handwritten, leakage, names, residue, split, tokenize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,9 @@ def _credentials(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": lambda s, d: handwritten.classified(_table(s, d, "documents")).select("doc_id"),
+    "p2_kinds": lambda s, d: handwritten.classified(_table(s, d, "documents")),
+    "p2_handwritten": lambda s, d: handwritten.handwritten(_table(s, d, "documents")).select("doc_id", "repository_name", "file_path"),
     "p4_found": _credentials,
     "p4_redacted": lambda s, d: credentials.redacted(_table(s, d, "documents"), "doc_id", "text"),
     "p5_found": lambda s, d: names.linked_pairs(_table(s, d, "doc_entities")),
