@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, handwritten, leakage, names, residue, split, tokenize
+from . import credentials, handwritten, leakage, names, residue, split, tokenize, validity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,8 @@ def _credentials(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda s, d: validity.checked(_table(s, d, "documents")).where("broken").select("doc_id"),
+    "p1_rates": lambda s, d: validity.rates(_table(s, d, "documents")),
     "p2_found": lambda s, d: handwritten.classified(_table(s, d, "documents")).select("doc_id"),
     "p2_kinds": lambda s, d: handwritten.classified(_table(s, d, "documents")),
     "p2_handwritten": lambda s, d: handwritten.handwritten(_table(s, d, "documents")).select("doc_id", "repository_name", "file_path"),
