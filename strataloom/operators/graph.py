@@ -70,8 +70,9 @@ def ingest_counts(old_v: DataFrame, old_e: DataFrame, new_v: DataFrame, new_e: D
     v = new_v.select("id").distinct().join(old_v.select("id", F.lit(True).alias("known")), "id", "left")
     key = ["src", "label", "dst"]
     e = new_e.where("src <> dst").select(*key).distinct().join(old_e.select(*key, F.lit(True).alias("known")), key, "left")
-    count = lambda d, p: d.agg(F.count_if(F.col("known").isNull()).alias(f"{p}_created"), F.count_if(F.col("known").isNotNull()).alias(f"{p}_existing"))
-    return count(v, "vertices").join(count(e, "edges"))
+    both = v.select(F.lit("v").alias("kind"), "known").unionByName(e.select(F.lit("e").alias("kind"), "known"))
+    n = lambda kind, new: F.count_if((F.col("kind") == kind) & (F.col("known").isNull() if new else F.col("known").isNotNull()))
+    return both.agg(n("v", True).alias("vertices_created"), n("v", False).alias("vertices_existing"), n("e", True).alias("edges_created"), n("e", False).alias("edges_existing"))
 
 
 # -- reads -----------------------------------------------------------------------------------------------------------
