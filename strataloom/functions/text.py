@@ -40,7 +40,7 @@ def tokenize(c: Column | str) -> Column:
 
 def keywords(c: Column | str, stopwords: list[str] | None = None) -> Column:
     """Words of a question that say something, in order, once each."""
-    stop = F.array(*map(F.lit, stopwords or refdata.STOPWORDS))
+    stop = refdata.words(stopwords or refdata.STOPWORDS)
     w = F.split(F.regexp_replace(F.lower(c), r"[^a-zA-Z0-9_\- \t\n\r\f\x0B]", " "), r"[ \t\n\r\f\x0B]+")
     return F.array_distinct(F.filter(w, lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x)))
 
@@ -154,7 +154,7 @@ def intent(c: Column | str) -> Column:
 
 def question_entities(c: Column | str) -> Column:
     """Quoted phrases, camel-case names, capitalised phrases and acronyms of a question, once each."""
-    stop = F.array(*map(F.lit, refdata.STOPWORDS))
+    stop = refdata.words(refdata.STOPWORDS)
     quoted = F.filter(F.transform(F.regexp_extract_all(c, F.lit("[\"']([^\"']+)[\"']"), F.lit(1)), F.trim), lambda x: x != "")
     camel = F.filter(F.regexp_extract_all(c, F.lit(r"\b[A-Z][a-zA-Z0-9]+(?:[A-Z][a-zA-Z0-9]+)+\b"), F.lit(0)), lambda x: F.length(x) > 3)
     phrases = F.regexp_extract_all(c, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0))

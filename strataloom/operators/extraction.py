@@ -7,13 +7,18 @@ are added from a table made beforehand, which equals one search per name."""
 from __future__ import annotations
 
 import re
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gazetteer, refdata, text
 
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 _FOUND = "array<struct<cname:string,name:string,type:string,confidence:double>>"
 
 
@@ -22,29 +27,55 @@ def _word(name: str, java: bool = True) -> str:
     return (r"\b" if re.match(r"\w", name) else "") + re.escape(name).replace(r"\ ", " ") + (r"\b" if re.search(r"\w$", name) else "")
 
 
+def _trie(names: list[str]) -> str:
+    """One pattern for all names that branches by character and prefers the longest."""
+    root: dict = {}
+    for n in names:
+        node = root
+        for c in n:
+            node = node.setdefault(c, {})
+        node[""] = r"(?!\w)" if re.match(r"\w", n[-1]) else ""
+
+    def spell(node: dict) -> str:
+        parts = [re.escape(c) + spell(node[c]) for c in node if c]
+        if "" in node:
+            parts.append(node[""])
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return spell(root)
+
+
 def known_entities(c: Column, names: list[tuple[str, str, list[str]]] | None = None) -> Column:
     """Known names in a text: canonical name, the spelling that is listed first of those found, type, confidence 0.98."""
     names = names or gazetteer.known()
     spelled = [(s, can, kind, (i, j)) for i, (can, kind, other) in enumerate(names) for j, s in enumerate([can, *other])]
-    by_length = sorted({s.lower() for s, *_ in spelled}, key=lambda s: (-len(s), s))
-    pattern = r"(?i)(?<![A-Za-z0-9_])(?=(" + "|".join(_word(s) for s in by_length) + "))"
+    by_length = sorted({s.lower() for s, *_ in spelled})
+    pattern = r"(?<![A-Za-z0-9_])(?=(" + _trie(by_length) + "))"
     inside = {low: sorted({k for k, (s, *_) in enumerate(spelled) if re.search(r"(?<!\w)" + re.escape(s.lower()) + r"(?!\w)", low)}) for low in by_length}
-    hits = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lower))
-    table = F.create_map(*chain(*((F.lit(low), F.array(*map(F.lit, ks))) for low, ks in inside.items())))
-    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(table, h)))))
-    rows = F.array(*[F.struct(F.lit(can).alias("cname"), F.lit(s).alias("name"), F.lit(kind).alias("type"), F.lit(0.98).alias("confidence")) for s, can, kind, _ in spelled])
-    found = F.transform(numbers, lambda k: F.element_at(rows, k + 1))
-    first = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: y["cname"] == x["cname"]))
-    # the alternation runs only once where nothing is found
-    return F.when(F.size(hits) > 0, first).otherwise(F.array().cast(_FOUND))
+    hits = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(1)))
+    table = F.expr("map(" + ", ".join(f"{refdata.quoted(low)}, array({', '.join(map(str, ks))})" for low, ks in inside.items()) + ")")
+    numbers = lambda hits: F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(table, h)))))
+    q = refdata.quoted
+    rows = F.expr("array(" + ", ".join(f"named_struct('cname', {q(can)}, 'name', {q(s)}, 'type', {q(kind)}, 'confidence', 0.98D)" for s, can, kind, _ in spelled) + ")")
+    return let(hits, lambda h: F.when(F.size(h) > 0, _once(F.transform(numbers(h), lambda k: F.element_at(rows, k + 1)))).otherwise(F.array().cast(_FOUND)))
+
+
+def _once(found: Column) -> Column:
+    """The first of each canonical name."""
+    return let(found, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: y["cname"] == x["cname"])))
 
 
 def people(c: Column, first_chunk: Column, stop: frozenset[str] = gazetteer.NOT_NAMES) -> Column:
     """The name that the first line of a document's first chunk is, if it is two or three capitalised words."""
-    line = F.element_at(F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), text.strip), lambda x: x != ""), 1)
-    name = text.title_case(line)
-    ok = first_chunk & F.coalesce(line.rlike(r"^[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){1,2}$"), F.lit(False)) & ~F.upper(name).isin(*stop)
-    return F.when(ok, F.array(F.struct(name.alias("cname"), name.alias("name"), F.lit("Person").alias("type"), F.lit(0.95).alias("confidence")))).otherwise(F.array().cast(_FOUND))
+    stops = refdata.words(sorted(stop))
+    line = F.try_element_at(F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), text.strip), lambda x: x != ""), F.lit(1))
+
+    def person(line: Column) -> Column:
+        name = text.title_case(line)
+        ok = first_chunk & F.coalesce(line.rlike(r"^[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){1,2}$"), F.lit(False)) & ~F.array_contains(stops, F.upper(name))
+        return F.when(ok, F.array(F.struct(name.alias("cname"), name.alias("name"), F.lit("Person").alias("type"), F.lit(0.95).alias("confidence")))).otherwise(F.array().cast(_FOUND))
+
+    return let(line, person)
 
 
 _ORG_TAIL = "Institute|University|College|Corporation|Foundation|Technologies|Solutions|Labs|Company|Group|Department|Center|Centre|of|and|for|in|Information|Technology|Science|Engineering|Research"
@@ -54,15 +85,16 @@ def organisations(c: Column, stop: frozenset[str] = gazetteer.NOT_NAMES) -> Colu
     """Capitalised phrases that end in words of organisations, longer than twelve characters."""
     raw = F.regexp_extract_all(c, F.lit(rf"\b([A-Z][a-zA-Z']+(?:\s+(?:{_ORG_TAIL}))+)\b"), F.lit(1))
     names = F.transform(raw, lambda x: F.regexp_replace(x, r"(?i)^(?:in|for|of|and|with|by|at|from)\s+", ""))
-    stops = F.array(*map(F.lit, sorted(stop)))
+    stops = refdata.words(sorted(stop))
     first = lambda x: F.upper(F.regexp_extract(x, r"^(\S+)", 1))
     ok = lambda x: (F.length(x) > 12) & ~F.array_contains(stops, F.upper(x)) & ~F.array_contains(stops, first(x)) & ~first(x).rlike("PARTICIPAT|EVALUAT|DEVELOP|BUILD|STUDY|USED|PURPOSE")
     return F.transform(F.array_distinct(F.filter(names, ok)), lambda x: F.struct(x.alias("cname"), x.alias("name"), F.lit("Organization").alias("type"), F.lit(0.90).alias("confidence")))
 
 
 def projects(c: Column, stop: frozenset[str] = gazetteer.NOT_NAMES) -> Column:
+    stops = refdata.words(sorted(stop))
     names = F.regexp_extract_all(c, F.lit(r"(?i)(?:Project|Project Name)\s*[:\-]\s*([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){1,4})"), F.lit(1))
-    ok = F.filter(names, lambda x: (F.length(x) > 5) & ~F.upper(x).isin(*stop))
+    ok = F.filter(names, lambda x: (F.length(x) > 5) & ~F.array_contains(stops, F.upper(x)))
     return F.transform(F.array_distinct(ok), lambda x: F.struct(x.alias("cname"), x.alias("name"), F.lit("Project").alias("type"), F.lit(0.85).alias("confidence")))
 
 
@@ -70,8 +102,7 @@ def with_entities(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | N
     """chunks with found: what they name, in order, once per canonical name."""
     t = F.coalesce("text", F.lit(""))
     parts = F.concat(known_entities(t, names), people(t, (F.col("page_number") == 1) & (F.col("chunk_index") == 0)), organisations(t), projects(t))
-    first = F.filter(F.col("__all"), lambda x, i: ~F.exists(F.slice(F.col("__all"), F.lit(1), i), lambda y: y["cname"] == x["cname"]))
-    return chunks.withColumn("__all", parts).withColumn("found", first).drop("__all")
+    return chunks.withColumn("found", _once(parts))
 
 
 def entities(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
@@ -98,14 +129,18 @@ def relationships(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | N
     seg = live.select("document_id", "page_number", "chunk_id", "found", F.explode(segments(F.col("text"))).alias("s"))
     found, s = F.col("found"), F.col("s")
     edge = lambda a, kind, b, w, d: F.struct(a.alias("source_entity"), kind.alias("relationship_type"), b.alias("target_entity"), F.lit(w).alias("weight"), d.alias("description"))
+
+    def stated(kind: str):
+        return lambda a, b: edge(_match(a, found), F.lit(kind), _match(b, found), 1.0, F.concat_ws(" ", _match(a, found), F.lit(kind), _match(b, found)))
+
     lists = []
     for kind, verbs in refdata.PREDICATES.items():
         p = rf"(?i)\b([A-Za-z0-9_\s]{{2,40}}?)\s+(?:{verbs})\s+([A-Za-z0-9_\s]{{2,40}}?)\b"
-        both = F.arrays_zip(F.regexp_extract_all(s, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(s, F.lit(p), F.lit(2)).alias("b"))
-        lists.append(F.transform(both, lambda x, kind=kind: edge(_match(x["a"], found), F.lit(kind), _match(x["b"], found), 1.0, F.concat_ws(" ", _match(x["a"], found), F.lit(kind), _match(x["b"], found)))))
+        lists.append(F.zip_with(F.regexp_extract_all(s, F.lit(p), F.lit(1)), F.regexp_extract_all(s, F.lit(p), F.lit(2)), stated(kind)))
     steps = F.filter(F.transform(F.split(s, r"[→↓]|->"), lambda x: _match(x, found)), lambda x: x.isNotNull())
-    follow = F.arrays_zip(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))).alias("a"), F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))).alias("b"))
-    flow = F.transform(follow, lambda x: edge(x["a"], F.when(x["b"].contains("AGE") & x["a"].contains("Postgre"), "EXTENDS").otherwise("FLOWS_TO"), x["b"], 0.9, F.concat(F.lit("Architecture pipeline step: "), x["a"], F.lit(" to "), x["b"])))
+    rest = F.greatest(F.size(steps) - 1, F.lit(0))
+    step = lambda a, b: edge(a, F.when(b.contains("AGE") & a.contains("Postgre"), "EXTENDS").otherwise("FLOWS_TO"), b, 0.9, F.concat(F.lit("Architecture pipeline step: "), a, F.lit(" to "), b))
+    flow = F.zip_with(F.slice(steps, F.lit(1), rest), F.slice(steps, F.lit(2), rest), step)
     lists.append(F.when(s.rlike("→|->|↓"), flow).otherwise(F.slice(flow, 1, 0)))
     person = F.try_element_at(F.filter(found, lambda e: e["type"] == "Person"), F.lit(1))["cname"]
     said = lambda e: F.lower(s).contains(F.lower(e["cname"]))
