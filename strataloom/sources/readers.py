@@ -220,19 +220,34 @@ def extract(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repository(spark: SparkSession, path: str, excluded: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """(relative_path, language, file_type, is_test_file, size_bytes, line_count, text) of a local repository.
+    """(relative_path, language, file_type, is_test_file, size_bytes, line_count, text) of a repository.
+
+    Hidden directories (but .github), excluded ones and files beyond the size limit are left out. Names and sizes are
+    listed on the driver, for Spark's own listing leaves out empty files and names that begin with _ or a dot; contents
+    are read by the executors, so the path must be one that all of them reach."""
+    from pyarrow import fs
 
-    Hidden directories (but .github), excluded ones and files beyond the size limit are left out before contents are
-    read into the plan's rows."""
     from ..functions import refdata
 
-    root = path.rstrip("/")
-    found = files(spark, root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(re.sub("^[a-z]+:/*", "/", root)) + "/*", "")
-    parts = F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1)
-    skip = refdata.words(excluded or refdata.EXCLUDED_DIRS)
-    ok = ~F.exists(parts, lambda p: F.array_contains(skip, p) | (p.startswith(".") & (p != ".github")))
-    kept = found.where((F.col("size_bytes") <= (most or refdata.MAX_FILE_BYTES)) & ok).select(rel.alias("relative_path"), "size_bytes", formats.decoded(F.col("content")).alias("text"))
+    system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.rstrip("/"))
+    skip, limit = set(excluded or refdata.EXCLUDED_DIRS), most or refdata.MAX_FILE_BYTES
+    listed = []
+    for f in system.get_file_info(fs.FileSelector(root, recursive=True)):
+        rel = f.path[len(root) :].lstrip("/")
+        dirs = rel.split("/")[:-1]
+        if f.type == fs.FileType.File and f.size <= limit and not any(d in skip or (d.startswith(".") and d != ".github") for d in dirs):
+            listed.append((f.path, rel, f.size))
+    names = spark.createDataFrame(listed, "path string, relative_path string, size_bytes long")
+
+    def read(batches):
+        for b in batches:
+            raw = []
+            for p in b.column(0).to_pylist():
+                with system.open_input_stream(p) as f:
+                    raw.append(f.read())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["relative_path", "size_bytes", "content"])
+
+    kept = names.repartition(max(1, min(len(listed) // 500 + 1, 2000))).mapInArrow(read, "relative_path string, size_bytes long, content binary").select("relative_path", "size_bytes", formats.decoded(F.col("content")).alias("text"))
     lang, kind, test = formats.classify("relative_path")
     return kept.select("relative_path", lang.alias("language"), kind.alias("file_type"), test.alias("is_test_file"), "size_bytes", text.line_count("text").alias("line_count"), "text")
 
