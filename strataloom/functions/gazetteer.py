@@ -21,7 +21,6 @@ AtScale: AtScale Semantic Layer
 Cube: Cube.js
 Daana: Daana Platform
 Cypher: openCypher, Cypher Query Language, Cypher Query
-Graphify: Graphify+OKF
 FastAPI: FastAPI Framework
 Streamlit: Streamlit Web UI, Streamlit Dashboard, Streamlit UI, Streamlit Visualization
 Docker: Docker Container
@@ -89,7 +88,6 @@ AI Agents: Autonomous Agents
 
 Organization
 Palantir: Palantir Technologies
-Segmento: Segmento Inc
 LinkedIn: LinkedIn Corp
 Google: Google Cloud
 Microsoft: MSFT

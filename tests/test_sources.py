@@ -100,7 +100,7 @@ def test_extraction(spark):
     assert es["Apache AGE"] == "Technology" and es["Jane Miller"] == "Person" and es["Knowledge Graph"] == "Concept" and es["Apache Software Foundation"] == "Organization"
     rs = {(r.source_entity, r.relationship_type, r.target_entity) for r in extraction.relationships(df).collect()}
     assert {("Jane Miller", "USES", "Python"), ("Jane Miller", "USES", "Docker"), ("PostgreSQL", "EXTENDS", "Apache AGE"), ("Apache AGE", "FLOWS_TO", "Knowledge Graph"), ("Apache AGE", "EXTENDS", "PostgreSQL")} <= rs
-    assert len(gazetteer.known()) == 89
+    assert len(gazetteer.known()) == 87
     schema = spark.createDataFrame([("Book1", "Sheet1", c, k) for c, k in (("ID", "Integer"), ("Name", "String"))], "document_name string, table_name string, column_name string, data_type string")
     a, b = extraction.structural(schema)
     assert a.count() == 5 and b.count() == 4
