@@ -30,9 +30,15 @@ def _named(s: SparkSession, d: str, pattern: str) -> DataFrame:
 
 
 def entities(s: SparkSession, d: str) -> DataFrame:
+    """The part that its SQL can express: dictionary names in documents. all_entities has the whole."""
     return extraction.entities(_chunks(s, d).where("chunk_id like 'file_%'")).where(F.col("confidence") == 0.98).select("chunk_id", F.col("cname").alias("canonical_name"), "type")
 
 
+def all_entities(s: SparkSession, d: str) -> DataFrame:
+    """Entities of every kind in the chunks of all pages and documents, one row per chunk and canonical name."""
+    return extraction.entities(_chunks(s, d)).withColumnRenamed("cname", "canonical_name")
+
+
 def relationships(s: SparkSession, d: str) -> DataFrame:
     return extraction.relationships(_chunks(s, d)).groupBy("source_entity", "relationship_type", "target_entity").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
 
@@ -64,6 +70,7 @@ def created_ends(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "entities": entities,
+    "all_entities": all_entities,
     "entity_counts": entity_counts,
     "relationships": relationships,
     "created_ends": created_ends,

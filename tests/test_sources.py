@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import gazetteer
 from strataloom.operators import code, extraction
-from strataloom.plans import registry
+from strataloom.plans import extraction_queries, registry
 from strataloom.sources import export, readers
 from strataloom.sources.lakehouse import Lakehouse
 
@@ -107,6 +108,33 @@ def test_extraction(spark):
     assert extraction.entities(df.limit(0)).count() == 0
 
 
+def brute_entities(first: bool, text: str) -> set[tuple[str, str]]:
+    """(canonical name, type) by one search per known name and plain loops over lines and matches."""
+    known = {(can, kind) for can, kind, other in gazetteer.known() for n in [can, *other] if re.search(r"(?<![a-z0-9_])" + re.escape(n.lower()) + (r"(?!\w)" if n[-1].isalnum() else ""), text.lower())}
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    people = {(lines[0].title(), "Person")} if first and lines and re.fullmatch(r"[A-Z][a-zA-Z]+(\s+[A-Z][a-zA-Z]+){1,2}", lines[0]) and lines[0].upper() not in gazetteer.NOT_NAMES else set()
+    orgs = {(m[1], "Organization") for m in re.finditer(rf"\b([A-Z][a-zA-Z']+(?:\s+(?:{extraction._ORG_TAIL}))+)\b", text) if len(m[1]) > 12 and m[1].split()[0].upper() not in gazetteer.NOT_NAMES}
+    projects = {(m[1], "Project") for m in re.finditer(r"(?i)(?:Project|Project Name)\s*[:\-]\s*([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){1,4})", text) if len(m[1]) > 5 and m[1].upper() not in gazetteer.NOT_NAMES}
+    out: dict[str, str] = {}
+    for name, kind in [*known, *people, *orgs, *projects]:
+        out.setdefault(name, kind)
+    return set(out.items())
+
+
+def test_all_entities_against_brute_force(spark, tmp_path):
+    docs = [(1, "Jane Miller\nDocker and Python at Rivertown University, kept by Hill Technologies."), (2, None), (3, ""), (4, "plain words only"), (5, "Project: Quiet Harbor\nuses PostgreSQL; postgres again")]
+    pages = [("a", "a.pdf", 1, "Omar Stone Reed\nLakeside Institute of Technology runs Apache AGE"), ("a", "a.pdf", 2, "Second Page\nProject: Amber Gate\nKubernetes"), ("a", "a.pdf", 2, "Second Page\nProject: Amber Gate\nKubernetes"), ("b", "b.pdf", 1, None), ("b", "b.pdf", 2, "Streamlit. " * 120 + "Northern Foundation for Science")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "document_id string, document_name string, page_number int, text string").write.parquet(f"{tmp_path}/extracted_pages.parquet")
+    got = registry.queries()["all_entities"](spark, str(tmp_path))
+    chunks = extraction_queries._chunks(spark, str(tmp_path)).collect()
+    want = {(c.chunk_id, *e) for c in chunks for e in brute_entities(c.page_number == 1 and c.chunk_index == 0, c.text or "")}
+    rows = got.collect()
+    assert {(r.chunk_id, r.canonical_name, r.type) for r in rows} == want and len(rows) == len(want)
+    assert {r.type for r in rows} >= {"Person", "Organization", "Project", "Technology"} and {r.chunk_id.startswith("file_") for r in rows} == {True, False}
+    assert len({r.chunk_id for r in rows if r.document_id == "b"}) >= 2
+
+
 PY = "import os\nfrom fastapi import FastAPI\nimport psycopg2\n\nclass A(Base):\n    def m(self, x):\n        return helper(x)\n\n@app.post('/login')\nasync def login(q):\n    return helper(q)\n\ndef helper(z):\n    pass\n"
 JS = "import x, { y as z } from 'mod';\nconst q = require('r');\nexport class K extends L {}\nexport async function f() {}\nconst g = (a) => a;\nrouter.get('/items', f);\n"
 
