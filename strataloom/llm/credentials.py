@@ -47,18 +47,23 @@ TOKENS = (
     r"dapi[a-f0-9]{32}",
     r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{10,}",
 )
-# What the automaton looks for, in lower case.
+#: What a key is of, where its name says that it is secret.
+_KEY_OF = "api access secret private signing signature signatur encryption salt master auth service licence license shared account jwt".split()
+# What the automaton looks for, in lower case; every name that secret_name() takes holds one of them.
 ANCHORS = (
     "akia asia abia acca ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- npm_ xoxa- xoxb- xoxe- xoxo- xoxp- xoxr- xoxs- xapp- sk_live_ sk_test_ rk_live_ rk_test_ sk- whsec_ doo_v1_ dop_v1_ dor_v1_ aiza ya29. sg. hf_ "
     "pypi- shpat_ shpca_ shppa_ shpss_ sq0atp- sq0csp- dckr_pat_ lin_api_ hvs. nrak- pmak- dapi eyj :// bearer basic passw passphrase passwort pwd contrase contrasen mot_de_passe motdepasse senha kennwort secret "
-    "token api_key apikey api-key accesskey access_key access-key accountkey account_key private_key privatekey private-key signing credential auth salt_key saltkey encryption_key encryptionkey master_key masterkey "
-    "licence_key license_key _pass _pw pw pass login"
-).split()
+    "token signing cred auth _pass _pw pw pass login psk pin"
+).split() + [f"{of}{mark}key" for of in _KEY_OF for mark in ("", "_", "-", ".", "__", " ")]
+#: Anchors that count only where they are a word of a name by themselves, as secret_name() takes them.
+_WHOLE = frozenset("psk pin".split())
 #: Parts of a name that say that its value is secret.
 SECRET_NAME = re.compile(
     r"passw(?:or[dt]|d)?|passwd|passphrase|pwd|contrase(?:n|ñ|ni)a|contrasena|motdepasse|senha|kennwort|secrets?|tokens?|apikeys?|accesskey|accountkey|sharedkey|privatekey|secretkey|signingkey|signing|signature?key|saltkey|encryptionkey|masterkey|licen[cs]ekey|servicekey|authkey|credentials?|creds?"
 )
 _SHORT_NAMES = frozenset("pw pass auth psk pin".split())
+#: Words that hold a mark of a secret by chance.
+_CHANCE = re.compile("massacred|sacred|accredit|credit|credib|credul|credence")
 #: Last words of names that only speak of a secret.
 _ABOUT = frozenset(
     "file path dir folder label field policy ttl name names length len count max min type kind expiry expires expiration hint placeholder prompt regex pattern header param column env var variable url uri endpoint enabled required size limit span index "
@@ -101,10 +106,8 @@ def secret_name(name: str) -> bool:
     parts = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ɏ]+|\d+", name)]
     if not parts or parts[-1] in _ABOUT or (len(parts) > 1 and parts[-1].isdigit() and parts[-2] in _ABOUT):
         return False
-    flat = "".join(parts)
-    if "tokenspan" in flat:
-        flat = flat.replace("tokenspan", "")
-    return bool(SECRET_NAME.search(flat)) or any(p in _SHORT_NAMES for p in parts) or (parts[-1] == "key" and len(parts) > 1 and parts[-2] in ("api", "access", "secret", "private", "signing", "encryption", "salt", "master", "auth", "service", "licence", "license", "shared", "account", "jwt"))
+    flat = "".join(_CHANCE.sub("", p) for p in parts).replace("tokenspan", "")
+    return bool(SECRET_NAME.search(flat)) or any(p in _SHORT_NAMES for p in parts) or (parts[-1] == "key" and len(parts) > 1 and parts[-2] in _KEY_OF)
 
 
 def literal(value: str) -> bool:
@@ -140,8 +143,8 @@ def mixed(token: str) -> bool:
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for i, w in enumerate(ANCHORS):
-        a.add_word(w, (i, len(w)))
+    for w in ANCHORS:
+        a.add_word(w, (w in _WHOLE, len(w)))
     a.make_automaton()
     return a
 
@@ -155,8 +158,10 @@ def _windows(text: str) -> list[tuple[int, int]]:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: list[tuple[int, int]] = []
-    for last, (_, size) in automaton().iter(low):
+    for last, (whole, size) in automaton().iter(low):
         first = last - size + 1
+        if whole and (text[last + 1 : last + 2].islower() or text[first].islower() and text[first - 1 : first].isalpha()):
+            continue
         if out and out[-1][0] + 1024 <= first < out[-1][1] - 1024 or out and first < out[-1][1] and "\n" in text[last : out[-1][1] + 1]:
             continue
         a = text.rfind("\n", max(0, first - WIDTH), first) + 1 or max(0, first - WIDTH)

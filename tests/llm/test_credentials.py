@@ -61,3 +61,23 @@ def test_tables(spark):
     m = spark.createDataFrame([(7, {"API_KEY": "t1XXjcAoT5bTEgEqdgcd6XbQ", "MODE": "strict", "N": None}), (8, None), (9, {})], "service_id long, environment_vars map<string,string>")
     assert [tuple(r) for r in C.found_in_variables(m, "docker_services", "service_id", "environment_vars").collect()] == [("docker_services", 7, "API_KEY")]
     assert C.found_in_text(df.limit(0), "documents", "doc_id", "text").count() == 0
+
+
+def test_every_secret_name_has_a_window():
+    words = "password passwort passwd passphrase pwd contrasena contraseña contrasenia motdepasse senha kennwort secret secrets token tokens signing credential credentials cred creds pw pass auth psk pin".split()
+    keys = [f"{of}{mark}key" for of in C._KEY_OF for mark in ("_", "-", ".", "__")] + [f"{of}Key" for of in C._KEY_OF]
+    flat = [f"{of}key{s}" for of in "api access account shared private secret signing signature signatur salt encryption master licence license service auth".split() for s in ("", "s")]
+    names = [form for n in words + keys + flat for form in (n, n.upper(), f"wifi_{n}", f"WIFI_{n.upper()}", f"db{n[0].upper()}{n[1:]}", f"{n}_2")]
+    accepted = [n for n in names if C.secret_name(n)]
+    assert len(accepted) > 0.9 * len(names) and all(C.secret_name(n) for n in (*words, *keys))
+    assert [n for n in accepted if not C._windows(f'x = 1\n{n} = "Harbor#render9535pC"')] == []
+
+
+@pytest.mark.parametrize("text", ['WIFI_PSK="Harbor#render9535pC"', 'DB_CREDS: "Harbor#render9535pC"', "licenseKey = 'Harbor#render9535pC'", 'shared_key: "Harbor#render9535pC"', "# API key is Harbor#render9535pC", 'userPin = "Harbor#render9535pC"', 'master-key: "Harbor#render9535pC"'])
+def test_names_without_other_anchor(text):
+    assert C.lines(text) == [1] and "Harbor#" not in C.redact(text)
+
+
+@pytest.mark.parametrize("text", ['mapping = "Harbor#render9535pC"', 'credits = "Harbor#render9535pC"', 'sacredText = "Harbor#render9535pC"', 'spin = "Harbor#render9535pC"'])
+def test_chance_words(text):
+    assert C.spans(text) == []
