@@ -85,14 +85,21 @@ _BASIC = re.compile(r"(?i)\bbasic\s+([A-Za-z0-9+/_\-]{8,}={0,2})")
 _ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\\[nrt]|\s|[\"'`+,;|\\]|\#|//|--(?!-)|\*|(?:Proc-Type|DEK-Info|Version|Comment)[^\n]*|[A-Za-z0-9+/=])*")
 _NAMED = re.compile(
-    r"(?P<name>[A-Za-z_À-ɏ][\w.\-À-ɏ]*)(?P<mid>[\"']?\]?\s*(?::\s*[A-Za-z_][\w<>\[\]| ]{0,30}?)?\s*(?::=|=>|=(?!=)|:)\s*|[\"']\s*,\s*|\s+(?=[\"']))(?P<mark>[rbfu]?(?:\"\"\"|'''|[\"'`]))(?P<value>(?:(?!(?P=q1))[^\n\\]|\\.)*)"
+    r"(?P<name>[A-Za-z_À-ɏ][\w.\-À-ɏ]*)(?P<mid>[\"']?\]?\s*(?::[^\S\n]*[A-Za-z_][\w<>\[\]| ]{0,30}?)?(?:\s|\\\r?\n)*(?::=|=>|=(?!=)|:)(?:[\s(]|\\\r?\n)*|[\"'][^\S\n]*,[^\S\n]*|[^\S\n]+(?=[\"']))(?P<mark>[rbfu]?(?:\"\"\"|'''|[\"'`]))(?P<value>(?:(?!(?P=q1))[^\n\\]|\\(?:.|\r?\n))*)"
     .replace("(?P=q1)", r"[\"'`]")
 )
 _BARE = re.compile(r"^[^\S\n]*(?:(?:#|//|--|;|-)\s*)?(?:(?P<lead>export|ENV|ARG|set|setx|SET|declare -x)\s+)?(?P<name>[A-Za-z_][\w.\-]*)(?:=|:[^\S\n]+|[^\S\n]+=[^\S\n]*)(?P<value>[^\s\"'`,;(){}\[\]]+)[^\S\n]*(?:\\|#.*)?$", re.M)
 _XML = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<value>[^<>\s]+)</")
 _OPTION = re.compile(r"--?(?P<name>[a-z][a-z\-]*)[= ](?P<value>[^\s\"'`$]+)")
 _PROSE = re.compile(r"(?i)\b(?:password|passwd|passwort|passphrase|pwd|pw|pass|login|credentials?|kennwort|contrase\S{1,3}a|mot de passe|secret|token|api key)\b[^\n\"'`=]{0,60}?(?:[:/]|\b(?:is|was|ist|war|es|est|are|now)\b)[^\S\n]*(?P<value>[^\s\"'`<>(),]{8,})[^\S\n]*(?:-->|\*/|\.)?[^\S\n]*$", re.M)
-_SECOND_PART = re.compile(r"[\"'`]\s*(?:\+|\.|\.\.|&|\|\|)?\s*(?:\\\n)?\s*[\"'`]")
+#: From one part of a literal to the next: quotes with an operator or blanks between, over line ends too.
+_SECOND_PART = re.compile(r"[\"'`]\s*(?:\\\r?\n\s*)?(?P<op>\+|\.\.|\.|&(?:[^\S\n]*_(?=\r?\n))?|\|\|)?\s*(?:\\\r?\n\s*)?(?:(?<=[\s+])[rbfuRBFU](?=[\"'`]))?[\"'`]")
+_PART = re.compile(r"(?:[^\"'`\n\\]|\\(?:.|\r?\n))*(?=[\"'`])")
+_LINE_MARK = re.compile(r"\\\r?\n[^\S\n]*")
+#: What stands in a joined literal besides its parts.
+_SEAM = re.compile(f"({_SECOND_PART.pattern.replace('?P<op>', '?:')}|{_LINE_MARK.pattern})")
+#: Blank lines, operators and brackets from a line's end to a quote.
+_TO_QUOTE = re.compile(r"\s*(?P<op>(?:(?:[=+.&|:(]|\\(?=\r?\n))\s*)*)[rbfuRBFU]?[\"'`]")
 
 
 class Span(NamedTuple):
@@ -152,8 +159,30 @@ def automaton() -> ahocorasick.Automaton:
 WIDTH = 4096
 
 
+def _goes_on(text: str, z: int, most: int) -> int:
+    """The end of the line at z, or of a later one if a literal is still to come or goes on there."""
+    while z < most and text[z : z + 1] == "\n":
+        k = z - 1
+        while k >= 0 and text[k] in " \t\r":
+            k -= 1
+        if k < 0 or text[k] == "\n":
+            break
+        if text[k] == "\\":
+            at = z + 1
+        elif (m := _TO_QUOTE.match(text, z)) and (text[k] in "=:(+.&|_\"'`" or m.group("op")[:1] in tuple("=+.&|:")):
+            at = m.end()
+        else:
+            break
+        z = text.find("\n", at, most)
+        if z < 0:
+            return min(len(text), most)
+    return z
+
+
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around the automaton's hits: whole lines where they are short, overlapping cuts of long ones."""
+    """Stretches of text around the automaton's hits: whole lines where they are short, overlapping cuts of long ones.
+
+    A line whose literal begins or goes on below takes the lines that hold it."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -162,13 +191,13 @@ def _windows(text: str) -> list[tuple[int, int]]:
         first = last - size + 1
         if whole and (text[last + 1 : last + 2].islower() or text[first].islower() and text[first - 1 : first].isalpha()):
             continue
-        if out and out[-1][0] + 1024 <= first < out[-1][1] - 1024 or out and first < out[-1][1] and "\n" in text[last : out[-1][1] + 1]:
+        if out and out[-1][0] + 1024 <= first < out[-1][1] - 1024 or out and first < out[-1][1] and text[out[-1][1] : out[-1][1] + 1] == "\n":
             continue
         a = text.rfind("\n", max(0, first - WIDTH), first) + 1 or max(0, first - WIDTH)
         z = text.find("\n", last, last + WIDTH)
         if a < first - WIDTH + 1 and first > WIDTH and text[a - 1] != "\n":
             a = first - WIDTH
-        z = min(len(text), last + WIDTH) if z < 0 else z
+        z = min(len(text), last + WIDTH) if z < 0 else _goes_on(text, z, last + WIDTH)
         if not out or out[-1] != (a, z):
             out.append((a, z))
     return out
@@ -188,6 +217,22 @@ def _keys(text: str) -> list[Span]:
     return out
 
 
+def _joined(w: str, m: re.Match) -> tuple[str, int]:
+    """A named literal with the parts that code joins to it, and where the last one ends."""
+    value, end, mid = _LINE_MARK.sub("", m.group("value")), m.end("value"), m.group("mid")
+    alone = literal(value)
+    while value and len(m.group("mark").lstrip("rbfu")) == 1 and (n := _SECOND_PART.match(w, end)) and (part := _PART.match(w, n.end())) and part.group():
+        if not n.group("op"):
+            blank = n.group()[1:-1]
+            if blank and alone and not ("(" in mid or re.search(r"\s[:=]|[:=]>?\s", mid)):
+                break  # another word of a command
+            if "\n" in blank and "(" not in mid and "\\" not in blank and re.match(r"[\"'`]\s*[:=]", w[part.end() :]):
+                break  # a quoted name in the next line
+        value += _LINE_MARK.sub("", part.group())
+        end = part.end()
+    return value, end
+
+
 def _in_window(w: str) -> list[Span]:
     out = [Span(m.start(), m.end(), "token") for m in _TOKEN.finditer(w) if "EXAMPLE" not in m.group() and len(set(m.group())) >= 8]
     if "://" in w:
@@ -207,14 +252,18 @@ def _in_window(w: str) -> list[Span]:
         if colon and plain.isprintable() and len(password) >= 4 and not _PLACEHOLDER.match(password) and not _REFERENCE.match(password):
             out.append(Span(m.start(1), m.end(1), "authorization"))
     for m in _NAMED.finditer(w):
-        if secret_name(m.group("name")) and literal(m.group("value")):
-            if "(" in m.group("mid") or m.group("value").endswith(("(", "=")) and len(m.group("value")) < 12:
-                continue
-            out.append(Span(m.start("value"), m.end("value"), "literal"))
-        elif m.group("value") and secret_name(m.group("name")) and (n := _SECOND_PART.match(w, m.end("value"))):  # parts joined in code
-            rest = re.match(r"[^\"'`\n]*", w[n.end() :]).group()
-            if literal(m.group("value") + rest):
-                out.append(Span(m.start("value"), n.end() + len(rest), "literal"))
+        if not secret_name(m.group("name")):
+            continue
+        value, mid, end = m.group("value"), m.group("mid"), m.end("value")
+        whole, stop = _joined(w, m)
+        if not (literal(_LINE_MARK.sub("", value)) or stop > end and literal(whole)):
+            continue
+        if value.endswith(("(", "=")) and len(value) < 12 and stop == end:
+            continue
+        after = re.match(r"[\"'`]\s*([:=,]?)", w[stop:])
+        if after and (after.group(1) == "," and "(" in mid or after.group(1) in (":", "=") and "\n" in mid):
+            continue  # one of several values, or a name below
+        out.append(Span(m.start("value"), stop, "literal"))
     for m in _BARE.finditer(w):
         v = m.group("value")
         if secret_name(m.group("name")) and literal(v) and (m.group("lead") or m.group("name").isupper() or not re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", v) or strong(v)):
@@ -261,8 +310,8 @@ def redact(text: str | None) -> str | None:
         value = text[s.start : s.end]
         if s.kind == "private_key":
             value = re.sub(r"(-----BEGIN [A-Z0-9 ]+-----)(.*?)(-----END|$)", lambda m: m[1] + re.sub(r"(?<!\\)[A-Za-z0-9+/=]{8,}", "REDACTED", m[2].replace("\\n", "\\n\0")).replace("\0", "") + m[3], value, flags=re.S)
-        elif "\n" not in value and _SECOND_PART.search(value):
-            value = re.sub(r"[^\"'`+\s.&|]+", "REDACTED", value)
+        elif s.kind == "literal" and _SEAM.search(value):
+            value = "".join(p if k % 2 or not p else "REDACTED" for k, p in enumerate(_SEAM.split(value)))
         else:
             value = "REDACTED"
         text = text[: s.start] + value + text[s.end :]

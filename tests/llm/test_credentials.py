@@ -81,3 +81,39 @@ def test_names_without_other_anchor(text):
 @pytest.mark.parametrize("text", ['mapping = "Harbor#render9535pC"', 'credits = "Harbor#render9535pC"', 'sacredText = "Harbor#render9535pC"', 'spin = "Harbor#render9535pC"'])
 def test_chance_words(text):
     assert C.spans(text) == []
+
+
+@pytest.mark.parametrize(
+    "text,line",
+    [
+        ('password =\n    "Harbor#render9535pC"\nx = 1\n', 2),
+        ('password = \\\n    "Harbor#render9535pC"\n', 2),
+        ('String password\n    = "Harbor#render9535pC";\n', 2),
+        ('password = "Harbor" +\n    "render9535pC"\n', 1),
+        ('password = "Harbor#1x" \\\n    "render9535pC"\n', 1),
+        ('password = ("Harbor#1x" "render9535pC")\n', 1),
+        ('password = (\n    "Harbor#1x"\n    "render9535pC"\n)\n', 2),
+        ('char *password = "Harbor#1x"\r\n    "render9535pC";\r\n', 1),
+        ('password = "Harbor#1x"\n    + "render.9535" +\n    "pC81"\n', 1),
+        ('password = "Harbor#1x\\\nrender9535pC"\n', 1),
+        ('{"password":\n  "Harbor#render9535pC"}', 2),
+    ],
+)
+def test_literals_over_lines(text, line):
+    assert C.lines(text) == [line]
+    clean = C.redact(text)
+    assert C.lines(clean) == [] and clean.count("\n") == text.count("\n")
+    assert not any(p in clean for p in ("Harbor", "render", "9535", "pC"))
+    if text.startswith(("password = \\", "password = (", 'password = "Harbor#1x" \\', 'password = "Harbor#1x\\')):
+        ast.parse(clean)
+
+
+@pytest.mark.parametrize("text", ['secrets:\n  "db-main-1": {"file": "x"}\n', 'if token:\n    "see the notes of it"\n', 'TOKENS = ("name-of-1", "name-of-2")\n', 'secret:\n  name: "my-secret-1"\n', '# needs a token\n"db-main-1"\n'])
+def test_lines_below_that_are_no_values(text):
+    assert C.spans(text) == []
+
+
+def test_only_the_literal_goes():
+    assert C.redact('password = "Harbor#1x"\n"other-key-1" = "y"\n') == 'password = "REDACTED"\n"other-key-1" = "y"\n'
+    assert C.redact('run --token="Harbor#1x9" "https://db.example/a"') == 'run --token="REDACTED" "https://db.example/a"'
+    assert C.redact('password = \"\"\"Harbor#1x9\"\"\"\nx = "b"') == 'password = \"\"\"REDACTED\"\"\"\nx = "b"'
