@@ -4,7 +4,9 @@ Lines are weakly labelled by response statuses and phrases: residue, mere skelet
 content of their own. Documents that are nearly all residue, or hold none, are the weak labels of a regularised linear
 classifier over hashed n-grams, features of length, of the title and of the shares of the lines. It is fitted on a
 bounded sample (SAMPLE rows at most, chosen by a hash of the id) and applied to every document; its worth is measured on
-repositories that it hasn't seen. A document counts if the classifier says so and an exact check finds residue in it.
+repositories that it hasn't seen. A second classifier of the same sample knows only words, pairs of words, size and
+title, and scores every document: one that it is sure of counts whatever the phrases say. Where its score is doubtful, a
+document counts if an exact check finds residue in it and the first classifier agrees.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 SAMPLE, BITS, PENALTY, ROUNDS = 12_000, 15, 2e-4, 60
 #: Residue's share of what a document holds besides its skeleton, at least (the exact check).
 LEAST_SHARE = 0.33
+#: Score of words alone from which a document counts without the exact check; of the sample's negatives, one in so many teaches words.
+SURE, THIN = 0.8, 4
 
 # Words of the usual filler text.
 FILLER = frozenset(
@@ -106,10 +110,10 @@ def _residue_kind(part: str, families: int) -> str | None:
         words = [w for w in _NOT_WORD.split(part.lower()) if w]
         if len(words) >= 4 and sum(w in FILLER for w in words) >= 0.7 * len(words) and not re.search(r"[=(]\s*[\"'`]", part):
             return "filler"
-    if size < 240:
+    if families & 6:
         if families & 4 and (m := SCRIPTS.search(part)) and (m.end() - m.start()) * 4 >= size - 8 and not re.search(r"[=(){};]\s*[\"'`]|[\"'`]\s*[:;),]", part):
             return "scripts"
-        if families & 2 and ERRORS.search(part) and _error_line(part):
+        if families & 2 and ERRORS.search(part) and (size < 240 or len(_NOT_WORD.sub("", part)) >= 0.5 * size) and _error_line(part):
             return "error"
     return None
 
@@ -167,6 +171,25 @@ def features(text: str, found: tuple[int, int, int, set[str]] | None = None) ->
     return np.array(sorted({zlib.crc32(n.encode()) & mask for n in names}), np.int32)
 
 
+@lru_cache(maxsize=1 << 17)
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode())
+
+
+def grams(text: str) -> np.ndarray:
+    """Indices of hashed words, pairs of words, size and title, whatever the phrases say of the text."""
+    words = np.fromiter(map(_hash, _WORD.findall(text.lower())), np.uint32)
+    names = [f"size:{int(np.log2(len(text) + 1))}", f"lines:{int(np.log2(text.count(chr(10)) + 1))}"]
+    title = re.search(r"<title>([^<]*)|^#+ (.*)$|^(.+)$", text, re.M)
+    if title:
+        names += [f"title:{w}" for w in _WORD.findall(next(g for g in title.groups() if g is not None).lower()[:80])]
+    pairs = (words[:-1] * np.uint32(2654435761) ^ words[1:] * np.uint32(2246822519)) >> np.uint32(32 - BITS)
+    has = np.zeros(1 << BITS, bool)
+    has[words & np.uint32((1 << BITS) - 1)] = has[pairs] = True
+    has[[zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names]] = True
+    return np.flatnonzero(has).astype(np.uint16)
+
+
 def weak_label(found: tuple[int, int, int, set[str]]) -> int | None:
     """1 or 0 where phrases and statuses settle it, None in between."""
     residue, own, _, kinds = found
@@ -205,27 +228,36 @@ def score(text: str, w: np.ndarray, found=None) -> float:
     return float(1 / (1 + np.exp(-np.clip(w[at].sum() / np.sqrt(max(len(at), 1)) + w[-1], -30, 30))))
 
 
+def word_score(text: str, g: np.ndarray) -> float:
+    at = grams(text)
+    return float(1 / (1 + np.exp(-np.clip(g[at].sum() / np.sqrt(len(at)) + g[-1], -30, 30))))
+
+
 def labelled(docs: DataFrame, id_col: str, text_col: str, host_col: str, most: int = SAMPLE) -> DataFrame:
-    """(id, host, label, features) of a hashed sample of documents that phrases and statuses settle."""
+    """(id, host, label, features, words) of a hashed sample of documents that phrases and statuses settle.
+
+    words holds the indices of grams() as bytes, null for the negatives that don't teach words."""
     n = docs.count()
     share = min(1.0, 0.9 * most / max(n, 1))  # so the limit hardly ever binds and the sample is the same in every run
     picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, host, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text and (y := weak_label(found := shares(text))) is not None:
-                    for column, v in zip(out, (i, host, y, features(text, found))):
+                    for column, v in zip(out, (i, host, y, features(text, found), grams(text).tobytes() if y or zlib.crc32(str(i).encode()) % THIN == 0 else None)):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int32()))], names=["id", "host", "label", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.binary())], names=["id", "host", "label", "features", "words"])
 
-    return picked.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(run, "id long, host string, label int, features array<int>").limit(most)
+    return picked.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(run, "id long, host string, label int, features array<int>, words binary").limit(most)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> np.ndarray:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classifier that knows the phrases, and of the one that knows words alone."""
     rows = sorted(labelled(docs, id_col, text_col, host_col).collect(), key=lambda r: r.id)  # at most SAMPLE rows
-    return fit([np.array(r.features, np.int32) for r in rows], [r.label for r in rows])
+    told = [r for r in rows if r.words is not None]
+    return fit([np.array(r.features, np.int32) for r in rows], [r.label for r in rows]), fit([np.frombuffer(r.words, np.uint16) for r in told], [r.label for r in told])
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name", threshold: float = 0.5) -> DataFrame:
@@ -233,20 +265,20 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     Null, empty and blank texts are none. Rows with repeated ids are judged each; other columns are ignored."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    weights = spark.sparkContext.broadcast(train(docs, id_col, text_col, host_col).astype(np.float32))  # 2**BITS + 1 numbers, whatever the input
+    weights = spark.sparkContext.broadcast([w.astype(np.float32) for w in train(docs, id_col, text_col, host_col)])  # twice 2**BITS + 1 numbers, whatever the input
 
     def run(batches):
         for b in batches:
             keep, scores, kinds = [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
-                if not text:
-                    continue
-                found = shares(text)
-                if not found[3] or found[0] < LEAST_SHARE * (found[0] + found[1]):
+                if not text or not text.strip():
                     continue
-                p = score(text, weights.value, found)
+                found, (w, g) = shares(text), weights.value
+                p = score(text, w, found) if found[3] and found[0] >= LEAST_SHARE * (found[0] + found[1]) else 0.0
+                if p < threshold and (q := word_score(text, g)) >= SURE:
+                    p = q
                 if p >= threshold:
-                    keep.append(k), scores.append(round(p, 4)), kinds.append(sorted(found[3]))
+                    keep.append(k), scores.append(round(p, 4)), kinds.append(sorted(found[3]) or ["words"])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.array(scores, pa.float64()), pa.array(kinds, pa.list_(pa.string()))], names=[id_col, "score", "kinds"])
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, kinds array<string>")

@@ -1,5 +1,7 @@
 """Template residue and error pages: cases, and the classifier on repositories that it hasn't seen."""
 
+import zlib
+
 import pytest
 
 from strataloom.llm import residue as R
@@ -53,3 +55,22 @@ def test_weak_labels(text):
 @pytest.mark.parametrize("text", CLEAN[:4])
 def test_weak_negatives(text):
     assert R.weak_label(R.shares(text)) in (0, None) and R.shares(text)[0] < R.shares(text)[1]
+
+
+def test_words_alone_find_a_page_without_a_phrase(spark):
+    pages = [f"<html>\n<title>{c} Bad Gateway</title>\n<h1>Bad Gateway, harbor edge relay node {n}</h1>\n<p>Bad Gateway at the edge upstream of harbor relay</p>\n</html>" for c in (502, 504) for n in range(20)]
+    own = [f"def area_{n}(width, height):\n    total = width * height\n    return total + {n}\n" for n in range(40)]
+    new = "<html>\n<title>harbor edge relay node</title>\n<h1>harbor edge relay node 7</h1>\n<p>the edge upstream of harbor relay</p>\n</html>"
+    assert R.shares(new)[0] == 0
+    unlearnt = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % R.THIN)  # without a phrase it would teach as a negative
+    rows = [(i, t, f"r{i % 7}") for i, t in enumerate([*pages, *own])] + [(unlearnt, new, "r0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repository_name string")
+    got = {r.doc_id: r.kinds for r in R.residue(df).collect()}
+    assert set(got) == {*range(len(pages)), unlearnt} and got[unlearnt] == ["words"]
+    assert R.without_residue(df).count() == len(own)
+
+
+def test_long_error_line():
+    text = "503 Service Unavailable, 502 Bad Gateway, 504 Gateway Timeout, 500 Internal Server Error, " * 3
+    assert len(text) > 240 and R.shares(text)[3] == {"error"}
+    assert R.shares("status 404, " + "17, " * 80)[3] == set()
