@@ -1,10 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, as a streaming transducer with bounded lookahead.
 
-Merges never cross the pieces into which the vocabulary's pattern splits a text, and a piece is final as soon as a
-character after it is known. Within a piece that is longer than the window, tokens are final once they end before the
-merge list's sufficient lookahead: the longest chain of merges in which each one of higher rank may take the tail from
-the next. It is computed from the merge list (4,125 bytes for byte_bpe_50k). So memory stays constant whatever the
-length of a text or of a piece.
+Every text, however short, goes through the transducer window by window; no text is handed to the tokenizer whole.
+Merges never cross the pieces into which the vocabulary's pattern splits a text, and a piece that ends before a blank is
+final there: a window gives out its tokens up to the last such place and carries the rest. Where a window has none,
+pieces are final as soon as a few characters after them are known. Within a piece that is longer than the window, tokens
+are final once they end before the merge list's sufficient lookahead: the longest chain of merges in which each one of
+higher rank may take the tail from the next. It is computed from the merge list (4,125 bytes for byte_bpe_50k). So the
+state between windows is a window and a lookahead at most, whatever the length of a text or of a piece; a row's ids are
+its result and are held as 32-bit numbers until the row is written.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import base64
 import codecs
 import os
-from collections.abc import Iterator
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-WINDOW = 1 << 16
+#: Characters that are read at once.
+WINDOW = 1 << 11
+_NONE = np.empty(0, np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -75,37 +80,53 @@ class StreamingEncoder:
 
     #: The kinds of character of which a piece may hold any number.
     RUNS = tuple(regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"))
+    #: Up to the last blank that follows a character that is none: whatever comes, a piece ends there.
+    SETTLED = re.compile(r"(?s:.*)\S(?=[ \n])")
 
     def __init__(self, path: str) -> None:
         self.path, self.enc, self.split = path, encoding(path), regex.compile(PATTERN)
         self.rest, self.inside, self.run = "", b"", None  # open characters; open bytes and kind of an overlong piece
 
-    def feed(self, part: str, window: int = WINDOW) -> Iterator[int]:
-        text = self.rest + part
+    def feed(self, part: str, window: int = WINDOW) -> np.ndarray:
+        text, out = self.rest + part, []
         if self.run is not None:
             size = self._length(text, False)
             if size is None:
-                yield from self._commit(text)
-                return
+                return self._commit(text)
             self.inside += text[:size].encode()
-            yield from self._emit(True)
+            out.append(self._emit(True))
             text = text[size:]
-        start, end = 0, len(text)
+        if m := self.SETTLED.match(text):
+            out.append(self._ids(text[: m.end()]))
+            text = text[m.end() :]
+        self.rest = text
+        if len(text) > max(window, 16):
+            out.append(self._without_blanks(window))
+        return np.concatenate(out) if out else _NONE
+
+    def _ids(self, text: str) -> np.ndarray:
+        """Of a text that begins and ends with a piece."""
+        return self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
+    def _without_blanks(self, window: int) -> np.ndarray:
+        """What is final in a window without a settled place: whole pieces, or the head of an overlong one."""
+        text, start, out = self.rest, 0, []
         for m in self.split.finditer(text):
-            if m.end() + 3 >= end:  # a contraction or the end of blanks shows within three characters
+            if m.end() + 3 >= len(text):  # a contraction or the end of blanks shows within three characters
                 break
             if not text[m.end() - 1].isspace():  # where blanks end depends on what follows, so none ends the part
                 start = m.end()
-        yield from self.enc.encode_ordinary(text[:start])
+        out.append(self._ids(text[:start]))
         text = text[start:]
         while (m := self.split.match(text)) and m.end() + 3 < len(text):
-            yield from self.enc._encode_single_piece(m.group())
+            out.append(np.array(self.enc._encode_single_piece(m.group()), np.int32))
             text = text[m.end() :]
         self.rest = text
-        if len(self.rest) > max(window, 16):
-            last = self.rest[self.split.match(self.rest).end() - 5]
+        if len(text) > max(window, 16):
+            last = text[self.split.match(text).end() - 5]
             self.run = next(r for r in self.RUNS if r.match(last))
-            yield from self._commit(self.rest)
+            out.append(self._commit(text))
+        return np.concatenate(out)
 
     def _length(self, text: str, last: bool) -> int | None:
         """How much of the text still belongs to the overlong piece; None if that isn't known yet."""
@@ -117,34 +138,37 @@ class StreamingEncoder:
             return None
         return size - (self.run is self.RUNS[2])  # the last blank before a word isn't of the run
 
-    def _commit(self, text: str) -> Iterator[int]:
+    def _commit(self, text: str) -> np.ndarray:
         keep = max(0, len(text) - 4)  # the last characters stay open
         self.inside += text[:keep].encode()
         self.rest = text[keep:]
-        yield from self._emit(False)
+        return self._emit(False)
 
-    def _emit(self, whole: bool) -> Iterator[int]:
-        keep, done = len(self.inside) - (0 if whole else sufficient_lookahead(self.path)), 0
-        if keep <= 0 and not whole:
-            return
+    def _emit(self, whole: bool) -> np.ndarray:
+        keep, done, out = len(self.inside) - (0 if whole else sufficient_lookahead(self.path)), 0, []
+        if whole:
+            self.run = None
+        elif keep <= 0:
+            return _NONE
         for i in self.enc._encode_single_piece(self.inside):
             size = len(self.enc.decode_single_token_bytes(i))
             if done + size > keep:
                 break
             done += size
-            yield i
+            out.append(i)
         self.inside = self.inside[done:]
-        if whole:
-            self.run = None
+        return np.array(out, np.int32)
 
-    def close(self) -> Iterator[int]:
+    def close(self) -> np.ndarray:
+        out = []
         if self.run is not None:
             size = self._length(self.rest, True)
             self.inside += self.rest[:size].encode()
             self.rest = self.rest[size:]
-            yield from self._emit(True)
-        yield from self.enc.encode_ordinary(self.rest)
+            out.append(self._emit(True))
+        out.append(self._ids(self.rest))
         self.rest = ""
+        return np.concatenate(out)
 
 
 class StreamingDecoder:
@@ -163,12 +187,9 @@ class StreamingDecoder:
 def encode(text: str | None, path: str, window: int = WINDOW) -> np.ndarray:
     """Ids of a text as it stands; an empty and a null text give none."""
     if not text:
-        return np.empty(0, np.int32)
-    if len(text) <= window:
-        return encoding(path).encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        return _NONE
     s = StreamingEncoder(path)
-    ids = [i for k in range(0, len(text), window) for i in s.feed(text[k : k + window], window)]
-    return np.array([*ids, *s.close()], np.int32)
+    return np.concatenate([*(s.feed(text[k : k + window], window) for k in range(0, len(text), window)), s.close()])
 
 
 def decode(ids, path: str, window: int = WINDOW) -> str:
@@ -191,7 +212,7 @@ def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             parts = [encode(t, path) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(p) for p in parts)], dtype=np.int32)
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            flat = np.concatenate(parts) if parts else _NONE
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

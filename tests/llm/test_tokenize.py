@@ -43,3 +43,21 @@ def test_null_and_empty_give_no_ids(spark):
     rows = sorted((r.doc_id, r.ids) for r in T.token_ids(df, PATH).collect())
     assert rows[:2] == [(1, []), (2, [])] and rows[2] == rows[3] and T.decode(rows[2][1], PATH) == "a b"
     assert T.token_ids(df.limit(0), PATH).collect() == []
+
+
+@pytest.mark.parametrize("window", [5, 50, T.WINDOW])
+def test_no_text_passes_beside_the_transducer(monkeypatch, window):
+    fed = []
+    feed = T.StreamingEncoder.feed
+    monkeypatch.setattr(T.StreamingEncoder, "feed", lambda self, part, w=T.WINDOW: fed.append(len(part)) or feed(self, part, w))
+    for text in ("a", "a few words of text.\n" * 9, "\u2003x\x1c y\x85z " * 40, "no_blank" * 900):
+        fed.clear()
+        assert list(T.encode(text, PATH, window)) == T.encoding(PATH).encode_ordinary(text)
+        assert sum(fed) == len(text) and max(fed) <= window
+
+
+def test_state_between_windows_is_bounded():
+    s, window = T.StreamingEncoder(PATH), 256
+    for k in range(60):
+        s.feed(("word " if k < 20 else "=" if k < 40 else "ab") * 64, window)
+        assert len(s.rest) <= 2 * window and len(s.inside) <= T.sufficient_lookahead(PATH) + 4 * window
