@@ -44,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_items": lambda s, d: leakage.leaked_items(_table(s, d, "documents"), _table(s, d, "benchmark")),
     "p9_found": lambda s, d: residue.residue(_table(s, d, "documents")).select("doc_id"),
     "p9_kept": lambda s, d: residue.without_residue(_table(s, d, "documents")).select("doc_id", "repository_name", "file_path"),
+    "p9_effects": lambda s, d: residue.effects(_table(s, d, "documents")),
     "p9_validation": lambda s, d: residue.validation(_table(s, d, "documents")),
 }
 

@@ -1,12 +1,11 @@
 """Template residue and error pages: documents that hold placeholders, filler, an error or a notice for their content.
 
-Lines are weakly labelled by response statuses and phrases: residue, mere skeleton (headings, keys, brackets, tags) or
-content of their own. Documents that are nearly all residue, or hold none, are the weak labels of a regularised linear
-classifier over hashed n-grams, features of length, of the title and of the shares of the lines. It is fitted on a
-bounded sample (SAMPLE rows at most, chosen by a hash of the id) and applied to every document; its worth is measured on
-repositories that it hasn't seen. A second classifier of the same sample knows only words, pairs of words, size and
-title, and scores every document: one that it is sure of counts whatever the phrases say. Where its score is doubtful, a
-document counts if an exact check finds residue in it and the first classifier agrees.
+A regularised linear classifier over hashed words and pairs of words, size and title scores every document, and every row
+of the result comes from it. It is fitted on a bounded sample (SAMPLE rows at most, chosen by a hash of the id) whose weak
+labels come from response statuses and phrases, told line by line: a document that is nearly all residue teaches one
+class, one that holds none the other. No feature says what the phrases found. From SURE on the score alone decides;
+between DOUBT and SURE an exact check of the lines follows; below DOUBT nothing counts, whatever phrases a text holds.
+validation() measures it on repositories that it hasn't seen, also for kinds of residue that its labels left out.
 """
 
 from __future__ import annotations
@@ -21,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the labelled sample, at most; the classifier's features; its penalty and rounds.
-SAMPLE, BITS, PENALTY, ROUNDS = 12_000, 15, 2e-4, 60
+#: Rows of the labelled sample, at most; the classifier's features; its penalty and rounds; of the negatives, one in so many teaches.
+SAMPLE, BITS, PENALTY, ROUNDS, THIN = 12_000, 15, 2e-4, 60, 4
+#: Scores from which a document is checked, and from which it counts without a check.
+DOUBT, SURE = 0.2, 0.8
 #: Residue's share of what a document holds besides its skeleton, at least (the exact check).
 LEAST_SHARE = 0.33
-#: Score of words alone from which a document counts without the exact check; of the sample's negatives, one in so many teaches words.
-SURE, THIN = 0.8, 4
+KINDS = ("placeholder", "filler", "scripts", "error")
 
 # Words of the usual filler text.
 FILLER = frozenset(
@@ -156,21 +156,6 @@ def _error_line(part: str) -> bool:
     return left <= 70 and not code and not about
 
 
-def features(text: str, found: tuple[int, int, int, set[str]] | None = None) -> np.ndarray:
-    """Indices of the features that a text has."""
-    residue, own, skeleton, kinds = found or shares(text)
-    total = residue + own
-    names = [f"share:{int(10 * residue / total) if total else -1}", f"own:{int(np.log2(own + 1))}", f"size:{int(np.log2(len(text) + 1))}", f"lines:{int(np.log2(text.count(chr(10)) + 1))}", *(f"kind:{k}" for k in kinds)]
-    words = ["0" if w.isdigit() else w for w in _WORD.findall(text.lower())] if total and residue else []
-    names += words
-    names += [f"{a} {b}" for a, b in zip(words, words[1:])]
-    title = re.search(r"<title>([^<]*)|^#+ (.*)$|^(.+)$", text, re.M)
-    if title:
-        names += [f"title:{w}" for w in _WORD.findall(next(g for g in title.groups() if g is not None).lower()[:80])]
-    mask = (1 << BITS) - 1
-    return np.array(sorted({zlib.crc32(n.encode()) & mask for n in names}), np.int32)
-
-
 @lru_cache(maxsize=1 << 17)
 def _hash(name: str) -> int:
     return zlib.crc32(name.encode())
@@ -223,20 +208,20 @@ def fit(rows: list[np.ndarray], labels: list[int]) -> np.ndarray:
     return w
 
 
-def score(text: str, w: np.ndarray, found=None) -> float:
-    at = features(text, found)
-    return float(1 / (1 + np.exp(-np.clip(w[at].sum() / np.sqrt(max(len(at), 1)) + w[-1], -30, 30))))
+def score(text: str, w: np.ndarray) -> float:
+    at = grams(text)
+    return float(1 / (1 + np.exp(-np.clip(w[at].sum() / np.sqrt(len(at)) + w[-1], -30, 30))))
 
 
-def word_score(text: str, g: np.ndarray) -> float:
-    at = grams(text)
-    return float(1 / (1 + np.exp(-np.clip(g[at].sum() / np.sqrt(len(at)) + g[-1], -30, 30))))
+def checked(found: tuple[int, int, int, set[str]]) -> bool:
+    """The exact check: whether residue is enough of what a text holds besides its skeleton."""
+    return bool(found[3]) and found[0] >= LEAST_SHARE * (found[0] + found[1])
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, host_col: str, most: int = SAMPLE) -> DataFrame:
-    """(id, host, label, features, words) of a hashed sample of documents that phrases and statuses settle.
+    """(id, host, label, kinds, words) of a hashed sample of documents that phrases and statuses settle.
 
-    words holds the indices of grams() as bytes, null for the negatives that don't teach words."""
+    words holds the indices of grams() as bytes; one in THIN of the negatives is kept."""
     n = docs.count()
     share = min(1.0, 0.9 * most / max(n, 1))  # so the limit hardly ever binds and the sample is the same in every run
     picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
@@ -245,43 +230,57 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, host_col: str, most: i
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for i, host, text in zip(*(c.to_pylist() for c in b.columns)):
-                if text and (y := weak_label(found := shares(text))) is not None:
-                    for column, v in zip(out, (i, host, y, features(text, found), grams(text).tobytes() if y or zlib.crc32(str(i).encode()) % THIN == 0 else None)):
+                if text and (y := weak_label(found := shares(text))) is not None and (y or zlib.crc32(str(i).encode()) % THIN == 0):
+                    for column, v in zip(out, (i, host, y, sorted(found[3]), grams(text).tobytes())):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.binary())], names=["id", "host", "label", "features", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.binary())], names=["id", "host", "label", "kinds", "words"])
+
+    return picked.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(run, "id long, host string, label int, kinds array<string>, words binary").limit(most)
+
 
-    return picked.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(run, "id long, host string, label int, features array<int>, words binary").limit(most)
+def _sample(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> list:
+    return sorted(labelled(docs, id_col, text_col, host_col).collect(), key=lambda r: (r.id, r.words))  # at most SAMPLE rows
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the classifier that knows the phrases, and of the one that knows words alone."""
-    rows = sorted(labelled(docs, id_col, text_col, host_col).collect(), key=lambda r: r.id)  # at most SAMPLE rows
-    told = [r for r in rows if r.words is not None]
-    return fit([np.array(r.features, np.int32) for r in rows], [r.label for r in rows]), fit([np.frombuffer(r.words, np.uint16) for r in told], [r.label for r in told])
+def _taught(rows: list) -> np.ndarray:
+    return fit([np.frombuffer(r.words, np.uint16) for r in rows], [r.label for r in rows])
 
 
-def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name", threshold: float = 0.5) -> DataFrame:
-    """(id, score, kinds) of each document that is template residue, filler, an error page or a notice.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> np.ndarray:
+    """Weights of the classifier: 2**BITS + 1 numbers, the intercept last."""
+    return _taught(_sample(docs, id_col, text_col, host_col))
 
-    Null, empty and blank texts are none. Rows with repeated ids are judged each; other columns are ignored."""
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name", every: bool = False) -> DataFrame:
+    """(id, score, kinds, passed, found) of each document that scores DOUBT or more; ``every``: of each that has a text.
+
+    passed: whether the exact check would take it (null where it wasn't made); found: whether the document counts. Null,
+    empty and blank texts are left out. Rows with repeated ids are judged each; other columns are ignored."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    weights = spark.sparkContext.broadcast([w.astype(np.float32) for w in train(docs, id_col, text_col, host_col)])  # twice 2**BITS + 1 numbers, whatever the input
+    weights = spark.sparkContext.broadcast(train(docs, id_col, text_col, host_col).astype(np.float32))  # 2**BITS + 1 numbers, whatever the input
 
     def run(batches):
+        w = weights.value
         for b in batches:
-            keep, scores, kinds = [], [], []
+            keep, scores, kinds, passed, found = [], [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 if not text or not text.strip():
                     continue
-                found, (w, g) = shares(text), weights.value
-                p = score(text, w, found) if found[3] and found[0] >= LEAST_SHARE * (found[0] + found[1]) else 0.0
-                if p < threshold and (q := word_score(text, g)) >= SURE:
-                    p = q
-                if p >= threshold:
-                    keep.append(k), scores.append(round(p, 4)), kinds.append(sorted(found[3]) or ["words"])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.array(scores, pa.float64()), pa.array(kinds, pa.list_(pa.string()))], names=[id_col, "score", "kinds"])
+                p = score(text, w)
+                if p < DOUBT and not every:
+                    continue
+                told = shares(text) if p < SURE or every else None
+                ok = None if told is None else checked(told)
+                keep.append(k), scores.append(round(p, 4)), passed.append(ok), found.append(p >= SURE or (p >= DOUBT and bool(ok)))
+                kinds.append(sorted(told[3] if told else shares(text)[3]) or ["words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.array(scores, pa.float64()), pa.array(kinds, pa.list_(pa.string())), pa.array(passed, pa.bool_()), pa.array(found, pa.bool_())], names=[id_col, "score", "kinds", "passed", "found"])
+
+    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, kinds array<string>, passed boolean, found boolean")
+
 
-    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, kinds array<string>")
+def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> DataFrame:
+    """(id, score, kinds) of each document that is template residue, filler, an error page or a notice; see judged()."""
+    return judged(docs, id_col, text_col, host_col).where("found").select(id_col, "score", "kinds")
 
 
 def without_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> DataFrame:
@@ -289,11 +288,30 @@ def without_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.join(residue(docs, id_col, text_col, host_col).select(id_col), id_col, "left_anti")
 
 
+def effects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> DataFrame:
+    """(score, passed, found, n): what the classifier adds to the exact check alone and what it takes away.
+
+    score is sure, doubtful or low; (sure, not passed) are added, (low, passed) are taken away."""
+    band = F.when(F.col("score") >= SURE, "sure").when(F.col("score") >= DOUBT, "doubtful").otherwise("low")
+    return judged(docs, id_col, text_col, host_col, every=True).groupBy(band.alias("score"), "passed", "found").agg(F.count("*").alias("n"))
+
+
 def validation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "repository_name") -> DataFrame:
-    """(rows, accuracy, precision, recall) on the sample's repositories that the classifier hasn't seen: every fifth by hash."""
-    rows = sorted(labelled(docs, id_col, text_col, host_col).collect(), key=lambda r: r.id)  # at most SAMPLE rows
+    """(left_out, rows, positives, accuracy, precision, recall) on the sample's repositories that the classifier hasn't seen.
+
+    Every fifth repository by hash is unseen. left_out null: labels of all kinds teach. Else the classifier learns from
+    labels without that kind of residue, and recall is measured on documents that are of that kind alone, so its own
+    gate can't have told it. The score that counts as found is DOUBT, from which a document is looked at."""
+    rows = _sample(docs, id_col, text_col, host_col)
     unseen = [zlib.crc32((r.host or "").encode()) % 5 == 0 for r in rows]
-    w = fit([np.array(r.features, np.int32) for r, u in zip(rows, unseen) if not u], [r.label for r, u in zip(rows, unseen) if not u])
-    told = [(r.label, int(w[r.features].sum() / np.sqrt(max(len(r.features), 1)) + w[-1] > 0)) for r, u in zip(rows, unseen) if u]
-    hit, said, true = sum(a & b for a, b in told), sum(b for _, b in told), sum(a for a, _ in told)
-    return docs.sparkSession.createDataFrame([(len(told), sum(a == b for a, b in told) / max(1, len(told)), hit / max(1, said), hit / max(1, true))], "rows long, accuracy double, precision double, recall double")
+    out = []
+    for kind in (None, *KINDS):
+        w = _taught([r for r, u in zip(rows, unseen) if not u and (kind is None or kind not in r.kinds)])
+        told = []
+        for r, u in zip(rows, unseen):
+            if u and (kind is None or not r.label or r.kinds == [kind]):
+                at = np.frombuffer(r.words, np.uint16)
+                told.append((r.label, int(1 / (1 + np.exp(-np.clip(w[at].sum() / np.sqrt(len(at)) + w[-1], -30, 30))) >= DOUBT)))
+        hit, said, true = sum(a & b for a, b in told), sum(b for _, b in told), sum(a for a, _ in told)
+        out.append((kind, len(told), true, sum(a == b for a, b in told) / max(1, len(told)), hit / max(1, said), hit / max(1, true)))
+    return docs.sparkSession.createDataFrame(out, "left_out string, rows long, positives long, accuracy double, precision double, recall double")

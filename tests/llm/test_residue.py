@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 from strataloom.llm import residue as R
@@ -39,8 +40,22 @@ def test_cases(spark):
 
 
 def test_unseen_hosts(spark):
-    r = R.validation(docs(spark)).collect()[0]
-    assert r.rows == 0 or r.accuracy > 0.95
+    all_kinds, *others = R.validation(docs(spark)).collect()
+    assert all_kinds.left_out is None and (all_kinds.rows == 0 or all_kinds.recall == 1)
+    assert [r.left_out for r in others] == list(R.KINDS)
+
+
+def test_rows_come_from_the_classifier(spark, monkeypatch):
+    monkeypatch.setattr(R, "_taught", lambda rows: np.array([0.0] * (1 << R.BITS) + [-9.0]))
+    assert R.residue(docs(spark)).count() == 0
+    gone = {(r.score, r.passed): r.n for r in R.effects(docs(spark)).collect()}
+    assert gone[("low", True)] == len(FOUND) * 6 and not any(k[0] != "low" for k in gone)
+
+
+def test_the_check_decides_doubtful_ones_only(spark, monkeypatch):
+    for intercept, want in ((0.0, len(FOUND) * 6), (9.0, len(FOUND) * 6 + 8 * 4)):
+        monkeypatch.setattr(R, "_taught", lambda rows, i=intercept: np.array([0.0] * (1 << R.BITS) + [i]))
+        assert R.residue(docs(spark)).count() == want
 
 
 def test_empty_table(spark):
