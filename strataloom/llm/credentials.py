@@ -22,26 +22,26 @@ from pyspark.sql import functions as F
 # Published token formats, by prefix.
 TOKENS = (
     r"(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}",
-    r"gh[pousr]_[A-Za-z0-9]{30,255}",
-    r"github_pat_[A-Za-z0-9_]{40,255}",
-    r"glpat-[A-Za-z0-9_\-]{20,64}",
-    r"npm_[A-Za-z0-9]{30,64}",
-    r"xox[abeoprs]-[A-Za-z0-9\-]{16,255}",
-    r"xapp-[A-Za-z0-9\-]{20,255}",
-    r"(?:sk|rk|pk_secret)_(?:live|test)_[A-Za-z0-9]{16,255}",
-    r"sk-(?:proj-|ant-)?[A-Za-z0-9_\-]{24,255}",
-    r"whsec_[A-Za-z0-9+/=]{20,255}",
-    r"do[opr]_v1_[a-f0-9]{40,80}",
-    r"AIza[A-Za-z0-9_\-]{33,40}",
-    r"ya29\.[A-Za-z0-9_\-]{20,512}",
-    r"SG\.[A-Za-z0-9_\-]{16,32}\.[A-Za-z0-9_\-]{32,64}",
-    r"hf_[A-Za-z0-9]{30,64}",
-    r"pypi-[A-Za-z0-9_\-]{40,512}",
+    r"gh[pousr]_[A-Za-z0-9]{30,}",
+    r"github_pat_[A-Za-z0-9_]{40,}",
+    r"glpat-[A-Za-z0-9_\-]{20,}",
+    r"npm_[A-Za-z0-9]{30,}",
+    r"xox[abeoprs]-[A-Za-z0-9\-]{16,}",
+    r"xapp-[A-Za-z0-9\-]{20,}",
+    r"(?:sk|rk|pk_secret)_(?:live|test)_[A-Za-z0-9]{16,}",
+    r"sk-(?:proj-|ant-)?[A-Za-z0-9_\-]{24,}",
+    r"whsec_[A-Za-z0-9+/=]{20,}",
+    r"do[opr]_v1_[a-f0-9]{40,}",
+    r"AIza[A-Za-z0-9_\-]{33,}",
+    r"ya29\.[A-Za-z0-9_\-]{20,}",
+    r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{32,}",
+    r"hf_[A-Za-z0-9]{30,}",
+    r"pypi-[A-Za-z0-9_\-]{40,}",
     r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}",
-    r"sq0(?:atp|csp)-[A-Za-z0-9_\-]{22,64}",
-    r"dckr_pat_[A-Za-z0-9_\-]{20,64}",
-    r"lin_api_[A-Za-z0-9]{32,64}",
-    r"hvs\.[A-Za-z0-9_\-]{24,255}",
+    r"sq0(?:atp|csp)-[A-Za-z0-9_\-]{22,}",
+    r"dckr_pat_[A-Za-z0-9_\-]{20,}",
+    r"lin_api_[A-Za-z0-9]{32,}",
+    r"hvs\.[A-Za-z0-9_\-]{24,}",
     r"NRAK-[A-Z0-9]{27}",
     r"PMAK-[a-f0-9]{24}-[a-f0-9]{34}",
     r"dapi[a-f0-9]{32}",
@@ -78,19 +78,19 @@ _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|blake\w*)[:\-]")
 
 _TOKEN = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(TOKENS) + ")(?![A-Za-z0-9_])")
 #: A token of no published format: a short lower-case mark, a separator and a long run of mixed characters.
-_UNKNOWN_TOKEN = re.compile(r"(?<![\w./+=\-@])[a-z][a-z0-9]{1,9}[._][A-Za-z0-9]{24,80}(?![\w/+=])")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`<>]+|[^\s@\"'`<>]*?)@(?=[A-Za-z0-9\[$\{])")
+_UNKNOWN_TOKEN = re.compile(r"(?<![\w./+=\-@])[a-z][a-z0-9]{1,9}[._][A-Za-z0-9]{24,}(?![\w/+=])")
+_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`<>]+|(?:(?!://)[^\s@\"'`<>])*?)@(?=[A-Za-z0-9\[$\{])")
 _BEARER = re.compile(r"(?i)\b(bearer|token)\s+([A-Za-z0-9_\-.=+/]{16,})")
 _BASIC = re.compile(r"(?i)\bbasic\s+([A-Za-z0-9+/_\-]{8,}={0,2})")
 _ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\\[nrt]|\s|[\"'`+,;|\\]|\#|//|--(?!-)|\*|(?:Proc-Type|DEK-Info|Version|Comment)[^\n]*|[A-Za-z0-9+/=])*")
-_NAMED = re.compile(
-    r"(?P<name>[A-Za-z_À-ɏ][\w.\-À-ɏ]*)(?P<mid>[\"']?\]?\s*(?::[^\S\n]*[A-Za-z_][\w<>\[\]| ]{0,30}?)?(?:\s|\\\r?\n)*(?::=|=>|=(?!=)|:)(?:[\s(]|\\\r?\n)*|[\"'][^\S\n]*,[^\S\n]*|[^\S\n]+(?=[\"']))(?P<mark>[rbfu]?(?:\"\"\"|'''|[\"'`]))(?P<value>(?:(?!(?P=q1))[^\n\\]|\\(?:.|\r?\n))*)"
+_NAMED = re.compile(  # a name begins where no other does, so a long run of its characters is read once
+    r"(?<![\w.])(?<![\w.]-)(?P<name>[\w][\w.\-]*+)(?P<mid>[\"']?\]?\s*(?::[^\S\n]*[A-Za-z_][\w<>\[\]| ]{0,30}?)?(?:\s|\\\r?\n)*(?::=|=>|=(?!=)|:)(?:[\s(]|\\\r?\n)*|[\"'][^\S\n]*,[^\S\n]*|[^\S\n]+(?=[\"']))(?P<mark>[rbfu]?(?:\"\"\"|'''|[\"'`]))(?P<value>(?:(?!(?P=q1))[^\n\\]|\\(?:.|\r?\n))*)"
     .replace("(?P=q1)", r"[\"'`]")
 )
 _BARE = re.compile(r"^[^\S\n]*(?:(?:#|//|--|;|-)\s*)?(?:(?P<lead>export|ENV|ARG|set|setx|SET|declare -x)\s+)?(?P<name>[A-Za-z_][\w.\-]*)(?:=|:[^\S\n]+|[^\S\n]+=[^\S\n]*)(?P<value>[^\s\"'`,;(){}\[\]]+)[^\S\n]*(?:\\|#.*)?$", re.M)
 _XML = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<value>[^<>\s]+)</")
-_OPTION = re.compile(r"--?(?P<name>[a-z][a-z\-]*)[= ](?P<value>[^\s\"'`$]+)")
+_OPTION = re.compile(r"(?<![\w\-])--?(?P<name>[a-z][a-z\-]*)[= ](?P<value>[^\s\"'`$]+)")
 _PROSE = re.compile(r"(?i)\b(?:password|passwd|passwort|passphrase|pwd|pw|pass|login|credentials?|kennwort|contrase\S{1,3}a|mot de passe|secret|token|api key)\b[^\n\"'`=]{0,60}?(?:[:/]|\b(?:is|was|ist|war|es|est|are|now)\b)[^\S\n]*(?P<value>[^\s\"'`<>(),]{8,})[^\S\n]*(?:-->|\*/|\.)?[^\S\n]*$", re.M)
 #: From one part of a literal to the next: quotes with an operator or blanks between, over line ends too.
 _SECOND_PART = re.compile(r"[\"'`]\s*(?:\\\r?\n\s*)?(?P<op>\+|\.\.|\.|&(?:[^\S\n]*_(?=\r?\n))?|\|\|)?\s*(?:\\\r?\n\s*)?(?:(?<=[\s+])[rbfuRBFU](?=[\"'`]))?[\"'`]")
@@ -113,14 +113,14 @@ def secret_name(name: str) -> bool:
     parts = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ɏ]+|\d+", name)]
     if not parts or parts[-1] in _ABOUT or (len(parts) > 1 and parts[-1].isdigit() and parts[-2] in _ABOUT):
         return False
-    flat = "".join(_CHANCE.sub("", p) for p in parts).replace("tokenspan", "")
+    flat = "".join(_CHANCE.sub("", p) for p in parts)
     return bool(SECRET_NAME.search(flat)) or any(p in _SHORT_NAMES for p in parts) or (parts[-1] == "key" and len(parts) > 1 and parts[-2] in _KEY_OF)
 
 
 def literal(value: str) -> bool:
     """Whether a value may be a secret itself: no reference, mask, placeholder, id, path, number or plain word."""
     v = value.strip()
-    if not 6 <= len(v) <= 4096 or re.search(r"\s", v) or _PLACEHOLDER.match(v) or _REFERENCE.match(v) or _UUID.match(v) or _DIGEST.match(v):
+    if len(v) < 6 or re.search(r"\s", v) or _PLACEHOLDER.match(v) or _REFERENCE.match(v) or _UUID.match(v) or _DIGEST.match(v):
         return False
     if "${" in v or "{{" in v or "$(" in v or re.search(r"\*{4,}|x{6,}|X{6,}|\.\.\.", v) or "EXAMPLE" in v:
         return False
@@ -156,12 +156,14 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+#: Characters of a long line on either side of a hit; a window's right end then moves on to the next blank.
 WIDTH = 4096
+_BLANK = re.compile(r"\s")
 
 
-def _goes_on(text: str, z: int, most: int) -> int:
+def _goes_on(text: str, z: int) -> int:
     """The end of the line at z, or of a later one if a literal is still to come or goes on there."""
-    while z < most and text[z : z + 1] == "\n":
+    while text[z : z + 1] == "\n":
         k = z - 1
         while k >= 0 and text[k] in " \t\r":
             k -= 1
@@ -173,16 +175,17 @@ def _goes_on(text: str, z: int, most: int) -> int:
             at = m.end()
         else:
             break
-        z = text.find("\n", at, most)
+        z = text.find("\n", at)
         if z < 0:
-            return min(len(text), most)
+            return len(text)
     return z
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
     """Stretches of text around the automaton's hits: whole lines where they are short, overlapping cuts of long ones.
 
-    A line whose literal begins or goes on below takes the lines that hold it."""
+    A cut ends at a blank, so it holds the whole of a value however long, for no value holds one; a line whose literal
+    begins or goes on below takes the lines that hold it. A hit well inside the last window makes none of its own."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -191,13 +194,14 @@ def _windows(text: str) -> list[tuple[int, int]]:
         first = last - size + 1
         if whole and (text[last + 1 : last + 2].islower() or text[first].islower() and text[first - 1 : first].isalpha()):
             continue
-        if out and out[-1][0] + 1024 <= first < out[-1][1] - 1024 or out and first < out[-1][1] and text[out[-1][1] : out[-1][1] + 1] == "\n":
+        if out and out[-1][0] + 1024 <= first < out[-1][1] - 1024 or out and first < out[-1][1] and text[out[-1][1] : out[-1][1] + 1] in ("\n", ""):
             continue
         a = text.rfind("\n", max(0, first - WIDTH), first) + 1 or max(0, first - WIDTH)
         z = text.find("\n", last, last + WIDTH)
-        if a < first - WIDTH + 1 and first > WIDTH and text[a - 1] != "\n":
-            a = first - WIDTH
-        z = min(len(text), last + WIDTH) if z < 0 else _goes_on(text, z, last + WIDTH)
+        if z < 0:
+            m = _BLANK.search(text, last + WIDTH)
+            z = m.start() if m else len(text)
+        z = _goes_on(text, z)
         if not out or out[-1] != (a, z):
             out.append((a, z))
     return out
@@ -208,7 +212,7 @@ def _keys(text: str) -> list[Span]:
     out = []
     for m in _ARMOR.finditer(text):
         stop = text.find("-----END", m.end())
-        if stop < 0 or stop - m.end() > 100_000:
+        if stop < 0 or 0 <= text.find("-----BEGIN", m.end(), stop):  # none, or the end of another
             stop = _KEY_BODY.match(text, m.end()).end()
         body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", text[m.end() : stop])
         if len(body) >= 32 and max(map(len, re.findall(r"[A-Za-z0-9+/=]+", text[m.end() : stop])), default=0) >= 16 and len(set(body)) > 8:
@@ -304,9 +308,10 @@ def lines(text: str | None) -> list[int]:
     return out
 
 
-def redact(text: str | None) -> str | None:
-    """The text with REDACTED for each credential; of a key in armor only the body goes, line by line. Null stays null."""
-    for s in reversed(spans(text)):
+def splice(text: str, found: list[Span]) -> str:
+    """The text with REDACTED for each span; of a key in armor only the body goes, line by line, of joined literals each part."""
+    out, at = [], 0
+    for s in found:
         value = text[s.start : s.end]
         if s.kind == "private_key":
             value = re.sub(r"(-----BEGIN [A-Z0-9 ]+-----)(.*?)(-----END|$)", lambda m: m[1] + re.sub(r"(?<!\\)[A-Za-z0-9+/=]{8,}", "REDACTED", m[2].replace("\\n", "\\n\0")).replace("\0", "") + m[3], value, flags=re.S)
@@ -314,8 +319,25 @@ def redact(text: str | None) -> str | None:
             value = "".join(p if k % 2 or not p else "REDACTED" for k, p in enumerate(_SEAM.split(value)))
         else:
             value = "REDACTED"
-        text = text[: s.start] + value + text[s.end :]
-    return text
+        out += [text[at : s.start], value]
+        at = s.end
+    return "".join(out) + text[at:]
+
+
+def redact(text: str | None) -> str | None:
+    """The text with its credentials spliced out; null stays null."""
+    return text if not text else splice(text, spans(text))
+
+
+def redact_variable(name: str | None, value: str | None) -> tuple[str | None, int]:
+    """An environment variable's value without its credentials, and how many those were."""
+    if not secret_variable(name, value):
+        return value, 0
+    found = spans(value)
+    if not found and name:
+        n = len(name) + 1
+        found = [Span(s.start - n, s.end - n, s.kind) for s in spans(f"{name}={value}") if s.start >= n]
+    return (splice(value, found), len(found)) if found else ("REDACTED", 1)
 
 
 def secret_variable(name: str | None, value: str | None) -> bool:
@@ -325,6 +347,10 @@ def secret_variable(name: str | None, value: str | None) -> bool:
     return bool(name and secret_name(name) and literal(value)) or bool(spans(value)) or bool(spans(f"{name or ''}={value}"))
 
 
+_REDACTED = ["origin", "row_id", "part", "text", "n_redacted"]
+_REDACTED_SCHEMA = "origin string, row_id long, part string, text string, n_redacted int"
+
+
 def found_in_text(df: DataFrame, origin: str, id_col: str, text_col: str) -> DataFrame:
     """(origin, row_id, locator) of each line that begins a credential; null texts have none. No shuffle."""
 
@@ -347,13 +373,23 @@ def found_in_variables(df: DataFrame, origin: str, id_col: str, map_col: str) ->
     return df.select(F.col(id_col).cast("long").alias("row_id"), F.explode(map_col)).mapInArrow(run, "origin string, row_id long, locator string")
 
 
-def redacted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, n_redacted): every row, credentials replaced, all else as it was; null texts stay null."""
-    kind = df.schema[id_col].dataType.simpleString()
+def redacted(df: DataFrame, origin: str, id_col: str, text_col: str) -> DataFrame:
+    """(origin, row_id, part, text, n_redacted): every row, credentials replaced, all else as it was; null texts stay null."""
+
+    def run(batches):
+        for b in batches:
+            done = [(t, 0) if not t else (splice(t, found := spans(t)), len(found)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([origin] * len(done), pa.string()), b.column(0), pa.nulls(len(done), pa.string()), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=_REDACTED)
+
+    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).mapInArrow(run, _REDACTED_SCHEMA)
+
+
+def redacted_variables(df: DataFrame, origin: str, id_col: str, map_col: str) -> DataFrame:
+    """(origin, row_id, part, text, n_redacted): a row for each variable of a map, part its name; null and empty maps have none."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t) for t in texts], pa.string()), pa.array([len(spans(t)) for t in texts], pa.int32())], names=[id_col, "text", "n_redacted"])
+            done = [redact_variable(k, v) for k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([origin] * len(done), pa.string()), b.column(0), b.column(1), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=_REDACTED)
 
-    return df.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text string, n_redacted int")
+    return df.select(F.col(id_col).cast("long").alias("row_id"), F.explode(map_col)).mapInArrow(run, _REDACTED_SCHEMA)

@@ -25,6 +25,13 @@ def _credentials(s: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(snippets).unionByName(variables)
 
 
+def _redacted(s: SparkSession, d: str) -> DataFrame:
+    docs = credentials.redacted(_table(s, d, "documents"), "documents", "doc_id", "text")
+    snippets = credentials.redacted(_table(s, d, "git_entities"), "git_entities", "record_id", "provenance.source_snippet")
+    variables = credentials.redacted_variables(_table(s, d, "docker_services"), "docker_services", "service_id", "environment_vars")
+    return docs.unionByName(snippets).unionByName(variables)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: validity.checked(_table(s, d, "documents")).where("broken").select("doc_id"),
     "p1_rates": lambda s, d: validity.rates(_table(s, d, "documents")),
@@ -32,7 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_kinds": lambda s, d: handwritten.classified(_table(s, d, "documents")),
     "p2_handwritten": lambda s, d: handwritten.handwritten(_table(s, d, "documents")).select("doc_id", "repository_name", "file_path"),
     "p4_found": _credentials,
-    "p4_redacted": lambda s, d: credentials.redacted(_table(s, d, "documents"), "doc_id", "text"),
+    "p4_redacted": _redacted,
     "p5_found": lambda s, d: names.linked_pairs(_table(s, d, "doc_entities")),
     "p5_groups": lambda s, d: names.groups(_table(s, d, "doc_entities")),
     "p6_found": lambda s, d: split.oversized(_table(s, d, "extracted_pages"), ["document_id", "page_number"]),
