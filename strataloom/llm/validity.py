@@ -1,15 +1,17 @@
 """Source files that do not parse, and their rates per repository and language.
 
-For each language with brackets a file is first read as chunks whose effects on lexer state and brackets are reduced
-associatively (see lexing); files beyond LARGE characters are spread as chunks over the cluster for that. What is
-balanced goes to the local grammars of its statements. Python, JSON, YAML and TOML are parsed by the grammars that the
-interpreter and its libraries bring.
+JavaScript, TypeScript, Java, Go and SQL are read as chunks whose lexer states follow from one another and whose bracket
+summaries are reduced associatively (see lexing); what the reduction leaves open is broken, and no other step looks for
+that. What is balanced goes to the local grammars of its statements. Files of Java, Go and SQL beyond LARGE characters
+are first spread over the cluster as chunks, whose effects from every state are reduced per file. Python, JSON, YAML,
+TOML and lists of requirements are parsed whole by the grammars that the interpreter and its libraries bring.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 import tomllib
 import warnings
 from functools import reduce
@@ -31,8 +33,8 @@ LANGUAGES = {
     ".py": "Python", ".js": "JavaScript", ".mjs": "JavaScript", ".ts": "TypeScript", ".java": "Java", ".go": "Go", ".sql": "SQL",
     ".json": "JSON", ".yaml": "YAML", ".yml": "YAML", ".toml": "TOML", ".txt": "Requirements", ".md": "Markdown",
 }
-#: Characters of a chunk, and of a file from which on its chunks are spread.
-CHUNK, LARGE = 1 << 16, 1 << 20
+#: Characters of a spread chunk, of a file from which on its chunks are spread, and calls that a grammar may nest.
+CHUNK, LARGE, DEEP = 1 << 16, 1 << 20, 100_000
 
 
 def language(path: str | None) -> str | None:
@@ -49,18 +51,50 @@ def _python(text: str) -> None:
         except (SyntaxError, ValueError) as e:
             raise lexing.Broken(str(e)) from None
         except (RecursionError, MemoryError):
-            pass  # deeper than the parser goes, which is no error of syntax
+            raise lexing.Broken("nested deeper than Python itself reads") from None
 
 
 def _constant(name: str):
     raise ValueError(name)
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:(?P<mark>[{}\[\],:])|(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<atom>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))')
+
+
+def _deep_json(text: str) -> None:
+    """JSON of any depth, on a stack of its own."""
+    at, stack, want = 0, [], "value"  # value, first (value or ]), key, name (key or }), colon, next (comma or closing)
+    text = text.rstrip(" \t\n\r")
+    while at < len(text):
+        m = _JSON_TOKEN.match(text, at)
+        if not m or (want == "next" and not stack):
+            raise lexing.Broken(f"at {at}")
+        at, mark = m.end(), m["mark"]
+        if want in ("value", "first") and (m["atom"] or m["str"]):
+            want = "next"
+        elif want in ("value", "first") and mark in ("{", "["):
+            stack.append(mark)
+            want = "name" if mark == "{" else "first"
+        elif want in ("key", "name") and m["str"]:
+            want = "colon"
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want == "next" and mark == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        elif mark in ("}", "]") and stack and stack[-1] == lexing.PAIRS[mark] and want in ("next", "name" if mark == "}" else "first"):
+            stack.pop()
+            want = "next"
+        else:
+            raise lexing.Broken(f"at {at}")
+    if stack or want != "next":
+        raise lexing.Broken("ends too early")
+
+
 def _json(text: str) -> None:
     try:
         json.loads(text, parse_constant=_constant)
     except RecursionError:
-        pass
+        _deep_json(text)
     except ValueError as e:
         raise lexing.Broken(str(e)) from None
 
@@ -75,15 +109,17 @@ def _yaml(text: str) -> None:
             pass
     except yaml.YAMLError as e:
         raise lexing.Broken(str(e)) from None
-    except RecursionError:
-        pass
+    except RecursionError:  # its events alone need no stack
+        try:
+            for _ in yaml.parse(text, Loader=_YAML):
+                pass
+        except yaml.YAMLError as e:
+            raise lexing.Broken(str(e)) from None
 
 
 def _toml(text: str) -> None:
     try:
         tomllib.loads(text)
-    except RecursionError:
-        pass
     except ValueError as e:
         raise lexing.Broken(str(e)) from None
 
@@ -127,30 +163,29 @@ def _markdown(text: str) -> None:
         raise lexing.Broken("conflict")
 
 
-def _with_chunks(lang: str, check):
-    def run(text: str) -> None:
-        effects = [lexing.effect(lang, c) for c in lexing.chunks(text, CHUNK)] if len(text) > CHUNK else [lexing.effect(lang, text, [""])]
-        if lang != "sql" and not lexing.balanced(reduce(lexing.combine, effects)):  # in SQL a mark's meaning may hang on a prefix, so tokens decide
-            raise lexing.Broken("brackets")
-        check(text)
-
-    return run
-
-
 CHECKS = {
     "Python": _python, "JSON": _json, "YAML": _yaml, "TOML": _toml, "Requirements": _requirements, "Markdown": _markdown,
-    "JavaScript": grammars.check_javascript, "TypeScript": grammars.check_typescript, "Java": _with_chunks("java", grammars.check_java), "Go": _with_chunks("go", grammars.check_go), "SQL": _with_chunks("sql", grammars.check_sql),
+    "JavaScript": grammars.check_javascript, "TypeScript": grammars.check_typescript, "Java": grammars.check_java, "Go": grammars.check_go, "SQL": grammars.check_sql,
 }
 
 
 def error(lang: str, text: str) -> str | None:
-    """Why a text is not valid in a language; None if it is."""
+    """Why a text is not valid in a language; None if it is. What nests deeper than DEEP calls counts as broken."""
+    text = text.removeprefix("\ufeff")
     try:
-        CHECKS[lang](text.removeprefix("﻿"))
+        try:
+            CHECKS[lang](text)
+        except RecursionError:  # calls of Python need no room on the machine's stack, so the limit may be raised
+            usual = sys.getrecursionlimit()
+            sys.setrecursionlimit(DEEP)
+            try:
+                CHECKS[lang](text)
+            finally:
+                sys.setrecursionlimit(usual)
     except lexing.Broken as e:
         return str(e)[:200] or "broken"
     except RecursionError:
-        return None
+        return "nested too deep"
     except IndexError:
         return "ends too early"
     return None
@@ -174,41 +209,44 @@ def checked(docs: DataFrame) -> DataFrame:
             why = [error(lang, t) for lang, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([w is not None for w in why]), pa.array(why, pa.string())], names=["doc_id", "repository_name", "language", "broken", "reason"])
 
-    spread = (F.length("text") > LARGE) & F.col("language").isin("Java", "Go")
+    spread = (F.length("text") > LARGE) & F.col("language").isin("Java", "Go", "SQL")
     small = rows.where(~spread).mapInArrow(run, schema)
-    large = rows.where(spread)
+    # rows of one id may differ, so a text's digest is part of its key; equal rows have one verdict
+    large = rows.where(spread).withColumn("digest", F.xxhash64("text", "language"))
     tangled = unbalanced(large)
-    sound = large.join(tangled, "doc_id", "left_anti").mapInArrow(run, schema)
-    lost = large.join(tangled, "doc_id").select("doc_id", "repository_name", "language", F.lit(True).alias("broken"), F.lit("brackets").alias("reason"))
+    key = ["doc_id", "digest"]
+    sound = large.join(tangled, key, "left_anti").select(*rows.columns).mapInArrow(run, schema)
+    lost = large.join(tangled, key, "left_semi").select("doc_id", "repository_name", "language", F.lit(True).alias("broken"), F.lit("brackets").alias("reason"))
     return small.unionByName(sound).unionByName(lost)
 
 
 def unbalanced(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """doc_id of each row (doc_id, language, text) whose chunks' effects don't reduce to balance.
+    """(doc_id, digest) of each row (doc_id, digest, language, text) whose chunks' effects don't reduce to balance.
 
-    Chunks are read in any task; only their effects, a few characters each, come together per document."""
+    Chunks are read in any task, from every state; only their effects, a few characters each, come together per text. A
+    text that takes the states of effects beyond their reach isn't told here: its own task reads it whole."""
 
     def cut_up(batches):
         for b in batches:
-            for i, lang, text in zip(b.column("doc_id").to_pylist(), b.column("language").to_pylist(), b.column("text").to_pylist()):
+            for i, digest, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "language", "text"))):
                 parts = lexing.chunks(text, size)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array([lang] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["doc_id", "language", "k", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array([digest] * len(parts), pa.int64()), pa.array([lang] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["doc_id", "digest", "language", "k", "chunk"])
 
     def read(batches):
         for b in batches:
-            effects = [json.dumps(lexing.effect(lang.lower(), c)) for lang, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(effects, pa.string())], names=["doc_id", "k", "effect"])
+            effects = [json.dumps(lexing.effect(lang.lower(), c)) for lang, c in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(effects, pa.string())], names=["doc_id", "digest", "k", "effect"])
 
-    pieces = rows.select("doc_id", "language", "text").mapInArrow(cut_up, "doc_id long, language string, k int, chunk string").repartition("doc_id", "k")
-    effects = pieces.mapInArrow(read, "doc_id long, k int, effect string")
-    whole = effects.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "effect"))), lambda x: x["effect"]).alias("effects"))
+    pieces = rows.select("doc_id", "digest", "language", "text").mapInArrow(cut_up, "doc_id long, digest long, language string, k int, chunk string").repartition("doc_id", "digest", "k")
+    effects = pieces.mapInArrow(read, "doc_id long, digest long, k int, effect string").dropDuplicates(["doc_id", "digest", "k"])
+    whole = effects.groupBy("doc_id", "digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "effect"))), lambda x: x["effect"]).alias("effects"))
 
     def join(batches):
         for b in batches:
-            bad = [i for i, es in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not lexing.balanced(reduce(lexing.combine, [json.loads(e) for e in es]))]
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["doc_id"])
+            bad = [k for k, es in enumerate(b.column(2).to_pylist()) if lexing.balanced(reduce(lexing.combine, [json.loads(e) for e in es])) is False]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(bad, pa.int32())) for c in b.columns[:2]], names=["doc_id", "digest"])
 
-    return whole.mapInArrow(join, "doc_id long")
+    return whole.mapInArrow(join, "doc_id long, digest long")
 
 
 def rates(docs: DataFrame) -> DataFrame:
