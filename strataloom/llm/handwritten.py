@@ -1,15 +1,18 @@
 """Generated, minified, vendored and data files among source code, so that hand-written source remains.
 
-Headers, banners and layout tell what a tool wrote, what is packed and what is data. Copies are found by hashes from
-the bottom up: blocks of a file, files, and directory trees. A tree's hash combines those of its files with their paths
-inside it by exclusive or, so one aggregation gives all levels at once and the order of files is of no account. Blocks,
-files and trees that unrelated repositories share mark vendored code, however its header was changed or its end cut off.
+Copies are found by hashes from the bottom up: blocks of a file, files, and directory trees by Merkle hashes, level by
+level from the deepest directories to the roots. A directory's hash is made of the names and hashes of what it holds,
+combined in any order, so a level is one aggregation with partial sums. Blocks, files and trees that unrelated
+repositories share mark vendored code, however its header was changed or its end cut off, and hashes are asked of every
+file. Headers, banners and layout tell what a tool wrote, what is packed and what is data; a copy that only one
+repository holds is told by its header or its directory.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
+from ..operators.skew import salted_join
 from . import residue
 
 # Extensions of source code.
@@ -39,7 +43,7 @@ _GENERATED = re.compile(
     r"(?:ce )?fichier (?:a [eé]t[eé] )?(?:g[eé]n[eé]r[eé]|cr[eé][eé])|g[eé]n[eé]r[eé] (?:par|automatiquement|[aà] partir)|ne pas (?:modifier|[eé]diter|toucher)|(?:archivo|fichero|c[oó]digo) generado|generado (?:autom|por|a partir)|no (?:editar|modificar)\b|(?:arquivo|c[oó]digo) gerado|n[aã]o edit|file generato|generato (?:da|autom)|non modificare|"
     r"(?:этот )?файл (?:был )?(?:создан|сгенерирован)|сгенерирован|автоматически (?:создан|сгенерирован)|не редактир|自動生成|このファイルは.{0,20}生成|自动生成|由.{0,30}生成|请勿(?:编辑|修改))"
 )
-_REGENERATE = re.compile(r"(?i)re-?run `?[^`]{2,40}`? (?:rather than|instead of) (?:touching|editing|changing)|regenerate (?:with|by|using)|source: \S+\.proto\b")
+_REGENERATE = re.compile(r"(?i)re-?run `?[^`]{2,40}`? (?:rather than|instead of) \w+ing\b|regenerate (?:with|by|using)|source: \S+\.proto\b")
 _UPSTREAM = re.compile(
     r"(?i)^(?:vendored (?:from|copy of|in from)|(?:copied|taken|imported|adapted|borrowed|forked|lifted|backported) (?:verbatim |unmodified |unchanged |as is |directly )?from|bundled (?:copy of|from)|verbatim copy of|copy of|third[- ]party (?:code|file|source|library)|upstream[: ]|this file is (?:part of|from|a copy of)|"
     r"(?:(?:copyright|\(c\)|©)\s*)+(?:\d{4}(?:\s*[-–,]\s*(?:\d{4}|present))*,?\s*)?(?:by\s+)?(?:the\s+)?(?P<who>[\w.\- ]{2,40}?)\s+(?:authors|contributors|developers|project|team|foundation|maintainers)\b|(?P<what>[\w.\-]{2,40})\s+v?\d+\.\d+(?:\.\d+)*\s*[|\-–—*]\s*(?:https?://|\(?c\)?|mit|bsd|apache|isc|©|license|released?))"
@@ -49,7 +53,7 @@ _BANNER = re.compile(r"^\s*/\*!.{0,200}?(?:v?\d+\.\d+|license|MIT|BSD|Apache)")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _LITERALS = re.compile(r"[-+]?\b\d[\w.]*|[\s,;:{}\[\]()=\-+|&.\"'`]+")
 _NUMBER_OR_NAME = re.compile(r"[A-Za-z_]\w*|\d[\w.]*")
-_IMPORT = re.compile(r"^\s*(?:import|from|package|use|using|require|include|#include|const \w+ = require|export \* from|\"[\w./\-]+\"|[()]|log = |$)")
+_IMPORT = re.compile(r"^\s*(?:import|from|package|use|using|require|include|#include|const \w+ = require|export \* from|\"[\w./\-]+\"|[()]|\w+ = (?:logging\.)?getLogger\b|$)")
 #: Names that tools give to what they write.
 _TOOL_NAME = re.compile(r"_pb2(?:_grpc)?\.|\.pb\.|\.gen(?:erated)?\.|_gen(?:erated)?\.|\.g\.|\.designer\.|stub\.java$|_string\.go$|auto_?migration|zz_generated|_mock\.go$")
 _KEYWORDS = frozenset("def class return self func type struct package public private protected final static void int string bool float double if else for while import from export function const let var new this None null true false raise throw try catch except case switch alter table add column create insert into values index on set update where integer text not primary key default".split())
@@ -87,13 +91,13 @@ def header(text: str) -> tuple[list[str], int]:
 
 
 def generated_header(top: list[str]) -> bool:
-    return any(_GENERATED.match(line) or _REGENERATE.search(line) for line in top[:25])
+    return any(_GENERATED.match(line) or _REGENERATE.search(line) for line in top)
 
 
 def foreign_header(top: list[str], repository: str | None) -> bool:
     """Whether the head names another project as the origin."""
     own = set(re.findall(r"\w+", (repository or "").lower()))
-    for line in top[:25]:
+    for line in top:
         m = _UPSTREAM.match(line)
         if m and not _OWN.search(line):
             named = (m["who"] or m["what"] or "").lower()
@@ -204,79 +208,110 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 def read_files(docs: DataFrame) -> DataFrame:
-    """One row per document of source code with its kind, content hash and blocks; no shuffle."""
+    """One row per document of source code with its kind, content hash, size and blocks; no shuffle."""
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, repo, path, text in zip(*(c.to_pylist() for c in b.columns)):
+            out: list[list] = [[], [], [], [], [], [], [], []]
+            for i, repo, path, text, at in zip(*(c.to_pylist() for c in b.columns)):
                 if not text or not path or not text.strip():
                     continue
                 path = tidy_path(path)
                 if extension(path) not in CODE:
                     continue
                 kind = kind_of(path, text, repo)
-                found = residue.shares(text)
-                if kind != "generated" and found[3] and found[0] >= residue.LEAST_SHARE * (found[0] + found[1]):
+                if kind != "generated" and residue.checked(residue.shares(text)):
                     continue  # an error page or a template's rest
-                cut_up = blocks(text)
-                whole = xxhash.xxh64_intdigest("".join(text[header(text)[1] :].split()).encode("utf-8", "replace")) - (1 << 63)
-                for column, v in zip(out, (i, repo or "", path, kind, whole, [{"h": h, "n": n} for h, n in cut_up])):
+                dense = "".join(text[header(text)[1] :].split())
+                whole = xxhash.xxh64_intdigest(dense.encode("utf-8", "replace")) - (1 << 63)
+                for column, v in zip(out, (i, repo or "", path, kind, whole, len(dense), at, [{"h": h, "n": n} for h, n in blocks(text)])):
                     column.append(v)
             t = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64()), pa.array(out[5], t)],
-                names=["doc_id", "repo", "path", "kind", "file_hash", "blocks"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "repository_name", "file_path", "text")
-    return rows.mapInArrow(run, "doc_id long, repo string, path string, kind string, file_hash long, blocks array<struct<h: long, n: int>>")
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), t]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], names=["doc_id", "repo", "path", "kind", "file_hash", "dense", "at", "blocks"])
+
+    at = F.unix_micros(F.col("committed_at").cast("timestamp")) if "committed_at" in docs.columns else F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "repository_name", "file_path", "text", at.alias("at"))
+    return rows.mapInArrow(run, "doc_id long, repo string, path string, kind string, file_hash long, dense int, at long, blocks array<struct<h: long, n: int>>")
+
+
+#: Levels of directories that one plan makes before they are written.
+LEVELS = 8
+
+
+def tree_hashes(files: DataFrame) -> DataFrame:
+    """(repo, dir, tree, n) of each directory of files (repo, path, file_hash, at): its Merkle hash and number of files.
+
+    A path that was scanned more than once counts as its newest scan left it (``at``; of equal ones the greatest hash).
+    One aggregation a level, the deepest first; a level holds the files and the directories of its directories. LEVELS of
+    them are one job, whose shuffles are reused from level to level, and one table."""
+    newest = F.struct("at", "file_hash") if "at" in files.columns else F.struct("file_hash")
+    once = files.groupBy("repo", "path").agg(F.max_by("file_hash", newest).alias("h")).withColumn("parts", F.split("path", "/"))
+    above = lambda parts: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    nodes = cut(once.where(F.size("parts") > 1).select("repo", above("parts").alias("dir"), F.element_at("parts", -1).alias("name"), "h", F.lit(1).cast("long").alias("n"), (F.size("parts") - 1).alias("level")), "nodes")
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
+    tables, below = [], None
+    for top in range(deepest, 0, -LEVELS):
+        made = []
+        for k in range(top, max(0, top - LEVELS), -1):
+            members = nodes.where(F.col("level") == k).drop("level")
+            if below is not None:
+                parts = F.split("dir", "/")
+                members = members.unionByName(below.select("repo", above(parts).alias("dir"), F.concat(F.element_at(parts, -1), F.lit("/")).alias("name"), F.col("tree").alias("h"), "n"))
+            held = members.groupBy("repo", "dir").agg(F.bit_xor(F.xxhash64("name", "h")).alias("mixed"), F.sum("n").alias("n"), F.count("*").alias("held"))
+            below = held.select("repo", "dir", F.xxhash64("mixed", "n", "held").alias("tree"), "n")
+            made.append(below.withColumn("level", F.lit(k)))
+        tables.append(cut(reduce(DataFrame.unionByName, made), "trees"))
+        below = tables[-1].where(F.col("level") == k).drop("level")
+    return reduce(DataFrame.unionByName, tables).drop("level") if tables else nodes.select("repo", "dir", F.col("h").alias("tree"), "n")
 
 
 def shared_trees(files: DataFrame, least: int = 2) -> DataFrame:
     """(repo, dir) of each directory tree of at least ``least`` files that another repository holds alike."""
-    once = files.groupBy("repo", "path").agg(F.max("file_hash").alias("file_hash"))
-    parts = F.split("path", "/")
-    level = F.explode(F.sequence(F.lit(1), F.size("parts") - 1))
-    above = once.withColumn("parts", parts).where(F.size("parts") > 1).select("repo", "file_hash", "parts", level.alias("k"))
-    trees = (
-        above.select("repo", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("dir"), F.xxhash64(F.array_join(F.expr("slice(parts, k + 1, size(parts))"), "/"), "file_hash").alias("h"))
-        .groupBy("repo", "dir")
-        .agg(F.bit_xor("h").alias("tree"), F.count("*").alias("n"))
-        .where(F.col("n") >= least)
-    )
+    trees = tree_hashes(files).where(F.col("n") >= least)
     shared = trees.groupBy("tree", "n").agg(F.min("repo").alias("first"), F.max("repo").alias("last")).where("first <> last").select("tree", "n")
     return trees.join(shared, ["tree", "n"], "left_semi").select("repo", "dir")
 
 
-def classified(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind) of each document that isn't hand-written: generated, minified, data or vendored.
-
-    Only files of source code count; null or empty texts and paths never do. A second scan of a repository's own file is
-    no copy. Repeated doc_ids are judged each; other columns are ignored."""
-    files = cut(read_files(docs), "files")
-    pieces = files.where("kind is null").select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.h", "b.n")
-    everywhere = files.select("repo", F.explode("blocks.h").alias("h")).groupBy("h").agg(F.min("repo").alias("first"), F.max("repo").alias("last")).where("first <> last").select("h", F.lit(1).alias("known"))
-    copies = (
-        pieces.join(everywhere, "h", "left")
-        .groupBy("doc_id")
-        .agg(F.sum("n").alias("size"), F.sum(F.when(F.col("known") == 1, F.col("n"))).alias("known"))
-        .where((F.col("known") >= SHARED * F.col("size")) & (F.col("known") >= 3 * BLOCK))
-        .select("doc_id")
-    )
-    trees = shared_trees(files)
+def _inside(files: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of files in a shared directory or below one. Directories are matched once each, then their files."""
     parts = F.split("path", "/")
-    inside = (
-        files.where("kind is null")
-        .select("doc_id", "repo", parts.alias("parts"))
-        .where(F.size("parts") > 1)
-        .select("doc_id", "repo", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
-        .select("doc_id", "repo", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("dir"))
-        .join(trees, ["repo", "dir"], "left_semi")
-        .select("doc_id")
+    placed = files.withColumn("dir", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
+    dirs = placed.where("dir <> ''").select("repo", "dir").distinct().withColumn("parts", F.split("dir", "/"))
+    every = dirs.select("repo", F.col("dir").alias("held"), F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/"))).alias("dir"))
+    held = every.join(shared, ["repo", "dir"], "left_semi").select("repo", F.col("held").alias("dir")).distinct()
+    return salted_join(placed, held, ["repo", "dir"], ["rid"], "left_semi")
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, evidence, kind): each reason for which a document isn't hand-written; rid tells rows of one id apart.
+
+    evidence: tree, file or block (an unrelated repository holds it alike) or alone (the file itself says so). Only files
+    of source code count; null or empty texts and paths never do. A second scan of a repository's own file is no copy."""
+    rid = F.xxhash64("doc_id", "repo", "path", "file_hash", "kind")
+    files = cut(read_files(docs).withColumn("rid", rid), "files")
+    shared = lambda keyed, k: keyed.groupBy(k).agg(F.min("repo").alias("first"), F.max("repo").alias("last")).where("first <> last").select(k)
+    pieces = files.select("rid", "doc_id", F.explode("blocks").alias("b")).select("rid", "doc_id", "b.h", "b.n")
+    known = shared(files.select("repo", F.explode("blocks.h").alias("h")), "h").withColumn("known", F.lit(True))
+    copies = (
+        salted_join(pieces, known, ["h"], ["rid"], "left")
+        .groupBy("rid", "doc_id")
+        .agg(F.sum("n").alias("size"), F.sum(F.when(F.col("known"), F.col("n"))).alias("held"))
+        .where((F.col("held") >= SHARED * F.col("size")) & (F.col("held") >= 3 * BLOCK))
     )
-    vendored = copies.unionByName(inside).distinct().withColumn("kind", F.lit("vendored"))
-    return files.where("kind is not null").select("doc_id", "kind").unionByName(vendored)
+    whole = files.where(F.col("dense") >= 3 * BLOCK)
+    alike = salted_join(whole, shared(whole.select("repo", "file_hash"), "file_hash"), ["file_hash"], ["rid"], "left_semi")
+    said = lambda df, why, kind="vendored": df.select("doc_id", "rid", F.lit(why).alias("evidence"), F.lit(kind).alias("kind") if kind else F.col("kind"))
+    return said(copies, "block").unionByName(said(alike, "file")).unionByName(said(_inside(files, shared_trees(files)), "tree")).unionByName(said(files.where("kind is not null"), "alone", None))
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, evidence) of each document that isn't hand-written: generated, minified, data or vendored; see evidence().
+
+    What the file itself says of being made by a tool names the kind first. Repeated doc_ids are judged each, equal rows
+    once; other columns are ignored."""
+    rank = F.when((F.col("evidence") == "alone") & (F.col("kind") != "vendored"), 0).otherwise(1)
+    return evidence(docs).groupBy("doc_id", "rid").agg(F.min_by("kind", rank).alias("kind"), F.array_sort(F.collect_set("evidence")).alias("evidence")).select("doc_id", "kind", "evidence")
 
 
 def handwritten(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import credentials, handwritten, leakage, names, residue, split, tokenize, validity
 
@@ -36,7 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: validity.checked(_table(s, d, "documents")).where("broken").select("doc_id"),
     "p1_rates": lambda s, d: validity.rates(_table(s, d, "documents")),
     "p2_found": lambda s, d: handwritten.classified(_table(s, d, "documents")).select("doc_id"),
-    "p2_kinds": lambda s, d: handwritten.classified(_table(s, d, "documents")),
+    "p2_kinds": lambda s, d: handwritten.classified(_table(s, d, "documents")).withColumn("evidence", F.array_join("evidence", ",")),
+    "p2_evidence": lambda s, d: handwritten.evidence(_table(s, d, "documents")).groupBy("kind", "evidence").agg(F.count_distinct("doc_id").alias("n")),
     "p2_handwritten": lambda s, d: handwritten.handwritten(_table(s, d, "documents")).select("doc_id", "repository_name", "file_path"),
     "p4_found": _credentials,
     "p4_redacted": _redacted,

@@ -69,3 +69,27 @@ def test_trees_against_brute_force(spark):
             by[tuple(sorted(t.items()))].add((r, d))
     want = {x for g in by.values() if len({r for r, _ in g}) > 1 for x in g}
     assert {(r.repo, r.dir) for r in H.shared_trees(df).collect()} == want
+
+
+def test_trees_of_any_depth(spark):
+    deep = "/".join(f"d{i}" for i in range(30))
+    rows = [(r, f"{top}/{deep}/{f}.py", h) for r, top in (("a", "x"), ("b", "y/z")) for f, h in (("f", 1), ("g", 2))] + [("b", f"y/z/{deep}/d30/h.py", 3), ("a", "x/own.py", 4)]
+    df = spark.createDataFrame(rows, "repo string, path string, file_hash long")
+    assert {(r.repo, r.dir) for r in H.shared_trees(df).collect()} == set()
+    df = df.where("file_hash <> 3")
+    assert ("a", f"x/{deep}") in {(r.repo, r.dir) for r in H.shared_trees(df).collect()} and len(H.shared_trees(df).collect()) == 2 * 30
+    assert H.shared_trees(df.limit(0)).count() == 0
+
+
+def test_newest_scan_of_a_path_counts(spark):
+    rows = [("a", "v/f.py", 1, 10), ("a", "v/f.py", 9, 5), ("a", "v/g.py", 2, 10), ("b", "w/f.py", 1, 1), ("b", "w/g.py", 2, 1)]
+    df = spark.createDataFrame(rows, "repo string, path string, file_hash long, at long")
+    assert {(r.repo, r.dir) for r in H.shared_trees(df).collect()} == {("a", "v"), ("b", "w")}
+
+
+def test_hashes_are_asked_of_every_file(spark):
+    lib = OWN.format("lib", 77)
+    head = "// Code generated by apicast 2.17. DO NOT EDIT.\n\n"
+    data = [(1, "# Copied verbatim from mosejujs@08c247e\n" + lib, "a", "third_party/q/x.py"), (2, lib, "b", "src/y.py"), (3, head + "package x\n", "a", "x.go"), (4, "# " + "licence text\n# " * 60 + "Code generated by x. DO NOT EDIT.\n" + OWN.format("z", 1), "a", "z.py")]
+    got = {r.doc_id: (r.kind, r.evidence) for r in H.classified(rows(spark, data)).collect()}
+    assert got == {1: ("vendored", ["alone", "block", "file"]), 2: ("vendored", ["block", "file"]), 3: ("generated", ["alone"]), 4: ("generated", ["alone"])}
