@@ -13,13 +13,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import Cut, cut
+from ..operators.skew import salted_join
 
 # Common short forms of given names.
 NICKNAMES = {
@@ -36,12 +37,11 @@ NICKNAMES = {
 TITLES = frozenset("mr mrs ms miss mx dr prof professor eng ing ir sir dame lord lady herr frau hr fr mag dipl phd md msc bsc mba jr sr ii iii esq rev hon don dona sra senor senora mme mlle m.".split())
 # Legal forms.
 LEGAL = frozenset("co company corp corporation inc incorporated ltd limited llc llp lp plc gmbh ag kg kgaa ohg ug se sa sas sarl srl spa bv nv oy oyj ab as asa aps pty pte kk doo zrt sro ltda".split())
-# Abbreviations of kinds of organisation.
+# Kinds of organisation, with the usual abbreviations that the rule of spelled_out() doesn't resolve.
 KINDS = {
-    "academy": "acad", "agency": "agcy", "airlines": "airl", "analytics": "anl anal anlt anlyt", "association": "assn assoc", "bank": "bk bnk", "bureau": "bur", "center": "ctr cent centre", "college": "coll", "commission": "comm", "committee": "cttee",
-    "consulting": "cons", "department": "dept", "development": "dev devt", "engineering": "engr engrg", "foundation": "fdn found fndn fdtn", "group": "grp", "holdings": "hldgs", "hospital": "hosp", "industries": "ind inds", "institute": "inst", "insurance": "ins",
-    "international": "intl", "laboratories": "labs lab laboratory lbs", "library": "lib", "logistics": "log", "manufacturing": "mfg", "ministry": "min", "museum": "mus", "networks": "netw", "partners": "ptnrs", "pharmaceuticals": "pharma", "publishing": "publ", "railways": "rwys rlys rys railway rwy",
-    "research": "res", "services": "svcs svc", "society": "soc", "software": "sw", "solutions": "soln", "studios": "std", "systems": "sys syst", "technologies": "tech techs", "telecom": "tel", "transport": "transp", "trust": "tr", "union": "un", "university": "univ uni",
+    "academy": "", "agency": "", "airlines": "", "analytics": "", "association": "assn assoc", "bank": "", "bureau": "", "center": "ctr centre", "college": "coll", "commission": "comm", "committee": "cttee", "consulting": "cons", "department": "dept", "development": "dev devt", "engineering": "engrg",
+    "foundation": "", "group": "grp", "holdings": "", "hospital": "", "industries": "ind inds", "institute": "inst", "insurance": "ins", "international": "intl", "laboratories": "labs lab laboratory", "library": "lib", "logistics": "log", "manufacturing": "mfg", "ministry": "min", "museum": "mus", "networks": "", "partners": "",
+    "pharmaceuticals": "pharma", "publishing": "publ", "railways": "railway rwy", "research": "res", "services": "svc", "society": "soc", "software": "sw", "solutions": "soln", "studios": "", "systems": "sys", "technologies": "tech techs", "telecom": "tel", "transport": "", "trust": "tr", "union": "un", "university": "uni",
 }
 FORMAL = {n: f for f, ns in NICKNAMES.items() for n in ns.split()}
 GIVEN = frozenset(NICKNAMES)
@@ -98,6 +98,18 @@ def _parts(text: str) -> list[str]:
     return [_clean(w).lower().strip("-'") for w in words if w.lower() not in TITLES and w.strip("-'")]
 
 
+@lru_cache(maxsize=50_000)
+def spelled_out(word: str) -> str:
+    """The kind of organisation that a word abbreviates: the one that it begins, else the one of whose letters it is."""
+    if word in KIND:
+        return KIND[word]
+    if word in KINDS or not 2 <= len(word) <= 6:
+        return word
+    fits = [k for k in KINDS if abbreviates(word, k)]
+    begun = [k for k in fits if k.startswith(word)]
+    return begun[0] if len(begun) == 1 else fits[0] if len(fits) == 1 else word
+
+
 @lru_cache(maxsize=200_000)
 def organisation(name: str) -> tuple[str, str, str]:
     """(proper part, kind, legal form); the order of "Kind of Proper" is undone, known abbreviations are spelled out."""
@@ -115,7 +127,7 @@ def organisation(name: str) -> tuple[str, str, str]:
     words = [w for w in words if w not in ("and", "of", "the")] or words
     if not words:
         return "", "", legal
-    return words[0], " ".join(KIND.get(w, w) for w in words[1:]), legal
+    return words[0], " ".join(map(spelled_out, words[1:])), legal
 
 
 # -- tokens ---------------------------------------------------------------------------------------------------------
@@ -123,7 +135,7 @@ def organisation(name: str) -> tuple[str, str, str]:
 
 def _neighbourhood(token: F.Column) -> F.Column:
     n = F.length(token)
-    return F.array_distinct(F.concat(F.array(token), F.when(n >= 5, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, n)))).otherwise(F.array())))
+    return F.array_distinct(F.concat(F.array(token), F.when(n >= 4, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, n)))).otherwise(F.array())))
 
 
 def _chars(c: F.Column) -> F.Column:
@@ -135,10 +147,15 @@ def _near(a: F.Column, b: F.Column) -> F.Column:
     return (d <= 1) | ((d == 2) & (F.length(a) == F.length(b)) & (_chars(a) == _chars(b)))
 
 
+#: How much commoner a token under five characters must be than another such one for that to count as its misspelling.
+RARER = 20
+
+
 def variants(tokens: DataFrame) -> DataFrame:
     """(scope, token, centre) of each (scope, token, n): the commonest token that a chain of small edits leads to.
 
-    Edits count on the token as it stands and with digraphs as single vowels. An entry of the neighbourhood holds at most
+    Edits count on the token as it stands and with digraphs as single vowels. Short names differ by one letter more often
+    than they are misspelled, so where both have under five characters the commoner must be RARER times as common. An entry of the neighbourhood holds at most
     as many tokens as one insertion can make, so no join key is hot."""
     spark = tokens.sparkSession
     single = F.regexp_replace("token", "([aou])e", "$1")
@@ -146,8 +163,9 @@ def variants(tokens: DataFrame) -> DataFrame:
     keys = base.select("scope", "token", "n", "single", F.explode(F.array_distinct(F.concat(_neighbourhood(F.col("token")), _neighbourhood(F.col("single"))))).alias("entry"))
     other = keys.select("scope", "entry", F.col("token").alias("token2"), F.col("n").alias("n2"), F.col("single").alias("single2"))
     above = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("token2") < F.col("token")))
+    enough = (F.greatest(F.length("token"), F.length("token2")) >= 5) | (F.col("n2") >= RARER * F.col("n"))
     both_given = F.col("token").isin(*GIVEN) & F.col("token2").isin(*GIVEN)
-    pairs = keys.join(other, ["scope", "entry"]).where(above & ~both_given & (_near(F.col("token"), F.col("token2")) | _near(F.col("single"), F.col("single2"))))
+    pairs = keys.join(other, ["scope", "entry"]).where(above & enough & ~both_given & (_near(F.col("token"), F.col("token2")) | _near(F.col("single"), F.col("single2"))))
     best = pairs.groupBy("scope", "token").agg(F.max_by("token2", F.struct("n2", "token2")).alias("centre"))
     hold = Cut(spark, "centres")
     state = hold(base.join(best, ["scope", "token"], "left").select("scope", "token", F.coalesce("centre", "token").alias("centre")))
@@ -206,16 +224,42 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
+def assignment(cost: list[list[float]]) -> float:
+    """Least cost of giving each row a column of its own (no more rows than columns), by shortest augmenting paths."""
+    n, m = len(cost), len(cost[0])
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, way, used = [inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            used[j], at, delta, nxt = True, row_of[j], inf, 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    c = cost[at - 1][k - 1] - u[at] - v[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < delta:
+                        delta, nxt = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = nxt
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    return sum(cost[row_of[k] - 1][k - 1] for k in range(1, m + 1) if row_of[k])
+
+
 def alignment(a: list[str], b: list[str]) -> float:
-    """Cost of the best assignment of the shorter token list to the longer one; 9 or more where none fits."""
+    """Cost of the best assignment of the shorter token list to the longer one, however long; 9 or more where none fits."""
     if len(a) > len(b):
         a, b = b, a
-    if not a:
+    if not a or a == b:
         return 0.0
-    if len(b) > 6:
-        a, b = a[:6], b[:6]
-    cost = [[token_cost(x, y) for y in b] for x in a]
-    return min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(len(b)), len(a)))
+    return assignment([[token_cost(x, y) for y in b] for x in a])
 
 
 def _aligned(df: DataFrame) -> DataFrame:
@@ -281,31 +325,44 @@ def entities(mentions: DataFrame, id_col: str = "mention_id") -> DataFrame:
     initial that two share) joins none of them, only its equals. Repeated rows get the same entity."""
     rows = cut(parsed(mentions, id_col), "names")
     blocks = variants(rows.groupBy(F.col("kind").alias("scope"), F.col("block").alias("token")).agg(F.count("*").alias("n")))
-    rows = cut(rows.join(blocks.select(F.col("scope").alias("kind"), F.col("token").alias("block"), F.col("centre").alias("head")), ["kind", "block"]), "heads")
-    scope = F.concat_ws("\t", "kind", "head")
+    rows = cut(salted_join(rows, blocks.select(F.col("scope").alias("kind"), F.col("token").alias("block"), F.col("centre").alias("head")), ["kind", "block"], ["id"]), "heads")
     full = (F.length("part") > 1) & ~((F.col("kind") == "org") & (F.length("part") <= 4) & ~F.col("part").isin(*KINDS))
-    parts = variants(rows.where(full).groupBy(scope.alias("scope"), F.col("part").alias("token")).agg(F.count("*").alias("n")))
-    whole = rows.where(full).join(parts.select(F.split("scope", "\t")[0].alias("kind"), F.split("scope", "\t")[1].alias("head"), F.col("token").alias("part"), F.col("centre").alias("given")), ["kind", "head", "part"])
-    whole = cut(whole, "whole")
-    # initials, abbreviations and missing parts: the one of the same head that they fit, if there is just one
-    known = whole.groupBy("kind", "head", "given").agg(F.collect_set("extra").alias("extras"), F.count("*").alias("n"))
-    short = rows.where(~full).groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("n_short"))
-    letters = lambda c: F.concat(F.lit("^"), F.regexp_replace(c, "(.)", "$1.*"))
-    fits = short.join(known, ["kind", "head"]).where((F.col("part") == "") | (F.col("given").startswith(F.col("part"))) | ((F.col("kind") == "org") & F.col("part").rlike("^[a-z ]+$") & F.rlike(F.col("given"), letters(F.col("part")))))
-    tight = (F.col("extra") != "") & F.array_contains("extras", F.col("extra"))
-    chosen = fits.groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("k"), F.min("given").alias("only"), F.count_if(tight).alias("kt"), F.min(F.when(tight, F.col("given"))).alias("only_t"))
-    chosen = chosen.select("kind", "head", "part", "extra", F.when(F.col("kt") == 1, F.col("only_t")).when(F.col("k") == 1, F.col("only")).alias("given"))
-    small = rows.where(~full).join(chosen, ["kind", "head", "part", "extra"], "left")
+    parts = variants(rows.where(full).groupBy(F.concat_ws("\t", "kind", "head").alias("scope"), F.col("part").alias("token")).agg(F.count("*").alias("n")))
+    parts = parts.select(F.split("scope", "\t")[0].alias("kind"), F.split("scope", "\t")[1].alias("head"), F.col("token").alias("part"), F.col("centre").alias("given"))
+    whole = cut(salted_join(rows.where(full), parts, ["kind", "head", "part"], ["id"]), "whole")
+    short = rows.where(~full)
+    small = salted_join(short, _completed(short, whole), ["kind", "head", "part", "extra"], ["id"], "left")
     small = small.withColumn("given", F.coalesce("given", F.concat_ws(".", F.lit(""), "part", "extra")))
     everyone = whole.select("id", "kind", "head", "given", "block", "part").unionByName(small.select("id", "kind", "head", "given", "block", "part"))
     spelling = F.concat_ws(" ", "part", "block")
     forms = everyone.groupBy("kind", "head", "given", spelling.alias("spelling")).agg(F.count("*").alias("n"), F.max(F.length("part")).alias("long"))
     best = forms.groupBy("kind", "head", "given").agg(F.max_by("spelling", F.struct((F.col("long") > 1).cast("int"), "n", "spelling")).alias("best"))
-    apart = _aligned(forms.join(best, ["kind", "head", "given"]).select("kind", "head", "given", "spelling", "best")).where("not fits").select("kind", "head", "given", "spelling", F.lit(True).alias("apart"))
-    keyed = everyone.withColumn("spelling", spelling).join(apart, ["kind", "head", "given", "spelling"], "left")
+    apart = _aligned(forms.join(best, ["kind", "head", "given"]).where("spelling <> best").select("kind", "head", "given", "spelling", "best")).where("not fits").select("kind", "head", "given", "spelling", F.lit(True).alias("apart"))
+    keyed = salted_join(everyone.withColumn("spelling", spelling), apart, ["kind", "head", "given", "spelling"], ["id"], "left")
     return keyed.select("id", F.concat_ws("\t", "kind", "head", "given", F.when(F.col("apart"), F.col("spelling"))).alias("entity"))
 
 
+def _completed(short: DataFrame, whole: DataFrame) -> DataFrame:
+    """(kind, head, part, extra, given): for initials, abbreviations and missing parts the one of the same head that they fit.
+
+    Without just one that fits, given is null. What an initial or a missing part may stand for is counted per first letter
+    before it is joined, so a common surname's short forms never meet all of its given names; abbreviations, which only
+    kinds of organisation have, meet the kinds of one name that begin alike."""
+    forms = short.select("kind", "head", "part", "extra").distinct()
+    known = whole.groupBy("kind", "head", "given", "extra").agg(F.count("*").alias("n"))
+    begins = known.select("kind", "head", "given", "extra", F.explode(F.array(F.lit(""), F.substring("given", 1, 1))).alias("part"))
+    loose = begins.select("kind", "head", "part", "given").distinct().groupBy("kind", "head", "part").agg(F.count("*").alias("k"), F.min("given").alias("only"))
+    tight = begins.where("extra <> ''").groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("kt"), F.min("given").alias("only_t"))
+    one = forms.where(F.length("part") <= 1).join(loose, ["kind", "head", "part"]).join(tight, ["kind", "head", "part", "extra"], "left")
+    pick = lambda df: df.select("kind", "head", "part", "extra", F.when(F.col("kt") == 1, F.col("only_t")).when(F.col("k") == 1, F.col("only")).alias("given"))
+    letters = F.concat(F.lit("^"), F.regexp_replace("part", "(.)", "$1.*"))
+    fits = F.col("given").startswith(F.col("part")) | (F.col("part").rlike("^[a-z ]+$") & F.rlike(F.col("given"), letters))
+    kinds = known.where("kind = 'org'").select("kind", "head", "given", F.substring("given", 1, 1).alias("letter")).distinct()
+    many = forms.where((F.length("part") > 1) & (F.col("kind") == "org")).withColumn("letter", F.substring("part", 1, 1)).join(kinds, ["kind", "head", "letter"]).where(fits)
+    many = many.groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("k"), F.min("given").alias("only"))
+    return pick(one).unionByName(pick(many.withColumns({"kt": F.lit(None).cast("long"), "only_t": F.lit(None).cast("string")})))
+
+
 PAIR_BLOCK = 2000
 
 

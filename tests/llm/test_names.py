@@ -1,7 +1,7 @@
 """Names: readings of single forms, tokens against brute force, and the linking of rows."""
 
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 
@@ -73,3 +73,28 @@ def test_hot_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "PAIR_BLOCK", 7)
     df = spark.createDataFrame([(i, "Susan Zofememolu", "Susan Zofememolu", "Person", None) for i in range(40)], "mention_id long, name string, canonical_name string, type string, aliases array<string>")
     assert N.linked_pairs(df).distinct().count() == 40 * 39 // 2 == N.linked_pairs(df).count()
+
+
+def test_assignment_against_permutations():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 5)
+        m = rng.randint(n, 6)
+        cost = [[rng.choice([0.0, 0.5, 0.6, 0.9, 9.0]) for _ in range(m)] for _ in range(n)]
+        assert abs(N.assignment(cost) - min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))) < 1e-9
+
+
+def test_every_token_of_a_long_name_counts():
+    words = [f"{c}{c}verylong{c}" for c in "abcdefghijklmnopqrst"]
+    assert N.alignment(words, list(reversed(words))) == 0
+    assert N.alignment(words, [*words[:-1], "elsewhere"]) >= 9
+    assert N.alignment(words[:7], [*words[:6], "elsewhere"]) >= 9
+
+
+def test_short_names_link_only_where_one_is_much_rarer(spark):
+    df = spark.createDataFrame([("p", "hull", 900), ("p", "hall", 700), ("p", "hlal", 3), ("p", "hal", 1), ("p", "hill", 60)], "scope string, token string, n long")
+    assert {r.token: r.centre for r in N.variants(df).collect()} == {"hull": "hull", "hall": "hall", "hlal": "hall", "hal": "hall", "hill": "hill"}
+
+
+def test_abbreviated_kinds():
+    assert [N.spelled_out(w) for w in ("anlt", "univ", "labs", "fdn", "rlys", "bajaz", "bank")] == ["analytics", "university", "laboratories", "foundation", "railways", "bajaz", "bank"]
