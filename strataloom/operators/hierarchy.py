@@ -5,9 +5,10 @@ one equi-join of the frontier with itself extends all chains to twice the length
 log2(d) rounds, not d. A round that finishes no node has passed the deepest tree; what is then still unreached lies on a
 cycle or below one. Nodes are joined by 128-bit digests, 16 bytes each, however long their ids are.
 
-Every node has at most one parent, so each join matches a row with at most one row and nothing fans out; a parent with
-a third of all children only repeats one probe key. The probe side is reduced to its distinct pointers before it is
-shuffled, so such a key is no hot one.
+Every node has at most one parent, so each join matches a row with at most one row and nothing fans out. Nodes that have
+arrived leave the rounds. A pointer that a third of all nodes share is found by a count before each join: rows of such
+hot pointers stay where they are and meet a broadcast of their few targets (see skew), also where nodes meet the names
+of their roots.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import Cut, cut
+from .skew import counted_join, hot_limit
 
 BLANK = r"^[\s\x{00A0}]*$"
 
@@ -28,7 +30,7 @@ def key(col: F.Column | str) -> F.Column:
 def clean_links(df: DataFrame, child: str, parent: str) -> DataFrame:
     """One row (child, parent) per child: null, blank and self links go, repeated rows count once.
 
-    If a child has several parents against the contract, the smallest one in byte order counts."""
+    If a child has several parents against the contract, the smallest one in byte order counts; extra_parents() tells them."""
     c, p = F.col(child).cast("string"), F.col(parent).cast("string")
     return (
         df.select(c.alias("child"), p.alias("parent"))
@@ -45,19 +47,29 @@ def contains_links(relationships: DataFrame) -> DataFrame:
     return clean_links(relationships.where(kind == "CONTAINS"), "target_canonical_id", "source_canonical_id")
 
 
-def _step(state: DataFrame) -> DataFrame:
-    """Nodes that have arrived stay; the others jump from their pointer to the pointer's pointer."""
-    ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
-    moving = state.where("not done")
-    wanted = moving.select("ptr").distinct()
-    hops = ahead.join(wanted, "ptr")
-    moved = moving.join(hops, "ptr", "left").select(
+def _hops(moving: DataFrame, arrived: DataFrame | None) -> DataFrame:
+    """(ptr, n, ptr2, dist2, done2): what each pointer of the moving nodes points to itself; nulls for a topmost one."""
+    wanted = moving.groupBy("ptr").agg(F.count("*").alias("n"))
+    ahead = lambda df, done: df.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.lit(done).alias("done2"))
+    known = ahead(moving, False) if arrived is None else ahead(moving, False).unionByName(ahead(arrived, True))
+    return wanted.join(known, "ptr", "left")
+
+
+def _step(moving: DataFrame, arrived: DataFrame | None, limit: int, hottest: int) -> DataFrame:
+    """The moving nodes after a jump from their pointer to the pointer's pointer, and whether they have arrived."""
+    jumped = counted_join(moving, _hops(moving, arrived), "ptr", limit, hottest)
+    return jumped.select(
         "node",
         F.coalesce("ptr2", "ptr").alias("ptr"),
         (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
         (F.col("ptr2").isNull() | F.col("done2")).alias("done"),
     )
-    return state.where("done").unionByName(moved)
+
+
+def _load(nodes: DataFrame) -> tuple[int, int]:
+    """Rows, and those of the pointer that most of them share."""
+    r = nodes.groupBy("ptr").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("hottest")).first()
+    return r.rows or 0, r.hottest or 0
 
 
 def _cycles(open_nodes: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
@@ -70,7 +82,10 @@ def _cycles(open_nodes: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
     n = open_nodes.count()
     state = open_nodes.select("node", "ptr")
     while (1 << rounds) < n:
-        state = hold(state.join(state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr").select("node", F.col("next").alias("ptr")))
+        sizes = state.groupBy("ptr").agg(F.count("*").alias("n"))
+        hottest = sizes.agg(F.max("n")).first()[0] or 0
+        ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")).join(sizes, "ptr")
+        state = hold(counted_join(state, ahead, "ptr", hot_limit(n), hottest).select("node", F.col("next").alias("ptr")))
         rounds += 1
     on_cycle = state.select("ptr").distinct().withColumnRenamed("ptr", "node")
     ring = names.join(on_cycle, "node", "left_semi").select("node", F.col("parent_key").alias("ptr"), F.col("child").alias("least"))
@@ -81,7 +96,10 @@ def _cycles(open_nodes: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
         ahead = ring.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("least").alias("least2"))
         ring = hold_ring(ring.join(ahead, "ptr").select("node", F.col("next").alias("ptr"), F.least("least", "least2").alias("least")))
         j += 1
-    return state.join(ring.select(F.col("node").alias("ptr"), F.col("least").alias("root_id")), "ptr").select("node", "root_id")
+    sizes = state.groupBy("ptr").agg(F.count("*").alias("n"))
+    hottest = sizes.agg(F.max("n")).first()[0] or 0
+    least = ring.select(F.col("node").alias("ptr"), F.col("least").alias("root_id")).join(sizes, "ptr")
+    return counted_join(state, least, "ptr", hot_limit(n), hottest).select("node", "root_id")
 
 
 def hierarchy(links: DataFrame, max_rounds: int = 62) -> DataFrame:
@@ -91,23 +109,37 @@ def hierarchy(links: DataFrame, max_rounds: int = 62) -> DataFrame:
     the smallest id on that cycle in byte order. An empty table gives an empty result."""
     spark = links.sparkSession
     names = cut(links.select("child", "parent", key("child").alias("node"), key("parent").alias("parent_key")), "links")
-    hold = Cut(spark, "levels")
-    state = names.select("node", F.col("parent_key").alias("ptr"), F.lit(1).alias("dist"), F.lit(False).alias("done"))
-    left, rounds = None, 0
-    while left != 0 and rounds < max_rounds:
-        state = hold(_step(state))
-        now = state.where("not done").count()
-        rounds += 1
-        if now == left:
+    hold = Cut(spark, "levels", keep=max_rounds)
+    moving = names.select("node", F.col("parent_key").alias("ptr"), F.lit(1).alias("dist"))
+    total, hottest = _load(moving)
+    limit, arrived, left, rounds = hot_limit(total), None, total, 0
+    while left and rounds < max_rounds:
+        state = hold(_step(moving, arrived, limit, hottest))
+        done = state.where("done").drop("done")
+        arrived = done if arrived is None else arrived.unionByName(done)
+        moving = state.where("not done").drop("done")
+        (now, hottest), rounds = _load(moving), rounds + 1
+        if now == left:  # a round that finishes no node has passed the deepest tree
             break
         left = now
+    if arrived is None:
+        return names.select(F.col("child").alias("node_id"), F.col("parent").alias("root_id"), F.lit(0).alias("depth")).where("false")
     tops = names.select(F.col("parent_key").alias("ptr"), F.col("parent").alias("root_id")).join(names.select(F.col("node").alias("ptr")), "ptr", "left_anti").distinct()
-    done = state.where("done").join(tops, "ptr").select("node", "root_id", F.col("dist").alias("depth"))
+    sizes = arrived.groupBy("ptr").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    done = counted_join(arrived, tops.join(sizes, "ptr"), "ptr", limit, most).select("node", "root_id", F.col("dist").alias("depth"))
     if left:
-        done = done.unionByName(_cycles(state.where("not done"), names, rounds).withColumn("depth", F.lit(-1)))
+        done = done.unionByName(_cycles(moving, names, rounds).withColumn("depth", F.lit(-1)))
     return names.select("node", F.col("child").alias("node_id")).join(done, "node").select("node_id", "root_id", F.col("depth").cast("int").alias("depth"))
 
 
+def extra_parents(df: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, n_parents) of each child with several parents, of which clean_links() keeps the smallest: what to report."""
+    c, p = F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("parent")
+    sound = df.select(c, p).where("child is not null and parent is not null and child <> parent").where(~F.col("child").rlike(BLANK) & ~F.col("parent").rlike(BLANK))
+    return sound.distinct().groupBy("child").agg(F.count("*").alias("n_parents")).where("n_parents > 1")
+
+
 def ancestor_pairs(links: DataFrame, max_rounds: int = 62) -> DataFrame:
     """(ancestor_id, node_id, distance): each node with each of its ancestors, by doubling of the pairs known so far.
 

@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_opened: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none (tests, one machine) an own one."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a single machine has one of its own, as tests do;
+    a cluster's executors share no such folder, so there it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "strataloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the driver ends; sweep() empties it before."""
+    base = f"{shared_folder(spark)}/strataloom-{spark.sparkContext.applicationId}"
+    if base not in _opened:
+        _opened[base] = spark
+        atexit.register(_leave, base)
+    return base
+
+
+def _leave(base: str) -> None:
+    try:
+        drop_table(_opened.pop(base), base)
+    except Exception:  # the JVM is gone already
+        pass
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that cut() wrote and that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables of this application's cuts: for the end of a query whose result has been written."""
+    drop_table(spark, application_folder(spark))
+
+
 class Cut:
     """A sequence of tables of which only the newest is kept: each round of an iteration writes one.
 
@@ -33,7 +60,7 @@ class Cut:
 
     def __init__(self, spark: SparkSession, name: str, keep: int = 1) -> None:
         self.spark, self.keep = spark, keep
-        self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:

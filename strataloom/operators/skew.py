@@ -16,3 +16,23 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], row: list[str],
     match nothing, as in any join."""
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return big.withColumn("__salt", F.pmod(F.xxhash64(*row), F.lit(ways)).cast("int")).join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+#: A key is hot if it has more than one in HOT_SHARE of all rows, and more than HOT_ROWS: fewer than HOT_SHARE keys can.
+HOT_SHARE, HOT_ROWS = 1000, 100_000
+
+
+def hot_limit(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_SHARE)
+
+
+def counted_join(big: DataFrame, small: DataFrame, on: str, limit: int, hottest: int) -> DataFrame:
+    """big joined to small (one row a key, with n, the number of big's rows that it has).
+
+    Keys of more than ``limit`` rows, of which there are fewer than HOT_SHARE (see hot_limit), are broadcast, so their rows
+    of big stay where they are; the rest is shuffled by key. Where the hottest key has no more, there is only the latter."""
+    if hottest <= limit:
+        return big.join(small.drop("n"), on)
+    hot = F.broadcast(small.where(F.col("n") > limit).drop("n"))
+    cold = small.where(F.col("n") <= limit).drop("n")
+    return big.join(hot, on).unionByName(big.join(F.broadcast(small.where(F.col("n") > limit).select(on)), on, "left_anti").join(cold, on))
