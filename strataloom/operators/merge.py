@@ -20,9 +20,15 @@ def _longest(c: str, order: Column) -> Column:
     return F.min_by(c, F.when(n > 0, F.struct((-n).alias("n"), order.alias("o"))))
 
 
-def _all_aliases(*more: Column) -> Column:
-    gathered = F.array_distinct(F.flatten(F.collect_set(F.coalesce("aliases", F.array().cast("array<string>")))))
-    return F.array_sort(gathered)
+def _all_aliases(df: DataFrame, key: str) -> DataFrame:
+    """(key, aliases): all aliases of each key, sorted. They are made distinct before they come together."""
+    one = df.select(key, F.explode("aliases").alias("a")).distinct()
+    return one.groupBy(key).agg(F.array_sort(F.collect_list("a")).alias("aliases"))
+
+
+def _with_aliases(merged: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    both = merged.join(_all_aliases(df, key), key, "left")
+    return both.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
 def merge_entities(df: DataFrame, key: str, order: list[str], type_col: str = "type", default_type: str = "Concept") -> DataFrame:
@@ -32,36 +38,38 @@ def merge_entities(df: DataFrame, key: str, order: list[str], type_col: str = "t
     description: the longest; aliases: all, sorted; confidence: the highest."""
     o = F.struct(*order)
     named = df.where(F.length(F.trim(F.coalesce(F.col(key), F.lit("")))) > 0)
-    return named.groupBy(key).agg(
+    merged = named.groupBy(key).agg(
         F.coalesce(_first("name", o, (F.col("name") != F.col(key)) & (F.col("name") != "")), _first("name", o)).alias("name"),
         F.coalesce(_first(type_col, o, F.col(type_col) != default_type), _first(type_col, o)).alias(type_col),
         _longest("description", o).alias("description"),
-        _all_aliases().alias("aliases"),
         F.max("confidence").alias("confidence"),
         F.count("*").alias("mentions"),
     )
+    return _with_aliases(merged, named, key).select(key, "name", type_col, "description", "aliases", "confidence", "mentions")
 
 
 def merge_code_entities(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per canonical_id with the first name, type and provenance, the longest description, all aliases and the
-    properties that any row has, the first non-empty value of each."""
+    properties that any row has, the first non-empty value of each. Properties and aliases are merged entry by entry, so an
+    id that every repository shares gathers no list of its rows."""
     order = order or ["extracted_at", "record_id"]
     o = F.struct(*order)
     named = df.where(F.length(F.trim(F.coalesce("canonical_id", F.lit("")))) > 0)
-    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("properties") > 0, F.struct(o.alias("o"), F.map_entries("properties").alias("e"))))), lambda x: x["e"]))
-    filled = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    kept = F.aggregate(filled, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
-    return named.groupBy("canonical_id").agg(
+    entries = named.select("canonical_id", o.alias("o"), F.posexplode(F.map_entries("properties")).alias("i", "e")).select("canonical_id", "o", "i", "e.*").where("value <> ''")
+    first = entries.groupBy("canonical_id", "key").agg(F.min_by("value", F.struct("o", "i")).alias("value"))  # a row a key, whatever the number of rows
+    properties = first.groupBy("canonical_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    merged = named.groupBy("canonical_id").agg(
         _first("name", o).alias("name"),
         _first("entity_type", o).alias("entity_type"),
         _longest("description", o).alias("description"),
-        kept.alias("properties"),
         F.min_by("provenance", o).alias("provenance"),
-        _all_aliases().alias("aliases"),
         F.max("confidence").alias("confidence"),
         F.min("extracted_at").alias("first_seen"),
         F.count("*").alias("n_records"),
     )
+    whole = _with_aliases(merged, named, "canonical_id").join(properties, "canonical_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    return whole.select("canonical_id", "name", "entity_type", "description", F.coalesce("properties", none).alias("properties"), "provenance", "aliases", "confidence", "first_seen", "n_records")
 
 
 def merge_relationships(df: DataFrame, source: str, target: str, type_col: str, order: list[str]) -> DataFrame:
