@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import calendar
-
 KNOWN = """
 Technology
 Apache AGE: AGE, Apache Graph Extension
@@ -109,15 +107,14 @@ def known(text: str = KNOWN) -> list[tuple[str, str, list[str]]]:
     return out
 
 
-_MONTHS = [m.upper() for m in [*calendar.month_name[1:], *calendar.month_abbr[1:]]]
-#: Headings and common words that are no entities; a parameter of the extraction.
+# Headings and common words that are no entities.
 NOT_NAMES = frozenset(
-    [
-        *_MONTHS,
-        *"WORK EXPERIENCE,TECHNICAL SKILLS,KEY SKILLS,ACADEMIC PROJECTS,PERSONAL PROJECTS,PROFESSIONAL SUMMARY,CAREER OBJECTIVE,CONTACT DETAILS,CURRICULUM VITAE,DATA TYPE,TOTAL ROWS,TOTAL RECORDS,TOTAL COLUMNS,SAMPLE RECORDS".split(","),
-        *"EDUCATION EXPERIENCE SKILLS PROJECTS SUMMARY PROFILE OBJECTIVE CERTIFICATIONS ACHIEVEMENTS AWARDS LANGUAGES INTERESTS HOBBIES CONTACT PHONE EMAIL ADDRESS DATE DURATION ROLE RESPONSIBILITIES DESCRIPTION DETAILS OVERVIEW INTRODUCTION CONCLUSION PRESENT CURRENT".split(),
-        *"YEAR MONTH COLLEGE SCHOOL BACHELOR MASTER DEGREE CGPA PERCENTAGE RESUME CV PAGE REPORT FIGURE TABLE SECTION CHAPTER TITLE NAME CITY STATE COUNTRY ACTIVITY ACTIVITIES TEAM MEMBER LEAD LEADER INTERN INTERNSHIP ASSOCIATE ENGINEER DEVELOPER ANALYST STUDENT FRESHER RESULT RESULTS SCOPE FEATURE FEATURES".split(),
-        *"METHODOLOGY ARCHITECTURE IMPLEMENTATION TESTING VERIFICATION REFERENCE REFERENCES APPENDIX THE THIS THAT THESE THOSE WHEN WHAT WHERE WHICH BECAUSE HOWEVER FIRST SECOND THIRD MAIN HIGH LOW GOOD BETTER BEST USER USERS HUMAN HUMANS APPLICATION APPLICATIONS SYSTEM SYSTEMS PROCESS PROCESSES MODEL MODELS DATA INFORMATION".split(),
-        *"AND FOR WITH FROM ABOUT OVER UNDER AFTER BEFORE PURPOSE PREREQUISITES SETUP SCHEMA BUILDING CONFIGURATION EXECUTION PROCESSING EXPLAIN EXAMPLE ID IDENTIFIER DEPARTMENT COLUMN COLUMNS ROW ROWS RECORD RECORDS SHEET SHEETS WORKBOOK FIELD FIELDS KEY KEYS VALUE VALUES INDEX TYPES".split(),
-    ]
+    (
+        "EDUCATION,EXPERIENCE,WORK EXPERIENCE,SKILLS,TECHNICAL SKILLS,KEY SKILLS,PROJECTS,ACADEMIC PROJECTS,PERSONAL PROJECTS,SUMMARY,PROFESSIONAL SUMMARY,PROFILE,OBJECTIVE,CAREER OBJECTIVE,CERTIFICATIONS,ACHIEVEMENTS,AWARDS,LANGUAGES,INTERESTS,HOBBIES,CONTACT,CONTACT DETAILS,PHONE,EMAIL,ADDRESS,DATE,DURATION,ROLE,"
+        "RESPONSIBILITIES,DESCRIPTION,DETAILS,OVERVIEW,INTRODUCTION,CONCLUSION,PRESENT,CURRENT,JANUARY,FEBRUARY,MARCH,APRIL,MAY,JUNE,JULY,AUGUST,SEPTEMBER,OCTOBER,NOVEMBER,DECEMBER,JAN,FEB,MAR,APR,JUN,JUL,AUG,SEP,OCT,NOV,DEC,YEAR,MONTH,COLLEGE,SCHOOL,BACHELOR,MASTER,DEGREE,B.TECH,BTECH,M.TECH,MTECH,BSC,MSC,CGPA,"
+        "PERCENTAGE,INDIA,ENGLISH,TELUGU,HINDI,RESUME,CURRICULUM VITAE,CV,PAGE,REPORT,FIGURE,TABLE,SECTION,CHAPTER,TITLE,NAME,CITY,STATE,COUNTRY,ACTIVITY,ACTIVITIES,TEAM,MEMBER,LEAD,LEADER,INTERN,INTERNSHIP,ASSOCIATE,ENGINEER,DEVELOPER,ANALYST,STUDENT,FRESHER,RESULT,RESULTS,SCOPE,FEATURE,FEATURES,METHODOLOGY,"
+        "ARCHITECTURE,IMPLEMENTATION,TESTING,VERIFICATION,REFERENCE,REFERENCES,APPENDIX,THE,THIS,THAT,THESE,THOSE,WHEN,WHAT,WHERE,WHICH,BECAUSE,HOWEVER,FIRST,SECOND,THIRD,MAIN,HIGH,LOW,GOOD,BETTER,BEST,USER,USERS,HUMAN,HUMANS,APPLICATION,APPLICATIONS,SYSTEM,SYSTEMS,PROCESS,PROCESSES,MODEL,MODELS,DATA,INFORMATION,"
+        "AND,FOR,WITH,FROM,ABOUT,OVER,UNDER,AFTER,BEFORE,EVALUATED,PARTICIPATED,ACHIEVED,CONTRIBUTED,DESIGNED,BUILT,DEVELOPED,CREATED,MANAGED,PERFORMED,WORKED,STUDIED,USED,PURPOSE,PREREQUISITES,SETUP,SCHEMA,BUILDING,CONFIGURATION,EXECUTION,PROCESSING,EXPLAIN,EXAMPLE,ID,IDENTIFIER,DEPARTMENT,COLUMN,COLUMNS,ROW,ROWS,"
+        "RECORD,RECORDS,SHEET,SHEETS,WORKBOOK,FIELD,FIELDS,KEY,KEYS,VALUE,VALUES,INDEX,DATA TYPE,TYPES,TOTAL ROWS,TOTAL RECORDS,TOTAL COLUMNS,SAMPLE RECORDS"
+    ).split(",")
 )

@@ -45,27 +45,25 @@ def keywords(c: Column | str, stopwords: list[str] | None = None) -> Column:
     return F.array_distinct(F.filter(w, lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x)))
 
 
-def roots(w: Column) -> Column:
-    """A word with the simpler forms that it may be of."""
-    n = F.length(w)
-    cut = lambda k: F.substring(w, F.lit(1), n - k)
-    more = (
-        F.when(w.endswith("ies") & (n > 4), F.array(F.concat(cut(3), F.lit("y"))))
-        .when(w.endswith("es") & (n > 4), F.array(cut(2)))
-        .when(w.endswith("s") & (n > 3), F.array(cut(1)))
-        .when(w.endswith("ified") & (n > 4), F.array(cut(2), F.concat(cut(5), F.lit("ify"))))
-        .when(w.endswith("ed") & (n > 4), F.array(cut(2)))
-        .when(w.endswith("ing") & (n > 4), F.array(cut(3)))
-        .when(w.endswith("tion") & (n > 5) & w.contains("auth"), F.array(F.lit("auth")))
-        .when(w.endswith("tion") & (n > 5) & w.contains("verif"), F.array(F.lit("verify"), F.lit("verification")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return more
+def roots(w: Column, wide: bool = False) -> Column:
+    """The simpler forms that a word may be of: by its first ending that is listed, or by what a noun in -tion holds.
+    wide: with the further forms that a search of the graph tries."""
+    n, none = F.length(w), F.array().cast("array<string>")
+    out = None
+    for ending, least, forms, more in refdata.ENDINGS:
+        stem = F.substring(w, F.lit(1), n - len(ending))
+        made = F.array(*[F.concat(stem, F.lit(x)) for x in (forms + more if wide else forms)])
+        hit = w.endswith(ending) & (n >= least)
+        out = F.when(hit, made) if out is None else out.when(hit, made)
+    held = F.array()
+    for part, words_ in refdata.NOUNS.items():
+        held = F.concat(held, F.when(w.contains(part) & (F.lit(True) if wide else F.size(held) == 0), refdata.words(words_)).otherwise(none))
+    return out.when(w.endswith("tion") & (n > 5), held).otherwise(none)
 
 
 def expand_terms(terms: Column) -> Column:
     """Terms followed by their simpler forms, once each."""
-    return F.array_distinct(F.concat(terms, F.flatten(F.transform(terms, roots))))
+    return F.array_distinct(F.concat(terms, F.flatten(F.transform(terms, lambda x: roots(x)))))
 
 
 def estimate_tokens(c: Column | str) -> Column:
@@ -145,9 +143,9 @@ def text_or(*cs: Column) -> Column:
 
 
 def intent(c: Column | str) -> Column:
-    """The intent with most matches, the first of equals; general without any."""
+    """The intent with most matches, each pattern counted on its own, the first of equals; general without any."""
     q = F.lower(c)
-    scores = F.array(*(F.struct(F.size(F.regexp_extract_all(q, F.lit(rf"\b(?:{p})\b"), F.lit(0))).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(refdata.INTENTS.items())))
+    scores = F.array(*(F.struct(sum((F.size(F.regexp_extract_all(q, F.lit(p), F.lit(0))) for p in ps), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, ps) in enumerate(refdata.INTENTS.items())))
     best = F.array_max(scores)
     return F.when(best["n"] > 0, best["name"]).otherwise("general")
 
@@ -167,4 +165,15 @@ def question_targets(c: Column | str) -> Column:
     files = F.regexp_extract_all(c, F.lit(r"(?i)\b[\w\-/\\]+\.(?:py|js|json|md|pdf|xlsx|xls|csv|tsv|parquet|html|xml|yaml|yml)\b"), F.lit(0))
     calls = F.transform(F.regexp_extract_all(c, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\(\)"), F.lit(0)), lambda x: F.regexp_replace(x, r"[()]+$", ""))
     snake = F.regexp_extract_all(c, F.lit(r"\b[a-z]+(?:_[a-z0-9]+)+\b"), F.lit(0))
-    return F.array_distinct(F.concat(files, calls, snake))
+    stop = refdata.words(refdata.STOPWORDS)
+    return F.array_distinct(F.concat(files, F.filter(F.concat(calls, snake), lambda x: ~F.array_contains(stop, F.lower(x)))))
+
+
+def graph_terms(entities: Column, targets: Column, keywords_: Column, intent_: Column) -> Column:
+    """What a search of the graph looks for: a question's entities, targets and keywords as they stand and in lower case,
+    their simpler forms, and the words that its intent adds; of two characters or more, once each, sorted."""
+    said = F.filter(F.transform(F.concat(entities, targets, keywords_), strip), lambda x: F.length(x) >= 2)
+    low = F.transform(said, F.lower)
+    more = F.coalesce(refdata.lookup(refdata.INTENT_TOKENS, intent_), F.lit(""))
+    every = F.concat(said, low, F.flatten(F.transform(low, lambda x: roots(x, wide=True))), F.split(more, " "))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) >= 2)))

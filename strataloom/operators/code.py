@@ -35,7 +35,7 @@ def python_symbols(source: str) -> list[tuple]:
             for verb in _ROUTE_VERBS:
                 if f".{verb}(" in spelled or spelled.startswith(f"{verb}("):
                     m = re.search(r"['\"]([^'\"]+)['\"]", spelled)
-                    out.append(("route", f"{verb.upper()} {m[1] if m else '/'}", node.name, node.lineno, node.end_lineno, owner))
+                    out.append(("route", f"{verb.upper()} {m[1] if m else '/'}", f"{owner}.{node.name}" if owner else node.name, node.lineno, node.end_lineno, None))
 
     def function(node, owner) -> None:
         args = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)]
@@ -128,17 +128,19 @@ def code_graph(docs: DataFrame, found: DataFrame, calls: bool = False) -> tuple[
     entity = lambda df, i, n, k: df.select(i.alias("canonical_id"), n.alias("name"), F.lit(k).alias("entity_type") if isinstance(k, str) else k.alias("entity_type"))
     label = F.when(kind == "class", "Class").when(kind == "method", "Method").otherwise("Function")
     es = entity(s, F.col("file"), F.element_at(F.split("path", "/"), -1), "File").unionByName(entity(defined, F.col("id"), name, label)).unionByName(entity(libs, identity.shared_id("lib", F.col("lib")), F.col("lib"), "Library")).unionByName(entity(routes, F.col("id"), name, "API"))
+    # a route or call within a method names its class before a dot
+    owner = F.when(parent.contains("."), F.concat("file", F.lit(":class:"), F.split("parent", r"\.")[0], F.lit(":method:"), F.split("parent", r"\.")[1])).otherwise(F.concat("file", F.lit(":func:"), "parent"))
     edge = lambda df, a, k, b: df.select(a.alias("source"), F.lit(k).alias("relationship_type"), b.alias("target"))
     rs = (
         edge(defined.where(kind != "method"), F.col("file"), "DEFINES", F.col("id"))
         .unionByName(edge(defined.where(kind == "method"), F.concat("file", F.lit(":class:"), "parent"), "CONTAINS", F.col("id")))
         .unionByName(edge(libs, F.col("file"), "IMPORTS", identity.shared_id("lib", F.col("lib"))))
-        .unionByName(edge(routes.where(parent.isNotNull()), F.col("id"), "IMPLEMENTED_BY", F.concat("file", F.lit(":func:"), "parent")))
+        .unionByName(edge(routes.where(parent.isNotNull()), F.col("id"), "IMPLEMENTED_BY", owner))
     )
     if calls:
         targets = defined.where(kind == "function").select("repo", F.col("name").alias("called"), "id").groupBy("repo", "called").agg(F.min("id").alias("to"))
         made = s.where(kind == "call").withColumn("called", F.element_at(F.split("name", r"\."), -1)).join(targets, ["repo", "called"])
-        rs = rs.unionByName(edge(made.where(~parent.contains(".")), F.concat("file", F.lit(":func:"), "parent"), "CALLS", F.col("to")))
+        rs = rs.unionByName(edge(made, owner, "CALLS", F.col("to")))
         bases = defined.where((kind == "class") & (F.length("detail") > 0)).select("repo", "id", F.explode(F.split("detail", ", ")).alias("base"))
         classes = defined.where(kind == "class").groupBy("repo", F.col("name").alias("base")).agg(F.min("id").alias("to"))
         rs = rs.unionByName(edge(bases.join(classes, ["repo", "base"]), F.col("id"), "EXTENDS", F.col("to")))

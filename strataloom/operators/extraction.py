@@ -78,16 +78,20 @@ def people(c: Column, first_chunk: Column, stop: frozenset[str] = gazetteer.NOT_
     return let(line, person)
 
 
+# Words that the name of an organisation goes on with, and beginnings of words that begin none.
 _ORG_TAIL = "Institute|University|College|Corporation|Foundation|Technologies|Solutions|Labs|Company|Group|Department|Center|Centre|of|and|for|in|Information|Technology|Science|Engineering|Research"
 
 
+_NO_ORG = "PARTICIPAT|EVALUAT|DEVELOP|BUILD|STUDY|USED|PURPOSE"
+
+
 def organisations(c: Column, stop: frozenset[str] = gazetteer.NOT_NAMES) -> Column:
     """Capitalised phrases that end in words of organisations, longer than twelve characters."""
     raw = F.regexp_extract_all(c, F.lit(rf"\b([A-Z][a-zA-Z']+(?:\s+(?:{_ORG_TAIL}))+)\b"), F.lit(1))
     names = F.transform(raw, lambda x: F.regexp_replace(x, r"(?i)^(?:in|for|of|and|with|by|at|from)\s+", ""))
     stops = refdata.words(sorted(stop))
     first = lambda x: F.upper(F.regexp_extract(x, r"^(\S+)", 1))
-    ok = lambda x: (F.length(x) > 12) & ~F.array_contains(stops, F.upper(x)) & ~F.array_contains(stops, first(x)) & ~first(x).rlike("PARTICIPAT|EVALUAT|DEVELOP|BUILD|STUDY|USED|PURPOSE")
+    ok = lambda x: (F.length(x) > 12) & ~F.array_contains(stops, F.upper(x)) & ~F.array_contains(stops, first(x)) & ~first(x).rlike(_NO_ORG)
     return F.transform(F.array_distinct(F.filter(names, ok)), lambda x: F.struct(x.alias("cname"), x.alias("name"), F.lit("Organization").alias("type"), F.lit(0.90).alias("confidence")))
 
 
@@ -139,27 +143,27 @@ def relationships(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | N
         lists.append(F.zip_with(F.regexp_extract_all(s, F.lit(p), F.lit(1)), F.regexp_extract_all(s, F.lit(p), F.lit(2)), stated(kind)))
     steps = F.filter(F.transform(F.split(s, r"[→↓]|->"), lambda x: _match(x, found)), lambda x: x.isNotNull())
     rest = F.greatest(F.size(steps) - 1, F.lit(0))
-    step = lambda a, b: edge(a, F.when(b.contains("AGE") & a.contains("Postgre"), "EXTENDS").otherwise("FLOWS_TO"), b, 0.9, F.concat(F.lit("Architecture pipeline step: "), a, F.lit(" to "), b))
+    step = lambda a, b: edge(a, F.when(b.contains("AGE") & a.contains("Postgre"), "EXTENDS").otherwise("FLOWS_TO"), b, 0.9, F.concat_ws(" → ", a, b))
     flow = F.zip_with(F.slice(steps, F.lit(1), rest), F.slice(steps, F.lit(2), rest), step)
     lists.append(F.when(s.rlike("→|->|↓"), flow).otherwise(F.slice(flow, 1, 0)))
     person = F.try_element_at(F.filter(found, lambda e: e["type"] == "Person"), F.lit(1))["cname"]
     said = lambda e: F.lower(s).contains(F.lower(e["cname"]))
     tools = F.filter(found, lambda e: e["type"].isin("Technology", "Concept") & said(e) & person.isNotNull())
-    uses = F.transform(tools, lambda e: edge(person, F.lit("USES"), e["cname"], 0.9, F.concat(person, F.lit(" has experience with "), e["cname"], F.lit("."))))
+    uses = F.transform(tools, lambda e: edge(person, F.lit("USES"), e["cname"], 0.9, F.concat_ws(" USES ", person, e["cname"])))
     lists.append(F.when(F.lower(s).rlike("experience in|hands-on|skilled in|proficient in|worked with|using|developed with"), uses).otherwise(F.slice(uses, 1, 0)))
     schools = F.filter(found, lambda e: (e["type"] == "Organization") & said(e) & person.isNotNull())
-    lists.append(F.transform(schools, lambda e: edge(person, F.lit("STUDIED_AT"), e["cname"], 0.9, F.concat(person, F.lit(" studied at "), e["cname"], F.lit(".")))))
+    lists.append(F.transform(schools, lambda e: edge(person, F.lit("STUDIED_AT"), e["cname"], 0.9, F.concat_ws(" STUDIED_AT ", person, e["cname"]))))
     has = lambda n: F.exists(found, lambda e: e["cname"] == n)
     parts = F.filter(found, lambda e: e["cname"].isin("Operational Data", "Analytical Data", "Telemetry", "Documents", "Business Definitions"))
-    combos = F.transform(parts, lambda e: edge(F.lit("Context Lakehouse"), F.lit("COMBINES"), e["cname"], 0.95, F.concat(F.lit("Context Lakehouse combines "), e["cname"], F.lit("."))))
+    combos = F.transform(parts, lambda e: edge(F.lit("Context Lakehouse"), F.lit("COMBINES"), e["cname"], 0.95, F.concat_ws(" COMBINES ", F.lit("Context Lakehouse"), e["cname"])))
     lists.append(F.when(has("Context Lakehouse") & F.lower(s).contains("combines"), combos).otherwise(F.slice(combos, 1, 0)))
     keys = ["document_id", "page_number", "chunk_id"]
     by_segment = seg.select(*keys, F.explode(F.concat(*lists)).alias("r")).select(*keys, "r.*").where("source_entity is not null and target_entity is not null and source_entity <> target_entity")
     t = F.lower("text")
     rules = [
-        (has("Apache AGE") & has("PostgreSQL") & t.rlike("extension|work together|installed|creates|graph layer|database"), "Apache AGE", "EXTENDS", "PostgreSQL", 0.95, "Apache AGE extends PostgreSQL as a graph database extension."),
-        (has("Apache AGE") & has("Cypher"), "Apache AGE", "USES", "Cypher", 0.95, "Apache AGE executes Cypher graph queries."),
-        (has("Streamlit") & has("Python"), "Streamlit", "USES", "Python", 0.90, "Streamlit application built in Python."),
+        (has("Apache AGE") & has("PostgreSQL") & t.rlike("extension|work together|installed|creates|graph layer|database"), "Apache AGE", "EXTENDS", "PostgreSQL", 0.95, "stated together: a graph layer of the database"),
+        (has("Apache AGE") & has("Cypher"), "Apache AGE", "USES", "Cypher", 0.95, "stated together: the query language of the graph layer"),
+        (has("Streamlit") & has("Python"), "Streamlit", "USES", "Python", 0.90, "stated together: the language of the user interface"),
     ]
     pairs = F.array_compact(F.array(*[F.when(cond, edge(F.lit(a), F.lit(k), F.lit(b), w, F.lit(d))) for cond, a, k, b, w, d in rules]))
     by_chunk = live.select(*keys, F.explode(pairs).alias("r")).select(*keys, "r.*")

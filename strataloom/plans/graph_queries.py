@@ -168,7 +168,7 @@ def _edges(name: str = "e", vs: str = "v", where: str = "true") -> str:
   where trim(coalesce(source_canonical_id, '')) <> '' and trim(coalesce(target_canonical_id, '')) <> '' and source_canonical_id <> target_canonical_id and {where}),
 {name}_m as (select source_canonical_id as src, label, target_canonical_id as dst, arg_min(weight, (extracted_at, record_id)) + 0.5 * (count(*) - 1) as weight, arg_min(description, (-length(description), extracted_at, record_id)) filter (where length(description) > 0) as description,
   count(*) as n_records, arg_min(provenance, (extracted_at, record_id)) as p from {name}_raw group by 1, 2, 3),
-{name} as (select src, label, dst, weight, description, p.repository_name as repository_name, {_TIDY('p.file_path')} as file_path from {name}_m semi join {vs} on src = {vs}.id semi join {vs} as v2 on dst = v2.id)"""
+{name} as (select src, label, dst, weight, description, p.repository_name as repository_name, p.commit_sha as commit_sha, p.start_line as start_line, {_TIDY('p.file_path')} as file_path from {name}_m semi join {vs} on src = {vs}.id semi join {vs} as v2 on dst = v2.id)"""
 
 
 _G = "with " + _vertices() + "," + _edges()
