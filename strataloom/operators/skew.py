@@ -26,7 +26,7 @@ def hot_limit(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_SHARE)
 
 
-def counted_join(big: DataFrame, small: DataFrame, on: str, limit: int, hottest: int) -> DataFrame:
+def counted_join(big: DataFrame, small: DataFrame, on: str | list[str], limit: int, hottest: int) -> DataFrame:
     """big joined to small (one row a key, with n, the number of big's rows that it has).
 
     Keys of more than ``limit`` rows, of which there are fewer than HOT_SHARE (see hot_limit), are broadcast, so their rows
@@ -36,3 +36,9 @@ def counted_join(big: DataFrame, small: DataFrame, on: str, limit: int, hottest:
     hot = F.broadcast(small.where(F.col("n") > limit).drop("n"))
     cold = small.where(F.col("n") <= limit).drop("n")
     return big.join(hot, on).unionByName(big.join(F.broadcast(small.where(F.col("n") > limit).select(on)), on, "left_anti").join(cold, on))
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], rows: int | None = None) -> DataFrame:
+    """counted_join() where small is a written table: its hottest key, and the rows of big that it has, are read from it."""
+    r = small.agg(F.sum("n").alias("rows"), F.max("n").alias("hottest")).first()
+    return counted_join(big, small, on, hot_limit(rows if rows is not None else r.rows or 0), r.hottest or 0)
