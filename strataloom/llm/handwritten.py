@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from ..operators.skew import salted_join
+from ..operators.skew import join_counted
 from . import residue
 
 # Extensions of source code.
@@ -248,7 +248,7 @@ def tree_hashes(files: DataFrame) -> DataFrame:
     newest = F.struct("at", "file_hash") if "at" in files.columns else F.struct("file_hash")
     once = files.groupBy("repo", "path").agg(F.max_by("file_hash", newest).alias("h")).withColumn("parts", F.split("path", "/"))
     above = lambda parts: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
-    nodes = cut(once.where(F.size("parts") > 1).select("repo", above("parts").alias("dir"), F.element_at("parts", -1).alias("name"), "h", F.lit(1).cast("long").alias("n"), (F.size("parts") - 1).alias("level")), "nodes")
+    nodes = cut(once.where(F.size("parts") > 1).select("repo", above("parts").alias("dir"), F.element_at("parts", -1).alias("name"), "h", F.lit(1).cast("long").alias("n"), (F.size("parts") - 1).alias("level")).sort("level"), "nodes")  # sorted, so a level is read alone
     deepest = nodes.agg(F.max("level")).first()[0] or 0
     tables, below = [], None
     for top in range(deepest, 0, -LEVELS):
@@ -280,7 +280,8 @@ def _inside(files: DataFrame, shared: DataFrame) -> DataFrame:
     dirs = placed.where("dir <> ''").select("repo", "dir").distinct().withColumn("parts", F.split("dir", "/"))
     every = dirs.select("repo", F.col("dir").alias("held"), F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/"))).alias("dir"))
     held = every.join(shared, ["repo", "dir"], "left_semi").select("repo", F.col("held").alias("dir")).distinct()
-    return salted_join(placed, held, ["repo", "dir"], ["rid"], "left_semi")
+    counted = cut(held.join(placed.groupBy("repo", "dir").agg(F.count("*").alias("n")), ["repo", "dir"]), "held")
+    return join_counted(placed, counted, ["repo", "dir"])
 
 
 def evidence(docs: DataFrame) -> DataFrame:
@@ -289,18 +290,19 @@ def evidence(docs: DataFrame) -> DataFrame:
     evidence: tree, file or block (an unrelated repository holds it alike) or alone (the file itself says so). Only files
     of source code count; null or empty texts and paths never do. A second scan of a repository's own file is no copy."""
     rid = F.xxhash64("doc_id", "repo", "path", "file_hash", "kind")
-    files = cut(read_files(docs).withColumn("rid", rid), "files")
-    shared = lambda keyed, k: keyed.groupBy(k).agg(F.min("repo").alias("first"), F.max("repo").alias("last")).where("first <> last").select(k)
-    pieces = files.select("rid", "doc_id", F.explode("blocks").alias("b")).select("rid", "doc_id", "b.h", "b.n")
-    known = shared(files.select("repo", F.explode("blocks.h").alias("h")), "h").withColumn("known", F.lit(True))
+    files = cut(read_files(docs).withColumn("rid", rid).dropDuplicates(["rid"]), "files")
+    shared = lambda keyed, k: cut(keyed.groupBy(k).agg(F.min("repo").alias("first"), F.max("repo").alias("last"), F.count("*").alias("n")).where("first <> last").select(k, "n"), "shared")
+    size = F.aggregate("blocks.n", F.lit(0), lambda a, x: a + x)
+    pieces = files.select("rid", "doc_id", size.alias("size"), F.explode("blocks").alias("b")).select("rid", "doc_id", "size", "b.h", "b.n")
+    known = shared(files.select("repo", F.explode("blocks.h").alias("h")), "h")
     copies = (
-        salted_join(pieces, known, ["h"], ["rid"], "left")
+        join_counted(pieces.withColumnRenamed("n", "chars"), known, "h")
         .groupBy("rid", "doc_id")
-        .agg(F.sum("n").alias("size"), F.sum(F.when(F.col("known"), F.col("n"))).alias("held"))
+        .agg(F.sum("chars").alias("held"), F.max("size").alias("size"))
         .where((F.col("held") >= SHARED * F.col("size")) & (F.col("held") >= 3 * BLOCK))
     )
     whole = files.where(F.col("dense") >= 3 * BLOCK)
-    alike = salted_join(whole, shared(whole.select("repo", "file_hash"), "file_hash"), ["file_hash"], ["rid"], "left_semi")
+    alike = join_counted(whole, shared(whole.select("repo", "file_hash"), "file_hash"), "file_hash")
     said = lambda df, why, kind="vendored": df.select("doc_id", "rid", F.lit(why).alias("evidence"), F.lit(kind).alias("kind") if kind else F.col("kind"))
     return said(copies, "block").unionByName(said(alike, "file")).unionByName(said(_inside(files, shared_trees(files)), "tree")).unionByName(said(files.where("kind is not null"), "alone", None))
 
