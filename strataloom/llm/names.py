@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import Cut, cut
-from ..operators.skew import salted_join
+from ..operators.skew import join_counted
 
 # Common short forms of given names.
 NICKNAMES = {
@@ -324,31 +324,34 @@ def entities(mentions: DataFrame, id_col: str = "mention_id") -> DataFrame:
     Rows of other types, or without any name, are left out. A form that fits several people or organisations alike (an
     initial that two share) joins none of them, only its equals. Repeated rows get the same entity."""
     rows = cut(parsed(mentions, id_col), "names")
-    blocks = variants(rows.groupBy(F.col("kind").alias("scope"), F.col("block").alias("token")).agg(F.count("*").alias("n")))
-    rows = cut(salted_join(rows, blocks.select(F.col("scope").alias("kind"), F.col("token").alias("block"), F.col("centre").alias("head")), ["kind", "block"], ["id"]), "heads")
+    tokens = cut(rows.groupBy(F.col("kind").alias("scope"), F.col("block").alias("token")).agg(F.count("*").alias("n")), "surnames")
+    blocks = cut(variants(tokens).join(tokens, ["scope", "token"]).select(F.col("scope").alias("kind"), F.col("token").alias("block"), F.col("centre").alias("head"), "n"), "blocks")
+    rows = cut(join_counted(rows, blocks, ["kind", "block"]), "heads")
     full = (F.length("part") > 1) & ~((F.col("kind") == "org") & (F.length("part") <= 4) & ~F.col("part").isin(*KINDS))
-    parts = variants(rows.where(full).groupBy(F.concat_ws("\t", "kind", "head").alias("scope"), F.col("part").alias("token")).agg(F.count("*").alias("n")))
-    parts = parts.select(F.split("scope", "\t")[0].alias("kind"), F.split("scope", "\t")[1].alias("head"), F.col("token").alias("part"), F.col("centre").alias("given"))
-    whole = cut(salted_join(rows.where(full), parts, ["kind", "head", "part"], ["id"]), "whole")
+    tokens = cut(rows.where(full).groupBy(F.concat_ws("\t", "kind", "head").alias("scope"), F.col("part").alias("token")).agg(F.count("*").alias("n")), "parts")
+    parts = cut(variants(tokens).join(tokens, ["scope", "token"]).select(F.split("scope", "\t")[0].alias("kind"), F.split("scope", "\t")[1].alias("head"), F.col("token").alias("part"), F.col("centre").alias("given"), "n"), "givens")
+    whole = cut(join_counted(rows.where(full), parts, ["kind", "head", "part"]), "whole")
     short = rows.where(~full)
-    small = salted_join(short, _completed(short, whole), ["kind", "head", "part", "extra"], ["id"], "left")
+    forms = cut(short.groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("n")), "short")
+    small = join_counted(short, cut(_completed(forms, whole), "completed"), ["kind", "head", "part", "extra"])
     small = small.withColumn("given", F.coalesce("given", F.concat_ws(".", F.lit(""), "part", "extra")))
     everyone = whole.select("id", "kind", "head", "given", "block", "part").unionByName(small.select("id", "kind", "head", "given", "block", "part"))
     spelling = F.concat_ws(" ", "part", "block")
-    forms = everyone.groupBy("kind", "head", "given", spelling.alias("spelling")).agg(F.count("*").alias("n"), F.max(F.length("part")).alias("long"))
-    best = forms.groupBy("kind", "head", "given").agg(F.max_by("spelling", F.struct((F.col("long") > 1).cast("int"), "n", "spelling")).alias("best"))
-    apart = _aligned(forms.join(best, ["kind", "head", "given"]).where("spelling <> best").select("kind", "head", "given", "spelling", "best")).where("not fits").select("kind", "head", "given", "spelling", F.lit(True).alias("apart"))
-    keyed = salted_join(everyone.withColumn("spelling", spelling), apart, ["kind", "head", "given", "spelling"], ["id"], "left")
-    return keyed.select("id", F.concat_ws("\t", "kind", "head", "given", F.when(F.col("apart"), F.col("spelling"))).alias("entity"))
+    spelled = everyone.groupBy("kind", "head", "given", spelling.alias("spelling")).agg(F.count("*").alias("n"), F.max(F.length("part")).alias("long"))
+    best = spelled.groupBy("kind", "head", "given").agg(F.max_by("spelling", F.struct((F.col("long") > 1).cast("int"), "n", "spelling")).alias("best"))
+    apart = _aligned(spelled.join(best, ["kind", "head", "given"]).where("spelling <> best").select("kind", "head", "given", "spelling", "best")).where("not fits").select("kind", "head", "given", "spelling", F.lit(True).alias("apart"))
+    key = ["kind", "head", "given", "spelling"]
+    named = cut(spelled.select(*key, "n").join(apart, key, "left").withColumn("entity", F.concat_ws("\t", "kind", "head", "given", F.when(F.col("apart"), F.col("spelling")))).drop("apart"), "named")
+    return join_counted(everyone.withColumn("spelling", spelling), named, key).select("id", "entity")
 
 
-def _completed(short: DataFrame, whole: DataFrame) -> DataFrame:
-    """(kind, head, part, extra, given): for initials, abbreviations and missing parts the one of the same head that they fit.
+def _completed(forms: DataFrame, whole: DataFrame) -> DataFrame:
+    """(kind, head, part, extra, n, given): for initials, abbreviations and missing parts the one of the same head that they fit.
 
     Without just one that fits, given is null. What an initial or a missing part may stand for is counted per first letter
     before it is joined, so a common surname's short forms never meet all of its given names; abbreviations, which only
     kinds of organisation have, meet the kinds of one name that begin alike."""
-    forms = short.select("kind", "head", "part", "extra").distinct()
+    key = ["kind", "head", "part", "extra"]
     known = whole.groupBy("kind", "head", "given", "extra").agg(F.count("*").alias("n"))
     begins = known.select("kind", "head", "given", "extra", F.explode(F.array(F.lit(""), F.substring("given", 1, 1))).alias("part"))
     loose = begins.select("kind", "head", "part", "given").distinct().groupBy("kind", "head", "part").agg(F.count("*").alias("k"), F.min("given").alias("only"))
@@ -360,7 +363,8 @@ def _completed(short: DataFrame, whole: DataFrame) -> DataFrame:
     kinds = known.where("kind = 'org'").select("kind", "head", "given", F.substring("given", 1, 1).alias("letter")).distinct()
     many = forms.where((F.length("part") > 1) & (F.col("kind") == "org")).withColumn("letter", F.substring("part", 1, 1)).join(kinds, ["kind", "head", "letter"]).where(fits)
     many = many.groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("k"), F.min("given").alias("only"))
-    return pick(one).unionByName(pick(many.withColumns({"kt": F.lit(None).cast("long"), "only_t": F.lit(None).cast("string")})))
+    found = pick(one).unionByName(pick(many.withColumns({"kt": F.lit(None).cast("long"), "only_t": F.lit(None).cast("string")})))
+    return forms.join(found, key, "left")
 
 
 PAIR_BLOCK = 2000
