@@ -59,10 +59,11 @@ def rtf_text(c: Column | str) -> Column:
 
 
 def html_text(c: Column | str) -> Column:
-    """Text of HTML: scripts and styles go with what they hold, tags turn to blanks."""
-    x = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", " ")
-    x = F.regexp_replace(x, r"(?is)<style[^>]*>.*?</style>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]+>", " "), r"[ \t\r\n]+", " "))
+    """Text of HTML: scripts, styles, notes for browsers without scripts and drawings go with what they hold; tags turn to
+    blanks, and with them those of meta, which hold nothing."""
+    for tag in ("script", "style", "noscript", "svg"):
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", " "), r"[ \t\r\n]+", " "))
 
 
 def html_title(c: Column | str) -> Column:
