@@ -60,3 +60,17 @@ def legacy_temporary(name: Column, url: Column) -> Column:
     """Whether a repository is a leftover of a temporary clone."""
     u = F.coalesce(url, F.lit(""))
     return name.startswith("tmp") | (name == ".") | u.contains("AppData") | u.contains("\\Temp\\") | u.contains("/tmp/")
+
+
+# Casts that a graph database puts behind its values.
+_CASTS = "vertex|edge|path|numeric|int|float|bool|agtype"
+
+
+def graph_value(c: Column | str) -> tuple[Column, Column]:
+    """(json, plain) of a value as a graph database prints it: its JSON without the cast, with empty properties where a
+    labelled value has none; the bare text where it is no JSON."""
+    bare = F.trim(F.regexp_replace(F.trim(c), f"::({_CASTS})$", ""))
+    known = F.is_valid_utf8(bare) & F.try_parse_json(bare).isNotNull()
+    bald = F.coalesce(F.get_json_object(bare, "$.label").isNotNull() & F.get_json_object(bare, "$.properties").isNull(), F.lit(False))
+    whole = F.when(bald & bare.endswith("}"), F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(', "properties": {}}'))).otherwise(bare)
+    return F.when(known, whole), F.when(~known, bare)

@@ -177,3 +177,20 @@ def graph_terms(entities: Column, targets: Column, keywords_: Column, intent_: C
     more = F.coalesce(refdata.lookup(refdata.INTENT_TOKENS, intent_), F.lit(""))
     every = F.concat(said, low, F.flatten(F.transform(low, lambda x: roots(x, wide=True))), F.split(more, " "))
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) >= 2)))
+
+
+def human_size(c: Column | str) -> Column:
+    """A number of bytes as KB or MB."""
+    kb = F.coalesce(F.greatest(F.col(c) if isinstance(c, str) else c, F.lit(0)), F.lit(0)) / 1024.0
+    return F.when(kb >= 1024, F.concat(F.format_string("%.2f", kb / 1024.0), F.lit(" MB"))).when(kb > 0, F.concat(F.format_string("%.1f", kb), F.lit(" KB"))).otherwise("0 KB")
+
+
+def status_group(c: Column | str) -> Column:
+    """A status as a view tells it: COMPLETED, PROCESSING, FAILED, UPLOADED, else PENDING."""
+    s = F.upper(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    return F.when(s.contains("COMPLETED"), "COMPLETED").when(s.rlike("PROCESSING|RUNNING"), "PROCESSING").when(s.rlike("FAILED|ERROR"), "FAILED").when(s.contains("UPLOADED"), "UPLOADED").otherwise("PENDING")
+
+
+def target_file(targets: Column) -> Column:
+    """The first of a question's targets that is a file's name."""
+    return F.try_element_at(F.filter(targets, lambda x: x.rlike(r"\.(?:py|js|json|md|pdf|xlsx|csv)$")), F.lit(1))

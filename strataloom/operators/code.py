@@ -174,13 +174,72 @@ def dockerfile(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", (F.col("i") + 1).alias("line_number"), F.upper(F.regexp_extract("raw", p, 1)).alias("instruction"), F.regexp_extract("raw", p, 2).alias("value")).where("instruction <> ''")
 
 
+_SERVICE = "doc_id long, service_name string, image string, ports array<string>, environment map<string,string>, depends_on array<string>, inferred_technology string, line_number int, parsed boolean"
+_BLOCK_NAME = re.compile(r"^\s*([a-zA-Z0-9_\-]+):\s*$", re.M)
+# What an image, or a service's name, tells of the technology; the first that fits.
+SERVICE_TECHNOLOGIES = {"age": ("Apache AGE", True), "postgres": ("PostgreSQL", True), "redis": ("Redis", False), "mongo": ("MongoDB", False)}
+
+
+def compose_services(source: str) -> list[tuple]:
+    """(service, image, ports, environment, depends_on, technology, line, parsed) of a compose file; of one that is no YAML
+    the names of its blocks alone."""
+    try:
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        data, tree = yaml.load(source, Loader=loader), yaml.compose(source, Loader=loader)
+    except Exception:  # no parser, or no YAML
+        data = tree = None
+    if not isinstance(data, dict) or not isinstance(data.get("services"), dict):
+        named = [(m[1], source.count("\n", 0, m.start(1)) + 1) for m in _BLOCK_NAME.finditer(source)]
+        return [(n, None, [], {}, [], None, line, False) for n, line in named if n not in ("services", "version", "volumes", "networks")]
+    node = next(v for k, v in tree.value if k.value == "services")
+    lines = {k.value: k.start_mark.line + 1 for k, _ in node.value}
+    out = []
+    for name, c in data["services"].items():
+        if not isinstance(c, dict):
+            continue
+        image, env, after = str(c.get("image") or ""), c.get("environment") or {}, c.get("depends_on") or []
+        if isinstance(env, list):
+            env = dict(str(x).split("=", 1) for x in env if "=" in str(x))
+        env = {str(k): None if v is None else str(v) for k, v in env.items()} if isinstance(env, dict) else {}
+        after = [str(x) for x in after] if isinstance(after, (list, dict)) else []
+        kind = next((t for word, (t, by_name) in SERVICE_TECHNOLOGIES.items() if word in image.lower() or by_name and word in str(name).lower()), "Service")
+        out.append((str(name), image or None, [str(x) for x in c.get("ports") or []], env, after, kind, lines.get(str(name), 1), True))
+    return out
+
+
+def compose(docs: DataFrame) -> DataFrame:
+    """Services of compose files (doc_id, text). Null texts have none; parsed tells whether the file was YAML."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *r) for i, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in compose_services(source)]
+            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.bool_()]
+            columns = list(zip(*rows)) if rows else [[] for _ in types]
+            columns[4] = [list(m.items()) for m in columns[4]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[x.split(" ")[0] for x in ("doc_id", "service_name", "image", "ports", "environment", "depends_on", "inferred_technology", "line_number", "parsed")])
+
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SERVICE)
+
+
 def markdown(docs: DataFrame) -> DataFrame:
-    """(doc_id, title, sections, line_count): the first # heading, and all headings of one to four #."""
+    """(doc_id, title, summary, sections, line_count): the first # heading, the first paragraph (400 characters), and all
+    headings of one to four #."""
     lines = F.transform(F.split("text", r"\r\n|\n|\r"), text.strip)
     heads = F.filter(lines, lambda x: x.rlike(r"^#{1,4}\s+.+$"))
     title = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ")), F.lit(1))
     named = text.title_case(F.replace(F.regexp_extract("file_path", r"([^/\\]+?)(\.[^./\\]+)?$", 1), F.lit("_"), F.lit(" ")))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.nullif(F.regexp_replace(title, r"^[# ]+|[# ]+$", ""), F.lit("")), named).alias("title"), F.transform(heads, lambda x: F.regexp_replace(x, r"^#{1,4}\s+", "")).alias("sections"), text.line_count("text").alias("line_count"))
+    zero = F.struct(F.array().cast("array<string>").alias("said"), F.lit(False).alias("over"))
+    step = lambda a, x: (
+        F.when(a["over"] | ((F.size(a["said"]) == 0) & x.rlike(r"^(#|!|\[|$)")), a)
+        .when(x.rlike("^(#|$)"), F.struct(a["said"].alias("said"), F.lit(True).alias("over")))
+        .otherwise(F.struct(F.concat(a["said"], F.array(x)).alias("said"), F.lit(False).alias("over")))
+    )
+    first = F.aggregate(lines, zero, step, lambda a: F.array_join(a["said"], " "))
+    one = docs.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.nullif(F.regexp_replace(title, r"^[# ]+|[# ]+$", ""), F.lit("")), named).alias("title"), first.alias("first"), F.transform(heads, lambda x: F.regexp_replace(x, r"^#{1,4}\s+", "")).alias("sections"), text.line_count("text").alias("line_count"))
+    summary = F.when(F.col("first") == "", F.concat(F.lit("Documentation for "), "title")).otherwise(text.truncate("first", 400, dots=True))
+    return one.select("doc_id", "title", summary.alias("summary"), "sections", "line_count")
 
 
 def markdown_terms(docs: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:

@@ -194,6 +194,17 @@ def structural(schema: DataFrame, document_col: str = "document_name") -> tuple[
     return es.where("canonical_name is not null").distinct(), rs.where("source_entity is not null and target_entity is not null").distinct()
 
 
+def structural_workbook(schema: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As structural(), of spreadsheets (document_name, sheet_name, column_name, data_type): Workbook, Sheet, Column, DataType."""
+    d, t, c, k = (F.col(x) for x in ("document_name", "sheet_name", "column_name", "data_type"))
+    sheet, column = F.concat(d, F.lit("::"), t), F.concat(d, F.lit("::"), t, F.lit("."), c)
+    entity = lambda key, name, kind: F.struct(key.alias("canonical_name"), name.alias("name"), F.lit(kind).alias("type"))
+    link = lambda a, kind, b: F.struct(a.alias("source_entity"), F.lit(kind).alias("relationship_type"), b.alias("target_entity"))
+    es = schema.select(F.explode(F.array(entity(d, d, "Workbook"), entity(sheet, t, "Sheet"), entity(column, F.concat(t, F.lit("."), c), "Column"), entity(k, k, "DataType"))).alias("e")).select("e.*")
+    rs = schema.select(F.explode(F.array(link(d, "CONTAINS_SHEET", sheet), link(sheet, "CONTAINS_COLUMN", column), link(column, "HAS_DATA_TYPE", k))).alias("r")).select("r.*")
+    return es.where("canonical_name is not null").distinct(), rs.where("source_entity is not null and target_entity is not null").distinct()
+
+
 def structural_keys(paths: DataFrame, document_col: str = "document_name", path_col: str = "path", sep: str = "/") -> tuple[DataFrame, DataFrame]:
     """Entities and relationships of nested keys or elements: each path's parent is the path without its last part."""
     d, p = F.col(document_col), F.col(path_col)

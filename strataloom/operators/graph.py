@@ -38,7 +38,7 @@ def edges(relationships: DataFrame, vs: DataFrame) -> DataFrame:
     """Merged relationships as edges, of which both ends exist."""
     m = merge.merge_relationships(relationships, "source_canonical_id", "target_canonical_id", "relationship_type", ["extracted_at", "record_id"])
     p = F.col("provenance")
-    flat = m.select("src", "label", "dst", "weight", "description", p["repository_name"].alias("repository_name"), p["commit_sha"].alias("commit_sha"), identity.tidy_path(p["file_path"]).alias("file_path"), p["start_line"].alias("start_line"))
+    flat = m.select("src", "label", "dst", "weight", "description", p["repository_name"].alias("repository_name"), p["commit_sha"].alias("commit_sha"), identity.tidy_path(p["file_path"]).alias("file_path"), p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), p["extraction_method"].alias("extraction_method"))
     return merge.prune_ends(flat, vs)
 
 
@@ -150,13 +150,16 @@ def k_hop(es: DataFrame, seeds: DataFrame, hops: int = 1, directed: bool = False
     return seen
 
 
-def components(es: DataFrame, vs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(es: DataFrame, vs: DataFrame) -> DataFrame:
     """(id, component): the smallest id that a vertex is connected to, whatever the direction.
 
+    Rounds go on until nothing changes; their number grows with the logarithm of the number of vertices.
+
     Large-star and small-star rounds: each replaces edges by links to smaller ids, so that hubs aren't expanded."""
     hold = Cut(es.sparkSession, "stars")
     links = hold(es.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    for _ in range(max_rounds):
+    same = False
+    while not same:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -166,6 +169,34 @@ def components(es: DataFrame, vs: DataFrame, max_rounds: int = 50) -> DataFrame:
         nxt = hold(small.distinct())
         same = nxt.exceptAll(links).isEmpty() and links.exceptAll(nxt).isEmpty()
         links = nxt
-        if same:
-            break
     return vs.select("id").join(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+
+
+def document_subgraph(vs: DataFrame, es: DataFrame, by: str = "repository_name") -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges of every value of ``by`` (a repository, a document): its own vertices with the ends of its edges,
+    and its edges, each with a column scope. One plan for all of them; a vertex may be in several."""
+    own = es.where(F.col(by).isNotNull()).withColumn("scope", F.col(by))
+    ids = vs.where(F.col(by).isNotNull()).select(F.col(by).alias("scope"), "id").union(own.select("scope", F.explode(F.array("src", "dst")))).distinct()
+    return ids.join(vs, "id").select("scope", *vs.columns), own
+
+
+def provenance(vs: DataFrame, es: DataFrame, name: Column | str, limit: int = 50) -> DataFrame:
+    """(id, name, file_path, start_line, source_snippet, direction, relationship, other, other_name, other_label) of the
+    vertices whose id or name is ``name`` (a value, or a column of booleans over vertices), with at most ``limit``
+    neighbours each, in the order of their ids. A vertex without neighbours has one row."""
+    from pyspark.sql import Window
+
+    hit = (F.col("id") == name) | (F.col("name") == name) if isinstance(name, str) else name
+    found = vs.where(hit).select("id", "name", "file_path", "start_line", "source_snippet")
+    near = neighbours(es, vs, found).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("other", "label", "direction"))).where(F.col("k") <= limit)
+    return found.join(near.select("id", "direction", F.col("label").alias("relationship"), "other", "other_name", "other_label"), "id", "left")
+
+
+def subgraph_of(items: DataFrame, vs: DataFrame, es: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices and edges that ranked items (qid, item_id) stand for, each with qid: what a view of an answer draws.
+    The ends of its edges are among the vertices."""
+    part = F.split("item_id", r"\|")
+    links = items.where(F.col("item_id").startswith("code:edge|")).select("qid", part[1].alias("src"), part[2].alias("label"), part[3].alias("dst"))
+    links = links.join(es, ["src", "label", "dst"])
+    ids = items.where(F.col("item_id").startswith("code:node:")).select("qid", F.substring("item_id", 11, 1 << 20).alias("id")).union(links.select("qid", F.explode(F.array("src", "dst")))).distinct()
+    return ids.join(vs, "id"), links

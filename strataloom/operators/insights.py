@@ -32,6 +32,12 @@ def important_files(vs: DataFrame, es: DataFrame) -> DataFrame:
     return out.withColumn("importance", F.round(score, 2))
 
 
+def name_lists(vs: DataFrame, labels: tuple[str, ...] = ("Service", "Concept")) -> DataFrame:
+    """(repository_name, label, names): the names of some kinds of vertex, once each, sorted."""
+    once = vs.where(F.col("label").isin(*labels) & (F.col("name") != "")).select("repository_name", "label", "name").distinct()
+    return once.groupBy("repository_name", "label").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
 def definitions_by_file(vs: DataFrame) -> DataFrame:
     """(repository_name, file_path, classes, functions): sorted names."""
     names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("label") == kind, F.col("name"))))

@@ -2,7 +2,8 @@
 
 MATCH with labels, property maps, directed and undirected edges and comma patterns; WHERE with AND, OR, NOT, comparisons,
 IN, =~, CONTAINS, STARTS WITH, ENDS WITH and IS [NOT] NULL; RETURN [DISTINCT] with aliases, id(), label(), properties and
-count(); ORDER BY, SKIP, LIMIT. CREATE and SET are the upserts of operators.graph. Anything else raises CypherError.
+count(); ORDER BY, SKIP, LIMIT. mutate() takes CREATE of vertices, MATCH with CREATE of an edge, and MATCH with SET, and gives
+the graph after it, as upserts of operators.graph. Anything else raises CypherError.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 
 class CypherError(ValueError):
     """The text isn't in the subset."""
 
 
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op><>|<=|>=|=~|->|<-|[-=<>(){}\[\],.:*|]))")
-_KEYWORDS = frozenset("MATCH WHERE RETURN ORDER BY SKIP LIMIT AND OR NOT IN IS NULL AS DISTINCT CONTAINS STARTS ENDS WITH ASC DESC TRUE FALSE".split())
+_KEYWORDS = frozenset("MATCH WHERE RETURN ORDER BY SKIP LIMIT AND OR NOT IN IS NULL AS DISTINCT CONTAINS STARTS ENDS WITH ASC DESC TRUE FALSE CREATE SET".split())
 
 
 def _tokens(text: str) -> list[tuple[str, str]]:
@@ -115,6 +118,20 @@ class _Parser:
         known["props"] |= n["props"]
         return n["var"]
 
+    def skip_where(self, *stop: str) -> int | None:
+        """Where a WHERE's condition begins, if there is one; the reader stands behind it then."""
+        if not self.take("WHERE"):
+            return None
+        start, depth = self.i, 0
+        while self.t[self.i][0] != "end" and not (depth == 0 and self.peek(*stop)):
+            depth += self.peek("(") - self.peek(")")
+            self.i += 1
+        return start
+
+    def finish(self) -> None:
+        if self.t[self.i][0] != "end":
+            raise CypherError(f"unexpected {self.t[self.i][1]!r}")
+
     def pattern(self) -> None:
         a = self.node()
         while self.peek("-", "<-"):
@@ -148,13 +165,7 @@ class CypherGraph:
         p.pattern()
         while p.take(","):
             p.pattern()
-        where = None
-        if p.take("WHERE"):
-            where = p.i
-            depth = 0
-            while p.t[p.i][0] != "end" and not (depth == 0 and p.peek("RETURN")):
-                depth += p.peek("(") - p.peek(")")
-                p.i += 1
+        where = p.skip_where("RETURN")
         p.need("RETURN")
         distinct = p.take("DISTINCT")
         items = [self._item(p)]
@@ -175,8 +186,7 @@ class CypherGraph:
             skip = int(p.literal())
         if p.take("LIMIT"):
             limit = int(p.literal())
-        if p.t[p.i][0] != "end":
-            raise CypherError(f"unexpected {p.t[p.i][1]!r}")
+        p.finish()
         df = self._match(p)
         if where is not None:
             q = _Parser("")
@@ -186,6 +196,114 @@ class CypherGraph:
                 raise CypherError(f"unexpected {q.t[q.i][1]!r}")
         return self._project(df, p, items, distinct, order, skip, limit)
 
+    # changes
+
+    def mutate(self, text: str) -> "CypherGraph":
+        """The graph after a change: CREATE (n:Label {...}), ... | MATCH ... CREATE (a)-[:TYPE {...}]->(b) | MATCH ... SET a.key = value, ...
+
+        A vertex needs an id (or canonical_id); one that is there already stays as it is, and so does an edge. The two
+        ends of a new edge are found by one pattern, or each by its own id."""
+        p = _Parser(text)
+        if p.take("CREATE"):
+            return self._create_vertices(p)
+        p.need("MATCH")
+        p.pattern()
+        while p.take(","):
+            p.pattern()
+        where = p.skip_where("CREATE", "SET")
+        if p.take("CREATE"):
+            known = {v: dict(n, labels=list(n["labels"])) for v, n in p.nodes.items()}
+            before = len(p.edges)
+            p.pattern()
+            new = p.edges[before:]
+            p.edges, p.nodes = p.edges[:before], known
+            if len(new) != 1 or not new[0]["directed"] or len(new[0]["labels"]) != 1 or {new[0]["src"], new[0]["dst"]} - set(known):
+                raise CypherError("one edge of one type between matched vertices")
+            p.finish()
+            return self._create_edge(p, where, new[0])
+        p.need("SET")
+        changes: dict[str, dict] = {}
+        while True:
+            var = p.name()
+            p.need(".")
+            key = p.name()
+            p.need("=")
+            changes.setdefault(var, {})[key] = p.literal()
+            if not p.take(","):
+                break
+        p.finish()
+        if len(changes) != 1 or next(iter(changes)) not in p.nodes:
+            raise CypherError("SET of one vertex's properties")
+        var, values = next(iter(changes.items()))
+        hit = self._filtered(p, where).select(F.col(f"`{var}.id`").alias("id")).distinct().withColumn("__hit", F.lit(True))
+        return CypherGraph(self._changed(self.vertices.join(hit, "id", "left"), values), self.edges)
+
+    def _changed(self, vs: DataFrame, values: dict) -> DataFrame:
+        out, own = vs, {}
+        for k, v in values.items():
+            k = {"entity_type": "label"}.get(k, k)
+            if k in ("id", "canonical_id"):
+                raise CypherError("an id can't be changed")
+            if k in self.vertices.columns:
+                out = out.withColumn(k, F.when(F.col("__hit"), F.lit(v).cast(self.vertices.schema[k].dataType)).otherwise(F.col(k)))
+            else:
+                own[k] = None if v is None else str(v)
+        if own:
+            if "properties" not in self.vertices.columns:
+                raise CypherError(f"no property {next(iter(own))}")
+            none = F.create_map().cast("map<string,string>")
+            kept = F.map_filter(F.coalesce("properties", none), lambda k, _: ~k.isin(*own))
+            more = F.create_map(*[F.lit(x) for pair in own.items() if pair[1] is not None for x in pair]) if any(v is not None for v in own.values()) else none
+            out = out.withColumn("properties", F.when(F.col("__hit"), F.map_concat(kept, more)).otherwise(F.col("properties")))
+        return out.select(*self.vertices.columns)
+
+    def _row(self, like: DataFrame, values: dict) -> list[Column]:
+        """A row with the columns of a table out of literals; what has no column goes to properties."""
+        own = {k: str(v) for k, v in values.items() if k not in like.columns and v is not None}
+        made = []
+        for f in like.schema:
+            if f.name == "properties" and f.name not in values:
+                made.append((F.create_map(*[F.lit(x) for pair in own.items() for x in pair]) if own else F.create_map()).cast(f.dataType).alias(f.name))
+            else:
+                made.append(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name))
+        return made
+
+    def _create_vertices(self, p: _Parser) -> "CypherGraph":
+        p.pattern()
+        while p.take(","):
+            p.pattern()
+        p.finish()
+        if p.edges:
+            raise CypherError("an edge is created between matched vertices")
+        new = None
+        for n in p.nodes.values():
+            values = {{"canonical_id": "id", "entity_type": "label"}.get(k, k): v for k, v in n["props"].items()}
+            if values.get("id") is None or len(n["labels"]) > 1:
+                raise CypherError("a vertex needs an id and one label")
+            one = self.vertices.sparkSession.range(1).select(*self._row(self.vertices, {"label": (n["labels"] or ["Concept"])[0]} | values))
+            new = one if new is None else new.unionByName(one)
+        return CypherGraph(graph.upsert_vertices(self.vertices, new, None), self.edges)
+
+    def _create_edge(self, p: _Parser, where: int | None, e: dict) -> "CypherGraph":
+        a, b = e["src"], e["dst"]
+        ids = [p.nodes[v]["props"].get("id", p.nodes[v]["props"].get("canonical_id")) for v in (a, b)]
+        if not p.edges and where is None and len(p.nodes) == 2 and None not in ids:  # each by its id: one aggregation finds both
+            found = self._scan(a, p.nodes[a]).select(F.col(f"`{a}.id`").alias("x"), F.lit(0).alias("k")).unionByName(self._scan(b, p.nodes[b]).select(F.col(f"`{b}.id`").alias("x"), F.lit(1).alias("k")))
+            ends = found.agg(F.max(F.when(F.col("k") == 0, F.col("x"))).alias("src"), F.max(F.when(F.col("k") == 1, F.col("x"))).alias("dst")).where("src is not null and dst is not null")
+        else:
+            ends = self._filtered(p, where).select(F.col(f"`{a}.id`").alias("src"), F.col(f"`{b}.id`").alias("dst")).distinct()
+        row = [c for c, f in zip(self._row(self.edges, {"label": e["labels"][0]} | e["props"]), self.edges.schema) if f.name not in ("src", "dst")]
+        new = ends.select("src", "dst", *row)
+        return CypherGraph(self.vertices, graph.upsert_edges(self.edges, new.select(*self.edges.columns), self.vertices))
+
+    def _filtered(self, p: _Parser, where: int | None) -> DataFrame:
+        df = self._match(p)
+        if where is None:
+            return df
+        q = _Parser("")
+        q.t, q.i = p.t, where
+        return df.where(self._or(q, p))
+
     # planning
 
     def _scan(self, var: str, node: dict) -> DataFrame:

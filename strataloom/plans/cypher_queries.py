@@ -12,6 +12,8 @@ TEXTS = {
     "cypher_counts": "MATCH (a)-[r]->(b) RETURN label(a) AS source, type(r) AS relationship, label(b) AS target, count(r) AS n",
     "cypher_two_hops": "MATCH (d:Directory)-[:CONTAINS]->(f:File)-[:DEFINES]->(c:Class) RETURN d.id AS directory, c.name AS class",
     "cypher_top": "MATCH (a)-[r]->(b) RETURN b.id AS id, count(r) AS n ORDER BY n DESC, id LIMIT 20",
+    "cypher_properties": "MATCH (f:File {start_line: 1})-[r:DEFINES {weight: 1.0}]->(c:Class) RETURN f.id AS file, c.id AS class",
+    "cypher_unequal": "MATCH (a:File)-[r:DEFINES]->(b), (a)-[q:IMPORTS]->(l:Library) WHERE 1 = 1 AND a.name <> b.name AND label(b) <> 'Class' RETURN a.id AS file, b.id AS name, l.name AS library",
     "cypher_undirected": "MATCH (a:Library)-[r:IMPORTS]-(b) RETURN a.name AS library, b.id AS other",
 }
 
@@ -38,5 +40,7 @@ ORACLE = {
     "cypher_counts": _G + " select a.label as source, r.label as relationship, b.label as target, count(*) as n" + _AB + "group by 1, 2, 3",
     "cypher_two_hops": _G + " select d.id as directory, c.name as class from e r join v d on r.src = d.id join v f on r.dst = f.id join e s on s.src = f.id join v c on s.dst = c.id where d.label = 'Directory' and f.label = 'File' and c.label = 'Class' and r.label = 'CONTAINS' and s.label = 'DEFINES'",
     "cypher_top": _G + " select b.id as id, count(*) as n" + _AB + "group by 1 order by n desc, id limit 20",
+    "cypher_properties": _G + " select a.id as file, b.id as class" + _AB + "where r.label = 'DEFINES' and r.weight = 1.0 and a.label = 'File' and a.start_line = 1 and b.label = 'Class'",
+    "cypher_unequal": _G + " select a.id as file, b.id as name, l.name as library from e r join v a on r.src = a.id join v b on r.dst = b.id join e q on q.src = a.id join v l on q.dst = l.id where r.label = 'DEFINES' and q.label = 'IMPORTS' and a.label = 'File' and l.label = 'Library' and a.name <> b.name and b.label <> 'Class'",
     "cypher_undirected": _G + ", l as (select src as a, dst as b from e where label = 'IMPORTS' union all select dst, src from e where label = 'IMPORTS') select a.name as library, b.id as other from l join v a on l.a = a.id join v b on l.b = b.id where a.label = 'Library'",
 }

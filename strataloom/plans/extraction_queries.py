@@ -80,7 +80,6 @@ QUERIES = {
     "requirements": lambda s, d: code.requirements(_named(s, d, r"requirements[^/]*\.txt$")),
     "package_json": lambda s, d: code.package_json(_named(s, d, r"package\.json$")),
     "dockerfile": lambda s, d: code.dockerfile(_named(s, d, r"Dockerfile$")),
-    "markdown": lambda s, d: code.markdown(_named(s, d, r"\.md$")).select("doc_id", "title", F.size("sections").alias("n_sections"), "line_count"),
     "markdown_terms": lambda s, d: code.markdown_terms(_named(s, d, r"\.md$"), refdata.MARKDOWN_TECHNOLOGIES | refdata.MARKDOWN_CONCEPTS),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, text
+from ..functions import refdata, text
 from ..operators import graph, insights, merge
 
 
@@ -83,15 +83,13 @@ def typed_paths(vs: DataFrame, es: DataFrame) -> DataFrame:
 def hops(s: SparkSession, d: str) -> DataFrame:
     """What three steps reach from repositories."""
     vs, es = tables(s, d)
-    return graph.k_hop(es, vs.where(F.col("label") == "Repository"), 3).groupBy("hop").agg(F.count("*").alias("n"))
+    return graph.k_hop(es, vs.where(F.col("label") == "Repository"), 3)
 
 
 def document_subgraph(s: SparkSession, d: str) -> DataFrame:
-    """Per repository: its vertices together with the ends of its edges."""
-    vs, es = tables(s, d)
-    ends = es.select("repository_name", F.explode(F.array("src", "dst")).alias("id"))
-    ids = vs.select("repository_name", "id").union(ends).where("repository_name is not null").distinct()
-    return ids.groupBy("repository_name").agg(F.count("*").alias("n_vertices"))
+    """Every repository's subgraph: its vertices together with the ends of its edges, and its edges."""
+    vs, es = graph.document_subgraph(*tables(s, d))
+    return vs.select("scope", F.col("id").alias("a"), "label", F.lit("").alias("b")).unionByName(es.select("scope", F.col("src").alias("a"), "label", F.col("dst").alias("b")))
 
 
 def library_names(s: SparkSession, d: str) -> DataFrame:
@@ -124,7 +122,7 @@ QUERIES = {
     "edge_endpoints": _on(lambda v, e: graph.with_ends(e, v).select("src", "label", "dst", "src_name", "dst_name", "weight")),
     "neighbours": _on(neighbour_rows),
     "typed_paths": _on(typed_paths),
-    "isolated": _on(lambda v, e: graph.isolated(v, e).groupBy("label").agg(F.count("*").alias("n"))),
+    "isolated": _on(lambda v, e: graph.isolated(v, e).select("id", "label")),
     "k_hop": hops,
     "components": lambda s, d: graph.components(tables(s, d)[1], tables(s, d)[0]).groupBy("component").agg(F.count("*").alias("n")),
     "document_subgraph": document_subgraph,
@@ -158,7 +156,7 @@ def _vertices(name: str = "v", where: str = "true") -> str:
 {name}_m as (select canonical_id as id, arg_min(entity_type, (extracted_at, record_id)) as entity_type, arg_min(name, (extracted_at, record_id)) as name, arg_min(description, (-length(description), extracted_at, record_id)) filter (where length(description) > 0) as description,
   max(confidence) as confidence, count(*) as n_records, arg_min(provenance, (extracted_at, record_id)) as p from {name}_raw group by 1),
 {name} as (select m.id, regexp_replace(regexp_replace(entity_type, '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g') as label, {_LINE('name')} as name, description, coalesce(al.aliases, '') as aliases, confidence, n_records,
-  p.repository_name as repository_name, p.repository_url as repository_url, p.commit_sha as commit_sha, {_TIDY('p.file_path')} as file_path, p.start_line as start_line, p.end_line as end_line, left({_LINE('p.source_snippet')}, 400) as source_snippet
+  p.repository_name as repository_name, p.repository_url as repository_url, p.commit_sha as commit_sha, {_TIDY('p.file_path')} as file_path, p.start_line as start_line, p.end_line as end_line, p.extraction_method as extraction_method, left({_LINE('p.source_snippet')}, 400) as source_snippet
   from {name}_m m left join {name}_al al using (id))"""
 
 
@@ -168,7 +166,7 @@ def _edges(name: str = "e", vs: str = "v", where: str = "true") -> str:
   where trim(coalesce(source_canonical_id, '')) <> '' and trim(coalesce(target_canonical_id, '')) <> '' and source_canonical_id <> target_canonical_id and {where}),
 {name}_m as (select source_canonical_id as src, label, target_canonical_id as dst, arg_min(weight, (extracted_at, record_id)) + 0.5 * (count(*) - 1) as weight, arg_min(description, (-length(description), extracted_at, record_id)) filter (where length(description) > 0) as description,
   count(*) as n_records, arg_min(provenance, (extracted_at, record_id)) as p from {name}_raw group by 1, 2, 3),
-{name} as (select src, label, dst, weight, description, p.repository_name as repository_name, p.commit_sha as commit_sha, p.start_line as start_line, {_TIDY('p.file_path')} as file_path from {name}_m semi join {vs} on src = {vs}.id semi join {vs} as v2 on dst = v2.id)"""
+{name} as (select src, label, dst, weight, description, p.repository_name as repository_name, p.commit_sha as commit_sha, p.start_line as start_line, p.end_line as end_line, p.extraction_method as extraction_method, {_TIDY('p.file_path')} as file_path from {name}_m semi join {vs} on src = {vs}.id semi join {vs} as v2 on dst = v2.id)"""
 
 
 _G = "with " + _vertices() + "," + _edges()
@@ -184,6 +182,8 @@ dm as (select canonical_name, coalesce(arg_min(name, mention_id) filter (where n
 ORACLE = {
     "entity_merge": "with " + _vertices() + ", k as (select id, string_agg(k, ',' order by k) as ks, count(*) as n from v_pr group by 1) select v.id as canonical_id, v_m.name, v_m.entity_type, v.description, v.aliases, v.confidence, coalesce(k.ks, '') as property_keys, coalesce(k.n, 0)::int as n_properties, v.n_records, v.commit_sha from v join v_m using (id) left join k using (id)",
     "edge_merge": "with " + _vertices() + "," + _edges() + " select src, label, dst, weight, description, n_records from e_m",
+    "alias_resolve": "with " + _DOC + r""", k as (select canonical_name as k from dm), a as (select lower(a) as a, min(canonical_name) as k from (select canonical_name, unnest(aliases) as a from m) group by 1), r as (select name as e, regexp_replace(regexp_replace(name, '^[\s"''`\x{201C}\x{2018}]+|[\s"''`\x{201D}\x{2019}]+$', '', 'g'), '\s+', ' ', 'g') as x0 from doc_entities), x as (select e, trim(x0, ' ') as x from r),
+f as (select x.e, coalesce(k.k, a.k, c.v, case when x = lower(x) and regexp_matches(x, '[a-z]') and length(x) > 2 then array_to_string(list_transform(regexp_extract_all(x, '(\p{L}+|[^\p{L}]+)'), lambda p: upper(p[1]) || lower(p[2:])), '') else x end) as resolved from x left join k on x.e = k.k left join a on lower(x.e) = a.a left join (values """ + ", ".join(f"('{k}', '{v}')" for k, v in refdata.CANONICAL_NAMES.items()) + """) as c(l, v) on lower(x) = c.l) select resolved, count(*) as n from f group by 1""",
     "document_merge": "with " + _DOC + " select dm.canonical_name, name, type, description, coalesce(aliases, '') as aliases, confidence, mentions from dm left join al using (canonical_name)",
     "upsert_counts": _HALVES + " select (select count(*) from w anti join v using (id)) as vertices_created, (select count(*) from w semi join v using (id)) as vertices_existing, (select count(*) from g anti join e using (src, label, dst)) as edges_created, (select count(*) from g semi join e using (src, label, dst)) as edges_existing",
     "upsert_vertices": _HALVES + " , u as (select label, confidence from v union all select label, confidence from w anti join v using (id)) select label, count(*) as n, max(confidence) as top_confidence from u group by 1",
@@ -193,9 +193,9 @@ ORACLE = {
     "edge_endpoints": _G + " select src, e.label, dst, a.name as src_name, b.name as dst_name, weight from e join v a on src = a.id join v b on dst = b.id",
     "neighbours": _G + ", bo as (select src as id, 'out' as direction, label, dst as other from e union all select dst, 'in', label, src from e) select bo.id, direction, bo.label, other, o.name as other_name, o.label as other_label from bo join v c on bo.id = c.id and c.label = 'Class' join v o on other = o.id",
     "typed_paths": _G + " select a.name as src_name, b.name as dst_name, weight from e join v a on src = a.id join v b on dst = b.id where e.label = 'DEFINES' and a.label = 'File' and b.label = 'Class'",
-    "isolated": _G + " select label, count(*) as n from v where id not in (select src from e) and id not in (select dst from e) group by 1",
-    "k_hop": "with recursive " + _G[5:] + ", st as (select src as a, dst as b from e union select dst, src from e), r as (select id, 0 as hop from v where label = 'Repository' union select b, hop + 1 from r join st on r.id = st.a where hop < 3), f as (select id, min(hop) as hop from r group by 1) select hop, count(*) as n from f group by 1",
-    "document_subgraph": _G + ", x as (select repository_name, id from v union select repository_name, src from e union select repository_name, dst from e) select repository_name, count(*) as n_vertices from x where repository_name is not null group by 1",
+    "isolated": _G + " select id, label from v where id not in (select src from e) and id not in (select dst from e)",
+    "k_hop": "with recursive " + _G[5:] + ", st as (select src as a, dst as b from e union select dst, src from e), r as (select id, 0 as hop from v where label = 'Repository' union select b, hop + 1 from r join st on r.id = st.a where hop < 3), f as (select id, min(hop) as hop from r group by 1) select id, hop from f",
+    "document_subgraph": _G + ", x as (select repository_name as scope, id from v union select repository_name, src from e union select repository_name, dst from e) select scope, id as a, label, '' as b from x join v using (id) where scope is not null union all select repository_name, src, label, dst from e where repository_name is not null",
     "entity_search": _G + " select id, name, file_path from v where label = 'Class' and contains(lower(name), 'store')",
     "token_match": _G + " select id, label from v where " + " or ".join(f"coalesce(regexp_matches({c}, '(?i)\\bpivot\\b'), false)" for c in ("name", "description", "file_path", "source_snippet")),
     "usage": _G + ", n as (select name, label, (select count(*) from e where dst = v.id) as n from v), s as (select name, sum(n)::bigint as usage from n group by 1) select distinct label as category, n.name, usage from n join s using (name) where label in ('Technology', 'Library') and n.name <> ''",

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hierarchy_queries", "text_queries", "graph_queries", "retrieval_queries", "cypher_queries", "extraction_queries", "export_queries")
+MODULES = ("hierarchy_queries", "text_queries", "graph_queries", "retrieval_queries", "cypher_queries", "extraction_queries", "export_queries", "pipeline_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -138,7 +138,7 @@ ORACLE = {
     "clean_text": f"select doc_id, md5({_CLEAN}) as md5 from documents",
     "word_counts": f"with {_PAGES} select document_id, page_number, length(text)::int as char_count, ({_WORDS})::int as word_count from pages where text is not null",
     "page_totals": f"with {_PAGES} select document_id, count(*) as n_pages, sum(length(text))::bigint as total_chars, sum({_WORDS})::bigint as total_words from pages where text is not null group by 1",
-    "html_text": r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as plain, trim(regexp_extract(text, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from documents where contains(lower(text), '<html')",
+    "html_text": r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b[^>]*>.*?</svg\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as plain, trim(regexp_extract(text, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from documents where contains(lower(text), '<html')",
     "detect_format": f"select coalesce(ext.format, 'unknown') as format, count(*) as n from documents left join {_EXT} on lower(regexp_extract(file_path, '(\\.[^.\\\\/]+)$', 1)) = ext.x group by 1",
     "infer_types": "select unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) as \"column\", unnest([case when bool_and(regexp_full_match(v, '-?[0-9]+')) then 'Integer' when bool_and(regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?')) then 'Float' else 'String' end for v in [1]]) as type",
     "json_keys": "select unnest(json_keys(props)) as key, count(*) as n from events group by 1",
