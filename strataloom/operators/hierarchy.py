@@ -47,17 +47,13 @@ def contains_links(relationships: DataFrame) -> DataFrame:
     return clean_links(relationships.where(kind == "CONTAINS"), "target_canonical_id", "source_canonical_id")
 
 
-def _hops(moving: DataFrame, arrived: DataFrame | None) -> DataFrame:
-    """(ptr, n, ptr2, dist2, done2): what each pointer of the moving nodes points to itself; nulls for a topmost one."""
-    wanted = moving.groupBy("ptr").agg(F.count("*").alias("n"))
+def _step(moving: DataFrame, arrived: DataFrame | None, wanted: DataFrame | None, limit: int, hottest: int) -> DataFrame:
+    """The moving nodes after a jump from their pointer to the pointer's pointer, and whether they have arrived.
+
+    wanted: (ptr, n) of their pointers; none where no pointer can be a hot one."""
     ahead = lambda df, done: df.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.lit(done).alias("done2"))
     known = ahead(moving, False) if arrived is None else ahead(moving, False).unionByName(ahead(arrived, True))
-    return wanted.join(known, "ptr", "left")
-
-
-def _step(moving: DataFrame, arrived: DataFrame | None, limit: int, hottest: int) -> DataFrame:
-    """The moving nodes after a jump from their pointer to the pointer's pointer, and whether they have arrived."""
-    jumped = counted_join(moving, _hops(moving, arrived), "ptr", limit, hottest)
+    jumped = moving.join(known, "ptr", "left") if wanted is None else counted_join(moving, wanted.join(known, "ptr", "left"), "ptr", limit, hottest)
     return jumped.select(
         "node",
         F.coalesce("ptr2", "ptr").alias("ptr"),
@@ -66,10 +62,18 @@ def _step(moving: DataFrame, arrived: DataFrame | None, limit: int, hottest: int
     )
 
 
-def _load(nodes: DataFrame) -> tuple[int, int]:
-    """Rows, and those of the pointer that most of them share."""
-    r = nodes.groupBy("ptr").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("hottest")).first()
-    return r.rows or 0, r.hottest or 0
+def _load(nodes: DataFrame, rows: int, limit: int, hold: Cut) -> tuple[DataFrame | None, int]:
+    """(ptr, n) of the nodes' pointers and the n of the hottest; nothing where so few rows can have no hot one."""
+    if rows <= limit:
+        return None, rows
+    wanted = hold(nodes.groupBy("ptr").agg(F.count("*").alias("n")))
+    return wanted, wanted.agg(F.max("n")).first()[0]
+
+
+def _join_nodes(nodes: DataFrame, targets: DataFrame, rows: int, limit: int, hold: Cut) -> DataFrame:
+    """nodes with what their pointers lead to (targets, one row a ptr)."""
+    wanted, hottest = _load(nodes, rows, limit, hold)
+    return nodes.join(targets, "ptr") if wanted is None else counted_join(nodes, targets.join(wanted, "ptr"), "ptr", limit, hottest)
 
 
 def _cycles(open_nodes: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
@@ -78,14 +82,12 @@ def _cycles(open_nodes: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
     After 2**j >= n steps every pointer lies on its cycle, and the pointers are all of the cycles' nodes. The minimum
     over 2**j nodes ahead then covers each cycle once 2**j reaches its length; both by doubling."""
     spark = open_nodes.sparkSession
-    hold = Cut(spark, "cycle")
+    hold, hold_pointers = Cut(spark, "cycle"), Cut(spark, "pointers")
     n = open_nodes.count()
     state = open_nodes.select("node", "ptr")
     while (1 << rounds) < n:
-        sizes = state.groupBy("ptr").agg(F.count("*").alias("n"))
-        hottest = sizes.agg(F.max("n")).first()[0] or 0
-        ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")).join(sizes, "ptr")
-        state = hold(counted_join(state, ahead, "ptr", hot_limit(n), hottest).select("node", F.col("next").alias("ptr")))
+        ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
+        state = hold(_join_nodes(state, ahead, n, hot_limit(n), hold_pointers).select("node", F.col("next").alias("ptr")))
         rounds += 1
     on_cycle = state.select("ptr").distinct().withColumnRenamed("ptr", "node")
     ring = names.join(on_cycle, "node", "left_semi").select("node", F.col("parent_key").alias("ptr"), F.col("child").alias("least"))
@@ -96,10 +98,8 @@ def _cycles(open_nodes: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
         ahead = ring.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("least").alias("least2"))
         ring = hold_ring(ring.join(ahead, "ptr").select("node", F.col("next").alias("ptr"), F.least("least", "least2").alias("least")))
         j += 1
-    sizes = state.groupBy("ptr").agg(F.count("*").alias("n"))
-    hottest = sizes.agg(F.max("n")).first()[0] or 0
-    least = ring.select(F.col("node").alias("ptr"), F.col("least").alias("root_id")).join(sizes, "ptr")
-    return counted_join(state, least, "ptr", hot_limit(n), hottest).select("node", "root_id")
+    least = ring.select(F.col("node").alias("ptr"), F.col("least").alias("root_id"))
+    return _join_nodes(state, least, n, hot_limit(n), hold_pointers).select("node", "root_id")
 
 
 def hierarchy(links: DataFrame, max_rounds: int = 62) -> DataFrame:
@@ -111,23 +111,23 @@ def hierarchy(links: DataFrame, max_rounds: int = 62) -> DataFrame:
     names = cut(links.select("child", "parent", key("child").alias("node"), key("parent").alias("parent_key")), "links")
     hold = Cut(spark, "levels", keep=max_rounds)
     moving = names.select("node", F.col("parent_key").alias("ptr"), F.lit(1).alias("dist"))
-    total, hottest = _load(moving)
+    hold_pointers = Cut(spark, "pointers")
+    total = names.count()
     limit, arrived, left, rounds = hot_limit(total), None, total, 0
     while left and rounds < max_rounds:
-        state = hold(_step(moving, arrived, limit, hottest))
+        wanted, hottest = _load(moving, left, limit, hold_pointers)
+        state = hold(_step(moving, arrived, wanted, limit, hottest))
         done = state.where("done").drop("done")
         arrived = done if arrived is None else arrived.unionByName(done)
         moving = state.where("not done").drop("done")
-        (now, hottest), rounds = _load(moving), rounds + 1
+        now, rounds = moving.count(), rounds + 1
         if now == left:  # a round that finishes no node has passed the deepest tree
             break
         left = now
     if arrived is None:
         return names.select(F.col("child").alias("node_id"), F.col("parent").alias("root_id"), F.lit(0).alias("depth")).where("false")
     tops = names.select(F.col("parent_key").alias("ptr"), F.col("parent").alias("root_id")).join(names.select(F.col("node").alias("ptr")), "ptr", "left_anti").distinct()
-    sizes = arrived.groupBy("ptr").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    done = counted_join(arrived, tops.join(sizes, "ptr"), "ptr", limit, most).select("node", "root_id", F.col("dist").alias("depth"))
+    done = _join_nodes(arrived, tops, total - left, limit, hold_pointers).select("node", "root_id", F.col("dist").alias("depth"))
     if left:
         done = done.unionByName(_cycles(moving, names, rounds).withColumn("depth", F.lit(-1)))
     return names.select("node", F.col("child").alias("node_id")).join(done, "node").select("node_id", "root_id", F.col("depth").cast("int").alias("depth"))

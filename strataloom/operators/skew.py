@@ -19,7 +19,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], row: list[str],
 
 
 #: A key is hot if it has more than one in HOT_SHARE of all rows, and more than HOT_ROWS: fewer than HOT_SHARE keys can.
-HOT_SHARE, HOT_ROWS = 1000, 100_000
+HOT_SHARE, HOT_ROWS = 1000, 1_000_000
 
 
 def hot_limit(rows: int) -> int:
@@ -40,5 +40,7 @@ def counted_join(big: DataFrame, small: DataFrame, on: str | list[str], limit: i
 
 def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], rows: int | None = None) -> DataFrame:
     """counted_join() where small is a written table: its hottest key, and the rows of big that it has, are read from it."""
+    if rows is not None and rows <= hot_limit(rows):
+        return big.join(small.drop("n"), on)
     r = small.agg(F.sum("n").alias("rows"), F.max("n").alias("hottest")).first()
     return counted_join(big, small, on, hot_limit(rows if rows is not None else r.rows or 0), r.hottest or 0)
