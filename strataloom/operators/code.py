@@ -20,7 +20,8 @@ _ROUTE_VERBS = ("get", "post", "put", "delete", "patch", "options", "head", "api
 
 
 def python_symbols(source: str) -> list[tuple]:
-    """(kind, name, parent, start, end, detail): import, class, method, function, call, route, or one error row."""
+    """(kind, name, parent, start, end, detail): import, class, method, function, call, route, docstring, variable (of the
+    module), or one error row."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -37,7 +38,12 @@ def python_symbols(source: str) -> list[tuple]:
                     m = re.search(r"['\"]([^'\"]+)['\"]", spelled)
                     out.append(("route", f"{verb.upper()} {m[1] if m else '/'}", f"{owner}.{node.name}" if owner else node.name, node.lineno, node.end_lineno, None))
 
+    def docstring(node, owner) -> None:
+        if said := ast.get_docstring(node):
+            out.append(("docstring", getattr(node, "name", "module"), owner, node.body[0].lineno, node.body[0].end_lineno, said[:200]))
+
     def function(node, owner) -> None:
+        docstring(node, owner)
         args = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)]
         flags = "async " if isinstance(node, ast.AsyncFunctionDef) else ""
         out.append(("method" if owner else "function", node.name, owner, node.lineno, node.end_lineno, f"{flags}({', '.join(args)})"))
@@ -55,12 +61,17 @@ def python_symbols(source: str) -> list[tuple]:
             out.append(("import", "." * node.level + (node.module or ""), None, node.lineno, node.end_lineno, ", ".join(a.name for a in node.names)))
         elif isinstance(node, ast.ClassDef):
             out.append(("class", node.name, None, node.lineno, node.end_lineno, ", ".join(ast.unparse(b) for b in node.bases)))
+            docstring(node, None)
             for item in node.body:
                 if isinstance(item, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     function(item, node.name)
+    docstring(tree, None)
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             function(node, None)
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+            out += [("variable", t.id, None, node.lineno, node.end_lineno, None) for t in targets if isinstance(t, ast.Name)]
     return out
 
 

@@ -112,7 +112,8 @@ def with_entities(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | N
 def entities(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
     """(document_id, page_number, chunk_id, cname, name, type, confidence, snippet)"""
     one = with_entities(chunks, names).select("document_id", "page_number", "chunk_id", "text", F.explode("found").alias("e"))
-    return one.select("document_id", "page_number", "chunk_id", "e.*", text.snippet(F.lower("text"), F.lower(F.col("e.name")), 50).alias("snippet"))
+    low = F.lower(F.col("e.name"))
+    return one.select("document_id", "page_number", "chunk_id", "e.*", F.when(F.col("e.type") == "Organization", text.snippet(F.lower("text"), low, 40)).otherwise(text.snippet(F.lower("text"), low, 50)).alias("snippet"))
 
 
 def segments(c: Column) -> Column:

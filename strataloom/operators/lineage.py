@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -75,3 +76,21 @@ class Cut:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again."""
     return Cut(df.sparkSession, name)(df)
+
+
+def _stamp(spark: SparkSession, path: str) -> str:
+    """When a file or folder was last changed and how long it is, so that a table made of it is known to be stale."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = fs.getContentSummary(hadoop)
+    return f"{path}:{fs.getFileStatus(hadoop).getModificationTime()}:{whole.getLength()}:{whole.getFileCount()}"
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], make) -> DataFrame:
+    """make()'s table, written once per application and state of its sources, and read by whoever asks again."""
+    stamp = hashlib.sha256("|".join([name, *(_stamp(spark, p) for p in sources)]).encode()).hexdigest()[:24]
+    path = f"{application_folder(spark)}/kept-{name}-{stamp}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refdata, text
 from ..operators import graph, insights, merge
+from ..operators.lineage import kept
 
 
 def raw(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -14,9 +15,11 @@ def raw(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Merged vertices and edges, made once for all queries of a session."""
     e, r = raw(s, d)
-    vs = graph.vertices(e)
-    return vs, graph.edges(r, vs)
+    sources = [f"{d}/git_entities.parquet", f"{d}/git_relationships.parquet"]
+    vs = kept(s, "vertices", sources, lambda: graph.vertices(e))
+    return vs, kept(s, "edges", sources, lambda: graph.edges(r, vs))
 
 
 def _on(f):

@@ -28,6 +28,19 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 Parsed = tuple[list[str], dict[str, str]]
 
 
+def probe(spark: SparkSession) -> dict:
+    """Whether the session answers: its version, and the tables that it knows."""
+    return {"ok": spark.range(1).count() == 1, "version": spark.version, "tables": [t.name for t in spark.catalog.listTables()]}
+
+
+def extract_path(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """extract() of the files at a path; a path that isn't there is an error, not an empty result."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        raise FileNotFoundError(path)
+    return extract(catalog(files(spark, path)))
+
+
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, document_name, content, size_bytes, modified_at) of all files at a path."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -85,8 +98,9 @@ def xlsx(raw: bytes) -> Parsed:
         header, *data = rows or [[]]
         data = [r for r in data if any(v.strip() for v in r)]
         total += len(data)
-        meta[f"sheet.{name}"] = json.dumps({"columns": header, "records": len(data)})
-        pages.append("\n".join([f"Sheet: {name}", "Columns: " + ", ".join(header), *(" | ".join(r) for r in data)]))
+        kinds = kinds_of(header, data)
+        meta[f"sheet.{name}"] = json.dumps({"columns": header, "types": kinds, "records": len(data)})
+        pages.append("\n".join([f"Sheet: {name}", "Columns: " + ", ".join(f"{c} ({k})" for c, k in kinds.items()), *(" | ".join(r) for r in data)]))
     return pages, meta | {"sheet_count": str(len(pages)), "record_count": str(total)}
 
 
@@ -105,14 +119,20 @@ def xml(raw: bytes) -> Parsed:
     return ["\n".join(out)], {"root_tag": root.tag.rsplit("}", 1)[-1], "element_count": str(len(paths)), "paths": json.dumps(list(dict.fromkeys(paths)))}
 
 
-def table(raw: bytes, sep: str) -> Parsed:
-    """Columns, types and rows of CSV or TSV; blank rows don't count."""
-    rows = [r for r in csv.reader(io.StringIO(_utf8(raw)), delimiter=sep) if any(v.strip() for v in r)]
-    header, *data = rows or [[]]
+def kinds_of(header: list[str], data: list[list[str]]) -> dict[str, str]:
+    """Integer, Float, Boolean or String by column: what all values that aren't blank are."""
     kinds = {}
     for i, c in enumerate(header):
         vs = [r[i].strip() for r in data if i < len(r) and r[i].strip()]
         kinds[c] = "String" if not vs else "Integer" if all(re.fullmatch(r"-?\d+", v) for v in vs) else "Float" if all(re.fullmatch(r"-?\d+(\.\d+)?", v) for v in vs) else "Boolean" if all(v.lower() in ("true", "false", "yes", "no", "0", "1") for v in vs) else "String"
+    return kinds
+
+
+def table(raw: bytes, sep: str) -> Parsed:
+    """Columns, types and rows of CSV or TSV; blank rows don't count."""
+    rows = [r for r in csv.reader(io.StringIO(_utf8(raw)), delimiter=sep) if any(v.strip() for v in r)]
+    header, *data = rows or [[]]
+    kinds = kinds_of(header, data)
     page = "\n".join(["Columns: " + ", ".join(f"{c} ({k})" for c, k in kinds.items()), *(" | ".join(r) for r in data)])
     return [page], {"record_count": str(len(data)), "column_count": str(len(header)), "columns": json.dumps(header), "column_types": json.dumps(kinds)}
 
@@ -130,11 +150,16 @@ def columnar(raw: bytes, fmt: str) -> Parsed:
     import pyarrow.feather
     import pyarrow.parquet
 
-    t = pyarrow.parquet.read_table(io.BytesIO(raw)) if fmt == "parquet" else pyarrow.feather.read_table(io.BytesIO(raw))
-    kinds = {f.name: str(f.type) for f in t.schema}
-    head = t.slice(0, SAMPLES).to_pylist()
-    page = "\n".join(["Columns: " + ", ".join(f"{c} ({k})" for c, k in kinds.items()), f"Rows: {t.num_rows}", *(json.dumps(r, default=str) for r in head)])
-    return [page], {"record_count": str(t.num_rows), "column_count": str(len(kinds)), "columns": json.dumps(list(kinds)), "column_types": json.dumps(kinds)}
+    if fmt == "parquet":  # the footer tells types and rows; only the first rows are read
+        f = pyarrow.parquet.ParquetFile(io.BytesIO(raw))
+        schema, rows = f.schema_arrow, f.metadata.num_rows
+        head = next((b.to_pylist() for b in f.iter_batches(SAMPLES)), [])
+    else:
+        t = pyarrow.feather.read_table(io.BytesIO(raw))
+        schema, rows, head = t.schema, t.num_rows, t.slice(0, SAMPLES).to_pylist()
+    kinds = {f.name: str(f.type) for f in schema}
+    page = "\n".join(["Columns: " + ", ".join(f"{c} ({k})" for c, k in kinds.items()), f"Rows: {rows}", *(json.dumps(r, default=str) for r in head)])
+    return [page], {"record_count": str(rows), "column_count": str(len(kinds)), "columns": json.dumps(list(kinds)), "column_types": json.dumps(kinds)}
 
 
 def yaml_tree(raw: bytes) -> Parsed:
@@ -256,8 +281,16 @@ def commit_of(path: str) -> str:
     """The commit that a local clone is at, read from its files; a fixed id without one."""
     import os
 
+    git = os.path.join(path, ".git")
     try:
-        head = open(os.path.join(path, ".git", "HEAD"), encoding="utf-8").read().strip()
-        return open(os.path.join(path, ".git", head[5:]), encoding="utf-8").read().strip() if head.startswith("ref: ") else head
-    except OSError:
+        with open(os.path.join(git, "HEAD"), encoding="utf-8") as f:
+            head = f.read().strip()
+        if not head.startswith("ref: "):
+            return head
+        if os.path.exists(os.path.join(git, head[5:])):
+            with open(os.path.join(git, head[5:]), encoding="utf-8") as f:
+                return f.read().strip()
+        with open(os.path.join(git, "packed-refs"), encoding="utf-8") as f:
+            return next(line.split()[0] for line in f if line.rstrip().endswith(" " + head[5:]))
+    except (OSError, StopIteration):
         return "local-head-00000000"
