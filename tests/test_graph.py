@@ -148,3 +148,71 @@ def test_vectors_against_brute_force(spark):
     for q in (0, 20, 40):
         want = [i for i in np.argsort(-(u @ u[q])) if i != q][:5]
         assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_changes_through_cypher(spark, g):
+    q = CypherGraph(*g)
+    more = q.mutate("CREATE (n:Concept {id: 'c9', name: 'New', colour: 'red'})").mutate("MATCH (a {id: 'f1'}), (b {id: 'c9'}) CREATE (a)-[:DESCRIBES {weight: 0.5}]->(b)")
+    assert [tuple(r) for r in more.query("MATCH (a)-[r:DESCRIBES]->(b:Concept) RETURN a.id AS a, b.colour AS c, r.weight AS w").collect()] == [("f1", "red", 0.5)]
+    again = more.mutate("CREATE (n:Concept {id: 'c9', name: 'Other'})").mutate("MATCH (a {id: 'f1'}), (b {id: 'c9'}) CREATE (a)-[:DESCRIBES]->(b)")
+    assert again.vertices.count() == more.vertices.count() and again.edges.count() == more.edges.count()
+    assert more.mutate("MATCH (a {id: 'f1'}), (b {id: 'nowhere'}) CREATE (a)-[:USES]->(b)").edges.count() == more.edges.count()
+    changed = again.mutate("MATCH (n:Concept) SET n.name = 'Renamed', n.colour = null, n.size = 3").query("MATCH (n:Concept {id: 'c9'}) RETURN n.name AS n, n.colour AS c, n.size AS s").first()
+    assert tuple(changed) == ("Renamed", None, "3")
+    for bad in ("CREATE (n:Concept {name: 'x'})", "MATCH (a) SET a.id = 'x'", "MATCH (a {id: 'f1'}) CREATE (a)-[:X]->(b)", "MATCH (a)-[r]->(b) CREATE (a)-[:X]-(b)"):
+        with pytest.raises(CypherError):
+            q.mutate(bad)
+
+
+def test_scopes_and_stages(spark, g):
+    vs, es = g
+    passages = spark.createDataFrame([("p1", "the login endpoint verifies a token", "r1", None, None), ("p2", "another login endpoint verifies a token token", "r2", None, None), ("p3", "login token of a page", None, "d1", "Guide.pdf")], "pid string, text string, repository_name string, document_id string, document_name string")
+    engine = ContextEngine(vs, es, passages)
+    ask_ = lambda **k: [i["item_id"] for i in engine.query("How does login verify tokens?", mode="semantic", **k).items]
+    assert ask_(repository="r1") == ["p1"] and ask_(document_name="guide.PDF") == ["p3"] and set(ask_()) == {"p1", "p2", "p3"}
+    assert set(ask_(repository="r2", document_id="d1")) == {"p2", "p3"} and ask_(document_id="nowhere") == []
+    from strataloom.operators import retrieval
+
+    def broken(*a, **k):
+        raise RuntimeError("index lost")
+
+    kept, retrieval.bm25 = retrieval.bm25, broken
+    try:
+        a = engine.query("How does login verify tokens?")
+    finally:
+        retrieval.bm25 = kept
+    assert a.items and a.stats["errors"] == ["passages: RuntimeError: index lost"] and a.stats["chunks"] == 0 and a.stats["total_candidates"] >= a.stats["returned"]
+    assert engine.query("").items == [] and engine.status()["passages"] == 3
+
+
+def test_document_graph_and_its_edges(spark, g):
+    vs = spark.createDataFrame([("Harbor", "Concept", "Harbor", "a port", "", "d1", "Guide.pdf", 2, "the Harbor is old"), ("Crane", "Concept", "Crane", None, "", "d2", "Other.pdf", 1, None)], "id string, label string, name string, description string, aliases string, document_id string, document_name string, page_number int, source_text string")
+    es = spark.createDataFrame([("Harbor", "USES", "Crane", 1.0, "lifts freight", "d1", "Guide.pdf", 2, "freight is lifted")], "src string, label string, dst string, weight double, description string, document_id string, document_name string, page_number int, source_text string")
+    engine = ContextEngine(*g, spark.createDataFrame([], "pid string, text string"), vs, es)
+    items = {i["item_id"]: i for i in engine.query("Where is the Harbor?", mode="graph").items}
+    assert items["document:node:Harbor"]["page_number"] == 2 and "document:edge|Harbor|USES|Crane" in items
+    assert [i["item_id"] for i in engine.query("Is freight moved?", mode="graph", document_id="d1").items] == []  # its other end is of another document
+    assert [i["item_id"] for i in engine.query("Is freight moved?", mode="graph").items] == ["document:edge|Harbor|USES|Crane"]
+    assert engine.query("Where is the Harbor?", mode="graph", document_name="Other.pdf").items == []
+
+
+def test_hot_and_cold_keys_join_alike(spark):
+    from strataloom.operators import skew
+
+    big = spark.createDataFrame([(i, "h" if i % 3 else f"k{i}") for i in range(90)] + [(99, None)], "i int, k string")
+    small = spark.createDataFrame([("h", 60, "x")] + [(f"k{i}", 1, f"y{i}") for i in range(0, 90, 3)] + [("unused", 0, "z")], "k string, n long, v string")
+    want = {tuple(r) for r in big.join(small.drop("n"), "k").select("i", "v").collect()}
+    for limit in (10, 1000):
+        got = [tuple(r) for r in skew.counted_join(big, small, "k", limit, 60).select("i", "v").collect()]
+        assert len(got) == len(want) == 90 and set(got) == want
+    assert {tuple(r) for r in skew.salted_join(big, small.drop("n"), ["k"], ["i"], ways=4).select("i", "v").collect()} == want
+
+
+def test_properties_of_a_shared_id(spark):
+    from strataloom.operators import merge
+
+    rows = [("lib:x", f"n{i}", "Library", None, {"version": "" if i == 0 else str(i), f"k{i % 3}": "v"}, [f"a{i % 2}"], 1.0, i, i) for i in range(20)] + [("lib:y", "y", "Library", None, None, None, 0.5, 1, 99)]
+    df = spark.createDataFrame([(*r[:5], (None,), *r[5:7], r[7], r[8]) for r in rows], "canonical_id string, name string, entity_type string, description string, properties map<string,string>, provenance struct<file_path:string>, aliases array<string>, confidence double, extracted_at long, record_id long")
+    got = {r.canonical_id: r for r in merge.merge_code_entities(df).collect()}
+    assert got["lib:x"].properties == {"version": "1", "k0": "v", "k1": "v", "k2": "v"} and got["lib:x"].aliases == ["a0", "a1"] and got["lib:x"].n_records == 20
+    assert got["lib:y"].properties == {} and got["lib:y"].aliases == []

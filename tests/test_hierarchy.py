@@ -57,3 +57,20 @@ def test_hot_parent(spark):
     df = spark.range(3000).selectExpr("concat('n', id) as child", "case when id % 3 = 0 then 'n1' else 'root' end as parent")
     got = H.hierarchy(H.clean_links(df, "child", "parent"))
     assert got.count() == 3000 and got.where("root_id <> 'root'").count() == 0
+
+
+def test_one_root_over_all_nodes(spark, monkeypatch):
+    from strataloom.operators import hierarchy, skew
+
+    monkeypatch.setattr(hierarchy, "hot_limit", lambda rows: 5)
+    links = spark.createDataFrame([(f"c{i}", "root") for i in range(40)] + [(f"d{i}", f"c{i % 2}") for i in range(40)] + [("x", "y"), ("y", "x")] + [(f"z{i}", "x") for i in range(9)], "child string, parent string")
+    got = {r.node_id: (r.root_id, r.depth) for r in hierarchy.hierarchy(links).collect()}
+    assert len(got) == 91 and got["c7"] == ("root", 1) and got["d7"] == ("root", 2) and got["x"] == ("x", -1) == got["z3"]
+    assert skew.hot_limit(10**9) == 10**6
+
+
+def test_further_parents_are_told(spark):
+    from strataloom.operators import hierarchy
+
+    df = spark.createDataFrame([("a", "p"), ("a", "q"), ("a", "q"), ("b", "p"), ("b", "b"), ("c", None), ("c", " ")], "child string, parent string")
+    assert [tuple(r) for r in hierarchy.extra_parents(df, "child", "parent").collect()] == [("a", 2)]

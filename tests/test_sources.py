@@ -173,3 +173,74 @@ def test_export(spark):
 def test_registry():
     q, o = registry.queries(), registry.oracle_sql()
     assert len(q) > 80 and set(o) <= set(q) and {"p3_found", "bm25_topk"} <= set(q)
+
+
+def test_lakehouse_again_and_again(spark, tmp_path):
+    for n, t in {"a.txt": "Apache AGE is an extension for PostgreSQL.", "b.txt": "PostgreSQL uses Docker."}.items():
+        (tmp_path / n).write_text(t)
+    lake = Lakehouse(spark, str(tmp_path / "lake"))
+    assert [r.document_name for r in lake.ingest(str(tmp_path / "a.txt")).collect()] == ["a.txt"]
+    lake.process()
+    assert [r.document_name for r in lake.ingest(str(tmp_path / "b.txt")).collect()] == ["b.txt"]
+    assert lake.ingest(str(tmp_path / "b.txt")).count() == 0
+    lake.process()
+    sizes = {t: lake.read(t).count() for t in ("entities", "relationships", "vertices", "edges", "extracted_pages", "chunks")}
+    weights = sorted(r.weight for r in lake.read("edges").collect())
+    lake.process(reprocess=True)
+    assert {t: lake.read(t).count() for t in sizes} == sizes and sorted(r.weight for r in lake.read("edges").collect()) == weights
+    assert lake.read("graph_sync").count() == 3
+    a, b = (lake.documents().where(F.col("document_name") == n).first().document_id for n in ("a.txt", "b.txt"))
+    assert lake.document(a)["extracted_pages"].count() == 1 and lake.document(a)["vertices"].count() >= 2 and lake.path_of(a).endswith("a.txt") and lake.path_of("none") is None
+    lake.delete([a])
+    assert "Apache AGE" not in {r.id for r in lake.read("vertices").collect()} and "PostgreSQL" in {r.id for r in lake.read("vertices").collect()}
+    lake.delete([b])
+    assert lake.read("vertices").count() == lake.read("edges").count() == lake.read("entities").count() == 0
+    lake.ingest_contents(spark.createDataFrame([("x.md", b"# Docker"), ("y.md", b"# Docker"), ("z.md", None)], "document_name string, content binary"))
+    lake.process()
+    assert [(r.document_name, r.status) for r in lake.documents().collect()] == [("x.md", "COMPLETED")]
+
+
+def test_repository_pipeline(spark, tmp_path):
+    from strataloom.operators import graph
+    from strataloom.plans import repository
+
+    for p, t in {
+        "api/app.py": "import fastapi\nfrom fastapi import FastAPI\n\n\nclass Store(Base):\n    @app.get('/items')\n    def items(self):\n        return helper()\n\n\ndef helper():\n    return 1\n",
+        "requirements.txt": "fastapi>=1\nPyYAML\n", "docker-compose.yml": "services:\n  db:\n    image: postgres:16\n  web:\n    image: x\n    depends_on: [db]\n", "README.md": "# Title\n\nBuilt with Docker and a knowledge graph.\n", "bad-compose.yml": "services: [\n",
+    }.items():
+        (tmp_path / "proj" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "proj" / p).write_text(t)
+    none = graph.vertices(spark.createDataFrame([], "canonical_id string, name string, entity_type string, description string, properties map<string,string>, provenance struct<repository_url:string,repository_name:string,branch:string,commit_sha:string,file_path:string,start_line:int,end_line:int,source_snippet:string,extraction_method:string>, aliases array<string>, confidence double, extracted_at timestamp, record_id long"))
+    no_edges = spark.createDataFrame([], "src string, label string, dst string, weight double, description string, repository_name string, commit_sha string, file_path string, start_line int, end_line int, extraction_method string")
+    told = []
+    summary, vs, es = repository.analyze(spark, str(tmp_path / "proj"), none, no_edges, progress=lambda n, step: told.append((n, step)))
+    assert told == list(enumerate(repository.STEPS, 1)) and summary["files_scanned"] == 5 and summary["languages"]["Python"] == 1 and summary["vertices_existing"] == 0
+    edges = {(r.src, r.label, r.dst) for r in es.collect()}
+    f = "repo:proj:file:api/app.py"
+    assert {("repo:proj", "CONTAINS", "repo:proj:dir:api"), ("repo:proj:dir:api", "CONTAINS", f), (f, "DEFINES", f + ":class:Store"), (f + ":class:Store", "CONTAINS", f + ":class:Store:method:items"), ("repo:proj:api:GET_items", "IMPLEMENTED_BY", f + ":class:Store:method:items"), (f + ":class:Store:method:items", "CALLS", f + ":func:helper")} <= edges
+    assert {("repo:proj:file:requirements.txt", "DEPENDS_ON", "lib:fastapi"), ("repo:proj:service:web", "DEPENDS_ON", "repo:proj:service:db"), ("repo:proj:service:db", "CONNECTS_TO", "tech:PostgreSQL"), ("repo:proj:file:README.md", "DESCRIBES", "concept:Knowledge Graph")} <= edges
+    again, vs2, es2 = repository.analyze(spark, str(tmp_path / "proj"), vs, es)
+    assert again["vertices_created"] == again["edges_created"] == 0 and vs2.count() == vs.count() and es2.count() == es.count()
+
+
+def test_compose_services():
+    rows = code.compose_services("services:\n  db:\n    image: redis:7\n    environment: ['A=b=c', 'BARE']\n    ports: [1, '2:3']\n  odd: 5\n  age-x: {depends_on: {db: {}}}\n")
+    assert rows == [("db", "redis:7", ["1", "2:3"], {"A": "b=c"}, [], "Redis", 2, True), ("age-x", None, [], {}, ["db"], "Apache AGE", 7, True)]
+    assert code.compose_services("services:\n\tweb:\n  cache:\n") == [("web", None, [], {}, [], None, 2, False), ("cache", None, [], {}, [], None, 3, False)]
+    assert code.compose_services("") == []
+
+
+def test_shared_folder_needs_one_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from strataloom.operators import lineage
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {}, master="spark://head:7077"), conf=SimpleNamespace(get=lambda k, d=None: None))
+    with pytest.raises(ValueError):
+        lineage.shared_folder(far)
+    t = lineage.cut(spark.range(3), "t")
+    assert t.count() == 3
+    lineage.sweep(spark)
+    import os
+
+    assert not os.path.exists(lineage.application_folder(spark).removeprefix("file://"))
