@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from . import grammars, lexing
 
 try:
@@ -212,7 +213,7 @@ def checked(docs: DataFrame) -> DataFrame:
     spread = (F.length("text") > LARGE) & F.col("language").isin("Java", "Go", "SQL")
     small = rows.where(~spread).mapInArrow(run, schema)
     # rows of one id may differ, so a text's digest is part of its key; equal rows have one verdict
-    large = rows.where(spread).withColumn("digest", F.xxhash64("text", "language"))
+    large = cut(rows.where(spread).withColumn("digest", F.xxhash64("text", "language")), "large")  # few files, read three times
     tangled = unbalanced(large)
     key = ["doc_id", "digest"]
     sound = large.join(tangled, key, "left_anti").select(*rows.columns).mapInArrow(run, schema)
