@@ -7,10 +7,14 @@ are added from a table made beforehand, which equals one search per name."""
 from __future__ import annotations
 
 import re
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gazetteer, refdata, text
+from .lineage import cut
 
 
 
@@ -116,6 +120,38 @@ def entities(chunks: DataFrame, names: list[tuple[str, str, list[str]]] | None =
     return one.select("document_id", "page_number", "chunk_id", "e.*", F.when(F.col("e.type") == "Organization", text.snippet(F.lower("text"), low, 40)).otherwise(text.snippet(F.lower("text"), low, 50)).alias("snippet"))
 
 
+def routed(chunks: DataFrame, provider: Callable[[str], list[dict]] | None = None, names=None, most: int = 10) -> DataFrame:
+    """(document_id, page_number, chunk_id, cname, name, type, confidence, snippet, method) of entities by a provider, a
+    function of a text that a model answers with dictionaries of name, canonical_name, type and confidence.
+
+    It sees the first ``most`` chunks of each document. Without one, and for documents of which it fails on any chunk, the
+    rules extract from all chunks; method tells MODEL or HEURISTIC."""
+    by_rules = lambda df: entities(df, names).withColumn("method", F.lit("HEURISTIC"))
+    if provider is None:
+        return by_rules(chunks)
+
+    def run(batches):
+        for b in batches:
+            found, failed = [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                try:
+                    found.append([{k: e.get(k) for k in ("name", "canonical_name", "type", "confidence")} for e in provider(t or "")])
+                    failed.append(False)
+                except Exception:
+                    found.append([])
+                    failed.append(True)
+            kind = pa.list_(pa.struct([("name", pa.string()), ("canonical_name", pa.string()), ("type", pa.string()), ("confidence", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind), pa.array(failed)], names=[*b.schema.names, "found", "failed"])
+
+    first = chunks.select("document_id", "page_number", "chunk_id", "text", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "chunk_index")).alias("k")).where(F.col("k") <= most).drop("k")
+    asked = cut(first.mapInArrow(run, "document_id string, page_number int, chunk_id string, text string, found array<struct<name:string,canonical_name:string,type:string,confidence:double>>, failed boolean"), "answers")
+    failed = asked.where("failed").select("document_id").distinct()
+    e = F.col("e")
+    told = asked.join(failed, "document_id", "left_anti").select("document_id", "page_number", "chunk_id", "text", F.explode("found").alias("e")).where(F.length("e.name") > 0)
+    told = told.select("document_id", "page_number", "chunk_id", F.coalesce(e["canonical_name"], text.canonical_name(e["name"])).alias("cname"), e["name"].alias("name"), F.coalesce(e["type"], F.lit("Concept")).alias("type"), F.coalesce(e["confidence"], F.lit(1.0)).alias("confidence"), text.snippet(F.lower("text"), F.lower(e["name"]), 50).alias("snippet"), F.lit("MODEL").alias("method"))
+    return told.unionByName(by_rules(chunks.join(failed, "document_id", "left_semi")))
+
+
 def segments(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[.?!;]+|\n\n+"), text.strip), lambda s: F.length(s) >= 10)
 

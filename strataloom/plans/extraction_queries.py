@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import gazetteer, refdata
 from ..operators import chunking, code, extraction, merge
 from ..sources import formats
-from .text_queries import _docs, _pages
+from .text_queries import _FOLD_CHUNKS, _STRIP, _docs, _pages
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -30,12 +30,12 @@ def _named(s: SparkSession, d: str, pattern: str) -> DataFrame:
 
 
 def entities(s: SparkSession, d: str) -> DataFrame:
-    """The part that its SQL can express: dictionary names in documents. all_entities has the whole."""
-    return extraction.entities(_chunks(s, d).where("chunk_id like 'file_%'")).where(F.col("confidence") == 0.98).select("chunk_id", F.col("cname").alias("canonical_name"), "type")
+    """Entities of every kind in the chunks of all pages and documents, once per chunk and canonical name."""
+    return extraction.entities(_chunks(s, d)).select("chunk_id", F.col("cname").alias("canonical_name"), "type")
 
 
 def all_entities(s: SparkSession, d: str) -> DataFrame:
-    """Entities of every kind in the chunks of all pages and documents, one row per chunk and canonical name."""
+    """As entities(), with spellings, confidences and snippets."""
     return extraction.entities(_chunks(s, d)).withColumnRenamed("cname", "canonical_name")
 
 
@@ -84,15 +84,29 @@ QUERIES = {
 }
 
 
-def _dictionary_sql() -> str:
-    rows = ", ".join("('{}', '{}', '{}')".format(can.replace("'", "''"), kind, extraction._word(s).replace("'", "''")) for can, kind, other in gazetteer.known() for s in [can, *other])
-    return f"select distinct 'file_' || doc_id as chunk_id, k.c as canonical_name, k.t as type from documents join (values {rows}) as k(c, t, p) on regexp_matches(text, '(?i)' || k.p)"
-
-
+def _entities_sql() -> str:
+    """CTE ``found`` (chunk_id, canonical_name, type): known names, then people, organisations and projects."""
+    quoted = lambda x: x.replace("'", "''")
+    rows = ", ".join(f"('{quoted(can)}', '{kind}', '{quoted(extraction._word(s))}')" for can, kind, other in gazetteer.known() for s in [can, *other])
+    stop = "[" + ", ".join(f"'{w}'" for w in sorted(gazetteer.NOT_NAMES)) + "]"
+    line = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: {_STRIP('x')}), lambda x: x <> '')[1]"
+    return f"""{_FOLD_CHUNKS}, one as (select document_id, page_number, unnest(cs) as c, unnest(range(len(cs))) as i from folded), cut as (select *, {_STRIP('c')} as t from one),
+chunk as (select document_id || '_p' || page_number || '_c' || (row_number() over (partition by document_id, page_number order by i) - 1) as chunk_id, page_number, row_number() over (partition by document_id order by page_number, i) - 1 as k, t as text from cut where t <> '' union all select 'file_' || doc_id, 1, 0, text from documents where text is not null),
+known as (select distinct chunk_id, k.c as e, k.t as type from chunk join (values {rows}) as k(c, t, p) on regexp_matches(text, '(?i)' || k.p)),
+person as (select chunk_id, {_TITLE('line')} as e from (select chunk_id, {line} as line from chunk where page_number = 1 and k = 0) where regexp_matches(line, '^[A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+){{1,2}}$')),
+org as (select chunk_id, regexp_replace(x, '(?i)^(?:in|for|of|and|with|by|at|from)\\s+', '') as e from (select chunk_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-zA-Z'']+(?:\\s+(?:{extraction._ORG_TAIL}))+)\\b', 1)) as x from chunk)),
+project as (select chunk_id, unnest(regexp_extract_all(text, '(?i)(?:Project|Project Name)\\s*[:\\-]\\s*([A-Z][a-zA-Z0-9]+(?:\\s+[A-Z][a-zA-Z0-9]+){{1,4}})', 1)) as e from chunk),
+every as (select chunk_id, e, type, 0 as o from known union all select chunk_id, e, 'Person', 1 from person where not list_contains({stop}, upper(e)) union all select chunk_id, e, 'Organization', 2 from org where length(e) > 12 and not list_contains({stop}, upper(e)) and not list_contains({stop}, upper(regexp_extract(e, '^(\\S+)', 1))) and not regexp_matches(upper(regexp_extract(e, '^(\\S+)', 1)), '{extraction._NO_ORG}')
+  union all select chunk_id, e, 'Project', 3 from project where length(e) > 5 and not list_contains({stop}, upper(e))),
+found as (select chunk_id, e as canonical_name, arg_min(type, o) as type from every group by 1, 2)"""
+
+
+_TITLE = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda p: upper(p[1]) || lower(p[2:])), '')"
 _LINES = "select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) as raw, unnest(range(1, len(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) + 1))::int as line_number from documents where text is not null and "
 _TERM = refdata.MARKDOWN_TECHNOLOGIES | refdata.MARKDOWN_CONCEPTS
 ORACLE = {
-    "entities": _dictionary_sql(),
+    "entities": _entities_sql() + " select chunk_id, canonical_name, type from found",
+    "entity_counts": _entities_sql() + " select type, canonical_name as cname, count(*) as n from found group by 1, 2",
     "requirements": f"with l as ({_LINES} regexp_matches(file_path, 'requirements[^/]*\\.txt$')), t as (select *, trim(raw, ' ' || chr(9)) as line from l), k as (select *, regexp_extract(line, '^([a-zA-Z0-9_\\-.]+)(.*)$', 1) as name from t where line <> '' and not regexp_matches(line, '^(#|-r|-e)')) select doc_id, line_number, name, regexp_replace(replace(lower(name), '_', '-'), '-binary$', '') as canonical_name, nullif(trim(regexp_extract(line, '^([a-zA-Z0-9_\\-.]+)(.*)$', 2)), '') as version_spec from k where name <> ''",
     "dockerfile": f"with l as ({_LINES} file_path like '%Dockerfile'), p as (select doc_id, line_number, upper(regexp_extract(raw, '^\\s*((?i:FROM|RUN|CMD|COPY|ADD|ENV|ARG|EXPOSE|WORKDIR|ENTRYPOINT|USER|VOLUME|LABEL|HEALTHCHECK))\\s+(.*?)\\s*$', 1)) as instruction, regexp_extract(raw, '^\\s*((?i:FROM|RUN|CMD|COPY|ADD|ENV|ARG|EXPOSE|WORKDIR|ENTRYPOINT|USER|VOLUME|LABEL|HEALTHCHECK))\\s+(.*?)\\s*$', 2) as value from l) select * from p where instruction <> ''",
     "package_json": "with j as (select doc_id, case when json_valid(text) then text::json end as j from documents where file_path like '%package.json' and text is not null), d as (select doc_id, unnest(json_keys(j, '$.dependencies')) as name, j, false as is_dev from j union all select doc_id, unnest(json_keys(j, '$.devDependencies')), j, true from j) select doc_id, name, json_extract_string(j, case when is_dev then '$.devDependencies.\"' else '$.dependencies.\"' end || name || '\"') as version_spec, is_dev from d",

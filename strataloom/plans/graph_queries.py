@@ -198,6 +198,7 @@ f as (select x.e, coalesce(k.k, a.k, c.v, case when x = lower(x) and regexp_matc
     "typed_paths": _G + " select a.name as src_name, b.name as dst_name, weight from e join v a on src = a.id join v b on dst = b.id where e.label = 'DEFINES' and a.label = 'File' and b.label = 'Class'",
     "isolated": _G + " select id, label from v where id not in (select src from e) and id not in (select dst from e)",
     "k_hop": "with recursive " + _G[5:] + ", st as (select src as a, dst as b from e union select dst, src from e), r as (select id, 0 as hop from v where label = 'Repository' union select b, hop + 1 from r join st on r.id = st.a where hop < 3), f as (select id, min(hop) as hop from r group by 1) select id, hop from f",
+    "components": "with recursive " + _G[5:] + ", und as (select src as a, dst as b from e where src <> dst union select dst, src from e where src <> dst), cc(id, comp) using key (id) as (select id, id from v union select und.b, min(cc.comp) from cc join und on cc.id = und.a join recurring.cc as old on old.id = und.b where cc.comp < old.comp group by und.b) select comp as component, count(*) as n from cc group by 1",
     "document_subgraph": _G + ", x as (select repository_name as scope, id from v union select repository_name, src from e union select repository_name, dst from e) select scope, id as a, label, '' as b from x join v using (id) where scope is not null union all select repository_name, src, label, dst from e where repository_name is not null",
     "entity_search": _G + " select id, name, file_path from v where label = 'Class' and contains(lower(name), 'store')",
     "token_match": _G + " select id, label from v where " + " or ".join(f"coalesce(regexp_matches({c}, '(?i)\\bpivot\\b'), false)" for c in ("name", "description", "file_path", "source_snippet")),

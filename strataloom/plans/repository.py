@@ -109,25 +109,27 @@ def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def local_files(spark: SparkSession, path: str, subdirectory: str | None = None) -> DataFrame:
-    """The files of a local repository as rows; remote ones must be cloned first, as there is no network here."""
+    """The files of a local repository as rows."""
     root = path.rstrip("/")
     name = root.rsplit("/", 1)[-1].removesuffix(".git")
     found = readers.repository(spark, f"{root}/{subdirectory.strip('/')}" if subdirectory else root)
     return found.select(F.xxhash64("relative_path").alias("doc_id"), F.lit(name).alias("repository_name"), F.lit(path).alias("repository_url"), F.col("relative_path").alias("file_path"), "text", F.lit(readers.commit_of(root)).alias("commit_sha"), "language", "file_type", "line_count")
 
 
-def analyze(spark: SparkSession, path: str, vertices: DataFrame, edges: DataFrame, subdirectory: str | None = None, progress: Callable[[int, str], None] | None = None) -> tuple[dict, DataFrame, DataFrame]:
-    """(summary, vertices, edges) after a local repository was read and upserted; progress is told each of the STEPS.
+def analyze(spark: SparkSession, source: str, vertices: DataFrame, edges: DataFrame, branch: str | None = None, commit: str | None = None, subdirectory: str | None = None, progress: Callable[[int, str], None] | None = None) -> tuple[dict, DataFrame, DataFrame]:
+    """(summary, vertices, edges) after a repository (a directory or an address for git) was read and upserted; progress is
+    told each of the STEPS.
 
     The summary holds counts of files, lines, entities, relationships, created and known vertices and edges, languages,
     file types, warnings, the seconds taken, and insights (see insights.summaries)."""
     began = time.time()
     say = progress or (lambda n, step: None)
+    name = source.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
     say(1, STEPS[0])
-    files = cut(local_files(spark, path, subdirectory), "files")
-    say(2, STEPS[1])
+    with readers.cloned(source, branch, commit) as (path, sha):
+        say(2, STEPS[1])
+        files = cut(local_files(spark, path, subdirectory).withColumns({"repository_name": F.lit(name), "repository_url": F.lit(source), "commit_sha": F.lit(sha)}), "files")
     by = files.groupBy("language", "file_type").agg(F.count("*").alias("n"), F.sum("line_count").alias("lines")).collect()  # a row a language
-    name = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
     say(3, STEPS[2])
     es, rs = extracted(files)
     say(4, STEPS[3])
@@ -143,7 +145,7 @@ def analyze(spark: SparkSession, path: str, vertices: DataFrame, edges: DataFram
     tally = lambda k: {x: sum(r.n for r in by if r[k] == x) for x in sorted({r[k] for r in by})}
     n = sum(r.n for r in by)
     summary = {
-        "repository_name": name, "repository_url": path, "commit_sha": readers.commit_of(path), "status": "COMPLETED", "files_scanned": n, "lines_scanned": sum(r.lines or 0 for r in by), "entities_extracted": new_v.count(), "relationships_extracted": new_e.count(),
+        "repository_name": name, "repository_url": source, "commit_sha": sha, "status": "COMPLETED", "files_scanned": n, "lines_scanned": sum(r.lines or 0 for r in by), "entities_extracted": new_v.count(), "relationships_extracted": new_e.count(),
         **counts, "languages": tally("language"), "file_types": tally("file_type"), "warnings": [] if n else ["no file that could be read"], "insights": insights.summaries(new_v, new_e, name), "duration_seconds": round(time.time() - began, 3),
     }
     return summary, all_v, all_e

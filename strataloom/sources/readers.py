@@ -9,8 +9,14 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import re
+import shutil
+import subprocess
+import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -277,10 +283,40 @@ def repository(spark: SparkSession, path: str, excluded: list[str] | None = None
     return kept.select("relative_path", lang.alias("language"), kind.alias("file_type"), test.alias("is_test_file"), "size_bytes", text.line_count("text").alias("line_count"), "text")
 
 
+class CloneError(RuntimeError):
+    """A repository couldn't be fetched."""
+
+
+@contextmanager
+def cloned(source: str, branch: str | None = None, commit: str | None = None, cleanup: bool = True, timeout: int = 120) -> Iterator[tuple[str, str]]:
+    """(path, commit) of a repository: a local directory as it stands, else a shallow clone by git that goes afterwards.
+
+    A branch that isn't there is tried again without a name; a commit beyond the shallow history is fetched by itself."""
+    if os.path.isdir(source) and commit is None and branch is None:
+        yield source, commit_of(source)
+        return
+    folder = tempfile.mkdtemp(prefix="strataloom-clone-")  # on the driver, which hands the files' texts to the executors
+
+    def git(*args: str) -> bool:
+        try:
+            return subprocess.run(["git", *args], capture_output=True, timeout=timeout, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"}).returncode == 0
+        except (OSError, subprocess.TimeoutExpired) as e:
+            raise CloneError(f"{source}: {type(e).__name__}") from e
+
+    try:
+        url = source if "://" in source or not os.path.isdir(source) else "file://" + os.path.abspath(source)
+        if not (branch and git("clone", "-q", "--depth", "1", "--branch", branch, url, folder)) and not git("clone", "-q", "--depth", "1", url, folder):
+            raise CloneError(source)
+        if commit and not git("-C", folder, "checkout", "-q", commit) and not (git("-C", folder, "fetch", "-q", "--depth", "1", "origin", commit) and git("-C", folder, "checkout", "-q", commit)):
+            raise CloneError(f"{source}: no commit {commit}")
+        yield folder, commit_of(folder)
+    finally:
+        if cleanup:
+            shutil.rmtree(folder, ignore_errors=True)
+
+
 def commit_of(path: str) -> str:
     """The commit that a local clone is at, read from its files; a fixed id without one."""
-    import os
-
     git = os.path.join(path, ".git")
     try:
         with open(os.path.join(git, "HEAD"), encoding="utf-8") as f:
