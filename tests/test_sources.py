@@ -244,3 +244,43 @@ def test_shared_folder_needs_one_on_a_cluster(spark, monkeypatch):
     import os
 
     assert not os.path.exists(lineage.application_folder(spark).removeprefix("file://"))
+
+
+def test_clone_of_a_local_repository(tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=a", "-c", "user.email=a@example.invalid", *a], check=True, capture_output=True, text=True).stdout.strip()
+    (tmp_path / "r").mkdir()
+    git("init", "-q", "-b", "main")
+    commits = []
+    for n in "ab":
+        (tmp_path / "r" / n).write_text(n)
+        git("add", n)
+        git("commit", "-q", "-m", n)
+        commits.append(git("rev-parse", "HEAD"))
+    git("pack-refs", "--all")
+    assert readers.commit_of(str(tmp_path / "r")) == commits[1]
+    with readers.cloned(str(tmp_path / "r"), branch="nowhere") as (path, sha):  # tried again without the name
+        assert sha == commits[1] and path != str(tmp_path / "r")
+    import os
+
+    assert not os.path.exists(path)
+    with readers.cloned(str(tmp_path / "r"), commit=commits[0]) as (path, sha):
+        assert sha == commits[0] and not os.path.exists(f"{path}/b")
+    with readers.cloned(str(tmp_path / "r")) as (path, sha):
+        assert path == str(tmp_path / "r")
+    with pytest.raises(readers.CloneError), readers.cloned(f"file://{tmp_path}/none"):
+        pass
+
+
+def test_provider_and_fallback(spark):
+    df = spark.createDataFrame([("d", 1, f"d_p1_c{i}", i, t) for i, t in enumerate(["Docker here", "more", "Redis"])] + [("f", 1, "f_p1_c0", 0, "Docker, boom")], "document_id string, page_number int, chunk_id string, chunk_index int, text string")
+
+    def provider(t):
+        if "boom" in t:
+            raise RuntimeError(t)
+        return [{"name": t.split()[0], "type": "Thing"}]
+
+    got = {(r.document_id, r.cname, r.type, r.method) for r in extraction.routed(df, provider, most=2).collect()}
+    assert got == {("d", "Docker", "Thing", "MODEL"), ("d", "More", "Thing", "MODEL"), ("f", "Docker", "Technology", "HEURISTIC")}
+    assert {r.method for r in extraction.routed(df).collect()} == {"HEURISTIC"}
