@@ -152,11 +152,24 @@ def data(text: str) -> bool:
     return len(left) <= max(60, 0.12 * len(plain)) and not re.search(r"\b(?:if|for|while|return|def|function|func)\b[^\n]*[({:]|=>", _STRING.sub("", plain))
 
 
+_WORDS_AND_BLANKS = re.compile(r"[\w\s]+")
+
+
+def _may_repeat(lines: list[str], share: float) -> bool:
+    """Whether the four commonest skeletons of marks reach a share of the lines: no fewer lines have one skeleton than one
+    shape, as a shape tells the skeleton."""
+    marks = Counter(_WORDS_AND_BLANKS.sub("", _STRING.sub("s", x) if '"' in x or "'" in x or "`" in x else x) for x in lines)
+    return sum(n for _, n in marks.most_common(4)) >= share * len(lines)
+
+
 def machine_layout(text: str, ext: str, named: bool = False) -> bool:
     """The same one to three shapes of line over and over, as a tool writes members, getters or statements."""
-    lines = [shape(x) for x in text.split("\n") if x.strip() and not _COMMENT.match(x)]
-    if len(lines) < (3 if named else 8):
+    code = [x for x in text.split("\n") if x.strip() and not _COMMENT.match(x)]
+    if len(code) < (3 if named else 8):
+        return False
+    if not _may_repeat([x for x in code if x.strip("{}()[];, \t\r\f\v") != ""], 0.5 if "protobuf:" in text else 0.7):
         return False
+    lines = [shape(x) for x in code]
     counts = Counter(x for x in lines if x.strip("{}()[];, ") != "")
     total = sum(counts.values())
     top = counts.most_common(4)
