@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import identity, refdata, text
 from ..operators import code, extraction, graph, insights, retrieval
 from ..operators.lineage import application_folder, cut
-from ..sources import formats
+from ..sources import formats, readers
 from ..sources.lakehouse import Lakehouse
-from . import extraction_queries, repository, retrieval_queries
+from . import engine, extraction_queries, repository, retrieval_queries
 from .cypher import CypherGraph
 from .extraction_queries import _LINES, _TERM, _named
-from .graph_queries import _G, _HALVES, _TIDY, raw, tables
+from .graph_queries import _DEG, _G, _HALVES, _TIDY, raw, tables
 from .text_queries import _CLEAN, _STRIP, _docs
 
 
@@ -140,6 +140,97 @@ def subgraph_view(s: SparkSession, d: str) -> DataFrame:
     return graph.subgraph_of(items, vs, es)[0].select("qid", "id", "label")
 
 
+def _nations(s: SparkSession, d: str) -> list[tuple[str, bytes]]:
+    """The table of nations, which never grows, as files of every format that a writer is at hand for."""
+    import csv
+    import io
+    import json
+    import zipfile
+
+    import pyarrow.feather
+    import pyarrow.parquet
+
+    t = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").toArrow()
+    rows, names = t.to_pylist(), t.column_names
+
+    def separated(mark: str) -> bytes:
+        out = io.StringIO()
+        w = csv.writer(out, delimiter=mark)
+        w.writerow(names)
+        w.writerows([list(r.values()) for r in rows])
+        return out.getvalue().encode()
+
+    def zipped(parts: dict[str, str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, x in parts.items():
+                z.writestr(n, x)
+        return out.getvalue()
+
+    pq, fe = io.BytesIO(), io.BytesIO()
+    pyarrow.parquet.write_table(t, pq)
+    pyarrow.feather.write_feather(t, fe)
+    cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [names, *(r.values() for r in rows)])
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="nations" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{sheet}</sheetData></worksheet>",
+    }
+    para = "".join(f"<w:p><w:r><w:t>{r['n_name']}</w:t></w:r></w:p>" for r in rows)
+    return [
+        ("n.csv", separated(",")), ("n.tsv", separated("\t")), ("n.json", json.dumps(rows).encode()), ("n.jsonl", "\n".join(map(json.dumps, rows)).encode()), ("n.parquet", pq.getvalue()), ("n.feather", fe.getvalue()), ("n.xlsx", zipped(book)),
+        ("n.xml", ("<nations>" + "".join(f"<n><name>{r['n_name']}</name></n>" for r in rows) + "</nations>").encode()), ("n.yaml", ("nations:\n" + "".join(f"  - {r['n_name']!r}\n" for r in rows)).encode()), ("n.sql", "".join(f"INSERT INTO n VALUES ({r['n_nationkey']});\n" for r in rows).encode()),
+        ("n.docx", zipped({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{para}</w:body></w:document>'})), ("n.rtf", ("{\\rtf1 " + " ".join(r["n_name"] for r in rows) + "}").encode()), ("n.html", ("<html><title>N</title><body>" + "".join(f"<p>{r['n_name']}</p>" for r in rows) + "</body></html>").encode()), ("n.txt", "\n".join(r["n_name"] for r in rows).encode("utf-8-sig")),
+    ]
+
+
+def read_formats(s: SparkSession, d: str) -> DataFrame:
+    """What the readers tell of one table in every format."""
+    cat = cut(readers.catalog(s.createDataFrame(_nations(s, d), "document_name string, content binary").withColumns({"path": F.lit(None).cast("string"), "size_bytes": F.octet_length("content").cast("long")})), "files")
+    pages, meta = readers.extract(cat)
+    said = meta.join(cat.select("document_id", "document_name"), "document_id").select("document_name", F.explode("metadata").alias("name", "value")).where(F.col("name").isin("record_count", "column_count", "column_types", "schema_keys", "element_count", "root_tag", "top_keys", "sql_statement_count", "sheet_count"))
+    words = pages.groupBy("document_name").agg(F.sum("word_count").cast("string").alias("value")).select("document_name", F.lit("words").alias("name"), "value")
+    return said.unionByName(words.where("document_name in ('n.docx', 'n.rtf', 'n.txt', 'n.html')"))
+
+
+def lake_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The first document by hash, found again by its hash and by its id."""
+    lake = _lake(s, d)
+    first = lake.documents().agg(F.min("sha256").alias("h")).first().h
+    one = lake.by_hash(first)
+    again = lake.metadata(one.first().document_id)
+    return one.select(F.lit("hash").alias("by"), "document_id", "sha256", "size_bytes").unionByName(again.select(F.lit("id").alias("by"), "document_id", "sha256", "size_bytes"))
+
+
+def nested_keys(s: SparkSession, d: str) -> DataFrame:
+    """Paths of files as nested keys of their repositories."""
+    paths = _docs(s, d).where(F.length("file_path") > 0).select(F.col("repository_name").alias("document_name"), identity.tidy_path("file_path").alias("path")).where("document_name is not null")
+    es, rs = extraction.structural_keys(paths)
+    return es.select(F.col("canonical_name").alias("a"), F.lit("Field").alias("kind"), F.col("name").alias("b")).unionByName(rs.select(F.col("source_entity").alias("a"), F.col("relationship_type").alias("kind"), F.col("target_entity").alias("b")))
+
+
+def schema_names(s: SparkSession, d: str) -> DataFrame:
+    """Mentions without the concepts that only repeat names of the tables' schemas: columns are made concepts for it."""
+    es, _ = extraction.structural(extraction_queries._schemas(s, d))
+    columns = es.where("type = 'Column'").select(F.element_at(F.split("name", r"\."), -1).alias("name"), F.lit("Concept").alias("type"))
+    mentions = s.read.parquet(f"{d}/doc_entities.parquet").select("name", F.lit("Concept").alias("type")).unionByName(columns)
+    return extraction.without_schema_names(mentions, es).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def asked_files(s: SparkSession, d: str) -> DataFrame:
+    """The prepared question for the main files, of the first repository by name."""
+    vs, es = tables(s, d)
+    return engine.ask(vs, es, vs.agg(F.min("repository_name")).first()[0], "important_files").select("id", "importance")
+
+
+def document_scope(s: SparkSession, d: str) -> DataFrame:
+    """Passages in the scope of the first document by id or the last by name, in any case."""
+    pages = s.read.parquet(f"{d}/extracted_pages.parquet").where("document_id is not null").select("document_id", "document_name", "page_number", F.md5("text").alias("pid")).distinct().withColumn("repository_name", F.lit(None).cast("string"))
+    r = pages.agg(F.min("document_id").alias("i"), F.max("document_name").alias("n")).first()
+    return engine.Scope(document_id=r.i, document_name=r.n.upper()).passages(pages).select("document_id", "page_number", "pid")
+
+
 # Literal rows, for what the tables hold none of.
 _GRAPH = [("a1", "API", "GET /items", "r/api.py"), ("a2", "API", "/plain", "r/api.py"), ("a3", "API", "delete /items/{id}", "r/api.py"), ("f1", "Function", "list_items", "r/api.py"), ("f2", "Function", "drop_item", "r/api.py"), ("t1", "Technology", "Redis", ""), ("t2", "Technology", "Docker", ""), ("d1", "File", "guide.md", "guide.md"), ("c1", "Concept", "Provenance", ""), ("c2", "Concept", "Lineage", ""), ("s1", "Service", "cache", "compose.yml")]
 _LINKS = [("a1", "IMPLEMENTED_BY", "f1"), ("a3", "IMPLEMENTED_BY", "f2"), ("s1", "USES", "t1"), ("d1", "USES", "t1"), ("d1", "USES", "t2"), ("d1", "DESCRIBES", "c1"), ("d1", "DESCRIBES", "c2")]
@@ -165,6 +256,12 @@ def workbooks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "read_formats": read_formats,
+    "lake_lookup": lake_lookup,
+    "nested_keys": nested_keys,
+    "schema_names": schema_names,
+    "asked_files": asked_files,
+    "document_scope": document_scope,
     "compose": compose,
     "analyze": analyze,
     "analyze_code": analyze_code,
@@ -219,6 +316,16 @@ x as (select repository_name as r, 'vertex' as kind, 'Repository' as label, 'rep
   union select r, 'vertex', 'Service', service_name from sv join d using (doc_id) union select r, 'edge', 'DEFINES', f || '|' || service_name from sv join d using (doc_id)
   union select r, 'edge', 'DEPENDS_ON', 'service:' || service_name || '|' || other from (select doc_id, service_name, unnest(depends_on) as other from sv) join d using (doc_id))
 select r as repository_name, kind, label, count(*) as n from x group by all""",
+    "read_formats": """with n as (select count(*)::varchar as c, sum(len(regexp_split_to_array(n_name, ' ')))::varchar as w from nation), k(document_name, name, value) as (values
+  ('n.csv', 'column_count', '3'), ('n.csv', 'column_types', '{"n_nationkey": "Integer", "n_name": "String", "n_regionkey": "Integer"}'), ('n.tsv', 'column_count', '3'), ('n.tsv', 'column_types', '{"n_nationkey": "Integer", "n_name": "String", "n_regionkey": "Integer"}'), ('n.json', 'schema_keys', '["n_nationkey", "n_name", "n_regionkey"]'), ('n.jsonl', 'schema_keys', '["n_nationkey", "n_name", "n_regionkey"]'),
+  ('n.parquet', 'column_count', '3'), ('n.feather', 'column_count', '3'), ('n.xlsx', 'sheet_count', '1'), ('n.xml', 'root_tag', 'nations'), ('n.yaml', 'top_keys', '["nations"]'))
+select * from k union all select x, 'record_count', c from n, (values ('n.csv'), ('n.tsv'), ('n.json'), ('n.jsonl'), ('n.parquet'), ('n.feather'), ('n.xlsx')) as f(x) union all select 'n.sql', 'sql_statement_count', c from n union all select 'n.xml', 'element_count', (1 + 2 * c::int)::varchar from n union all select x, 'words', w from n, (values ('n.docx'), ('n.rtf'), ('n.txt')) as f(x) union all select 'n.html', 'words', (3 + w::int)::varchar from n
+union all select x, 'column_types', '{"n_nationkey": "' || t || '", "n_name": "string", "n_regionkey": "' || t || '"}' from (values ('n.parquet'), ('n.feather')) as f(x), (select case data_type when 'INTEGER' then 'int32' else 'int64' end as t from information_schema.columns where table_name = 'nation' and column_name = 'n_nationkey')""",
+    "lake_lookup": _LAKE + ", h as (select 'doc_' || substr(sha256(text), 1, 10) as document_id, sha256(text) as sha256, strlen(text)::bigint as size_bytes from one order by 2 limit 1) select 'hash' as \"by\", * from h union all select 'id', * from h",
+    "nested_keys": f"with p as (select distinct repository_name as d, {_TIDY('file_path')} as path from documents where length(file_path) > 0 and repository_name is not null) select distinct d || '::' || path as a, 'Field' as kind, string_split(path, '/')[-1] as b from p union all select distinct case when contains(path, '/') then d || '::' || regexp_replace(path, '/[^/]+$', '') else d end, 'CONTAINS', d || '::' || path from p",
+    "schema_names": f"with c as {_COLS}, m as (select name from doc_entities union all select distinct column_name from (select table_name, column_name from c)), bad as (select lower(column_name) as x from c union select lower(table_name || '.' || column_name) from c union select lower(table_name) from c union select lower(k) from c) select name, count(*) as n from m where name is not null and lower(name) not in (select x from bad) group by 1",
+    "asked_files": _G + ", r as (select min(repository_name) as r from v), e2 as (select e.* from e join r on e.repository_name = r.r), v2 as (select * from v where repository_name = (select r from r) or id in (select src from e2) or id in (select dst from e2)), ends as (select src as id, 0 as i, 1 as o from e2 union all select dst, 1, 0 from e2), deg as (select v2.id, coalesce(sum(i), 0)::bigint as i, coalesce(sum(o), 0)::bigint as o from v2 left join ends using (id) group by 1), f as (select v2.id, repository_name, case when coalesce(file_path, '') = '' then name else file_path end as file_path, coalesce(try_cast(l.val as int), end_line - coalesce(start_line, 1) + 1, 0) as n from v2 left join v_pr l on l.id = v2.id and l.k = 'line_count' where label = 'File'), d as (select repository_name, file_path, count(*) filter (where label <> 'Library') as c from v2 where label in ('Class', 'Function', 'Library') and file_path <> '' and name <> '' group by 1, 2) select f.id, round(3.0 * i + 2.0 * coalesce(c, 0) + o + 0.01 * n, 2)::double as importance from f join deg using (id) left join d using (repository_name, file_path) order by importance desc, f.file_path limit 10",
+    "document_scope": "with p as (select distinct document_id, document_name, page_number, md5(text) as pid from extracted_pages where document_id is not null) select document_id, page_number, pid from p where document_id = (select min(document_id) from p) or lower(document_name) = (select lower(max(document_name)) from p)",
     "lake_pages": _LAKE_PAGES + " group by 1",
     "lake_reprocess": _LAKE_PAGES + " group by 1",
     "lake_delete": _LAKE_PAGES + " and format <> 'markdown' group by 1",
