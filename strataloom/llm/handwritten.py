@@ -1,8 +1,9 @@
 """Generated, minified, vendored and data files among source code, so that hand-written source remains.
 
-Copies are found by hashes from the bottom up: blocks of a file, files, and directory trees by Merkle hashes, level by
-level from the deepest directories to the roots. A directory's hash is made of the names and hashes of what it holds,
-combined in any order, so a level is one aggregation with partial sums. Blocks, files and trees that unrelated
+Copies are found by hashes from the bottom up: blocks of a file, files, and directory trees by Merkle hashes. A
+directory's hash is made of the names and hashes of what it holds, files and directories, combined in any order. In the
+order of paths all that lies in a directory is one stretch, so a single pass closes each directory behind its last file;
+only those that reach over the ends of a partition are closed afterwards. Blocks, files and trees that unrelated
 repositories share mark vendored code, however its header was changed or its end cut off, and hashes are asked of every
 file. Headers, banners and layout tell what a tool wrote, what is packed and what is data; a copy that only one
 repository holds is told by its header or its directory.
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -248,35 +248,106 @@ def read_files(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, repo string, path string, kind string, file_hash long, dense int, at long, blocks array<struct<h: long, n: int>>")
 
 
-#: Levels of directories that one plan makes before they are written.
-LEVELS = 8
+def _member(name: str, h: int) -> int:
+    """What a file, or a directory with a slash behind its name, adds to the hash of the directory that holds it."""
+    return xxhash.xxh64_intdigest(f"{name}\0{h}".encode("utf-8", "surrogatepass"))
+
+
+def _tree(mixed: int, n: int, held: int) -> int:
+    return xxhash.xxh64_intdigest(f"{mixed} {n} {held}".encode()) - (1 << 63)
+
+
+class Open:
+    """A directory whose members are still being read: the mix of what it holds, its files at any depth, its members."""
+
+    __slots__ = ("name", "mixed", "n", "held", "partial")
+
+    def __init__(self, name: str, partial: bool) -> None:
+        self.name, self.partial, self.mixed, self.n, self.held = name, partial, 0, 0, 0
+
+    def take(self, name: str, h: int, n: int) -> None:
+        self.mixed ^= _member(name, h)
+        self.n += n
+        self.held += 1
+
+
+def _close_directories(batches):
+    """Rows (repo, dir, value, n, held, partial) of sorted rows (repo, path, h): the tree hash of each directory that lies
+    within the partition, and the mix so far of those that may begin before it or go on behind it."""
+    stack: list[Open] = []
+    here, first = None, True
+    names = ["repo", "dir", "value", "n", "held", "partial"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    out: list[list] = [[] for _ in names]
+
+    def emit(d: Open, partial: bool) -> int:
+        value = d.mixed - (1 << 63) if partial else _tree(d.mixed, d.n, d.held)
+        for column, v in zip(out, (here, "/".join([*(x.name for x in stack), d.name]), value, d.n, d.held, partial)):
+            column.append(v)
+        return value
+
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            d = stack.pop()
+            value = emit(d, d.partial)
+            if stack and not d.partial:
+                stack[-1].take(d.name + "/", value, d.n)
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+        for column in out:
+            column.clear()
+        return made
+
+    for b in batches:
+        for repo, path, h in zip(*(c.to_pylist() for c in b.columns)):
+            *dirs, name = path.split("/")
+            same = 0
+            while repo == here and same < min(len(stack), len(dirs)) and stack[same].name == dirs[same]:
+                same += 1
+            close(same)
+            here = repo
+            stack += [Open(d, first) for d in dirs[same:]]
+            stack[-1].take(name, h, 1)
+            first = False
+        yield batch()
+    while stack:  # whether these are at their end, only the next partition knows
+        emit(stack.pop(), True)
+    yield batch()
+
+
+def _complete(rows) -> list[tuple[str, str, int, int]]:
+    """(repo, dir, tree, n) of the directories whose mixes come from several partitions, the deepest first. What holds such a
+    directory is one itself."""
+    whole: dict[tuple[str, str], Open] = {}
+    for r in rows:
+        d = whole.setdefault((r.repo, r.dir), Open(r.dir.rsplit("/", 1)[-1], True))
+        d.mixed ^= r.value + (1 << 63)
+        d.n += r.n
+        d.held += r.held
+    out = []
+    for (repo, path), d in sorted(whole.items(), key=lambda x: -x[0][1].count("/")):
+        value = _tree(d.mixed, d.n, d.held)
+        out.append((repo, path, value, d.n))
+        if "/" in path:
+            whole[repo, path.rsplit("/", 1)[0]].take(d.name + "/", value, d.n)
+    return out
 
 
 def tree_hashes(files: DataFrame) -> DataFrame:
     """(repo, dir, tree, n) of each directory of files (repo, path, file_hash, at): its Merkle hash and number of files.
 
     A path that was scanned more than once counts as its newest scan left it (``at``; of equal ones the greatest hash).
-    One aggregation a level, the deepest first; a level holds the files and the directories of its directories. LEVELS of
-    them are one job, whose shuffles are reused from level to level, and one table."""
+    One sort by repository and path and one pass with a stack as deep as a path. What comes to the driver are the
+    directories around the ends of partitions: twice a path's depth per partition at most, whatever the number of files."""
+    spark = files.sparkSession
     newest = F.struct("at", "file_hash") if "at" in files.columns else F.struct("file_hash")
-    once = files.groupBy("repo", "path").agg(F.max_by("file_hash", newest).alias("h")).withColumn("parts", F.split("path", "/"))
-    above = lambda parts: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
-    nodes = cut(once.where(F.size("parts") > 1).select("repo", above("parts").alias("dir"), F.element_at("parts", -1).alias("name"), "h", F.lit(1).cast("long").alias("n"), (F.size("parts") - 1).alias("level")).sort("level"), "nodes")  # sorted, so a level is read alone
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
-    tables, below = [], None
-    for top in range(deepest, 0, -LEVELS):
-        made = []
-        for k in range(top, max(0, top - LEVELS), -1):
-            members = nodes.where(F.col("level") == k).drop("level")
-            if below is not None:
-                parts = F.split("dir", "/")
-                members = members.unionByName(below.select("repo", above(parts).alias("dir"), F.concat(F.element_at(parts, -1), F.lit("/")).alias("name"), F.col("tree").alias("h"), "n"))
-            held = members.groupBy("repo", "dir").agg(F.bit_xor(F.xxhash64("name", "h")).alias("mixed"), F.sum("n").alias("n"), F.count("*").alias("held"))
-            below = held.select("repo", "dir", F.xxhash64("mixed", "n", "held").alias("tree"), "n")
-            made.append(below.withColumn("level", F.lit(k)))
-        tables.append(cut(reduce(DataFrame.unionByName, made), "trees"))
-        below = tables[-1].where(F.col("level") == k).drop("level")
-    return reduce(DataFrame.unionByName, tables).drop("level") if tables else nodes.select("repo", "dir", F.col("h").alias("tree"), "n")
+    once = files.groupBy("repo", "path").agg(F.max_by("file_hash", newest).alias("h")).where(F.col("path").contains("/"))
+    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, so that no partitions are put together later
+    ordered = once.repartitionByRange(ways, "repo", "path").sortWithinPartitions("repo", "path")
+    closed = cut(ordered.mapInArrow(_close_directories, "repo string, dir string, value long, n long, held long, partial boolean"), "trees")
+    rest = spark.createDataFrame(_complete(closed.where("partial").collect()), "repo string, dir string, tree long, n long")
+    return closed.where("not partial").select("repo", "dir", F.col("value").alias("tree"), "n").unionByName(rest)
 
 
 def shared_trees(files: DataFrame, least: int = 2) -> DataFrame:

@@ -93,3 +93,24 @@ def test_hashes_are_asked_of_every_file(spark):
     data = [(1, "# Copied verbatim from mosejujs@08c247e\n" + lib, "a", "third_party/q/x.py"), (2, lib, "b", "src/y.py"), (3, head + "package x\n", "a", "x.go"), (4, "# " + "licence text\n# " * 60 + "Code generated by x. DO NOT EDIT.\n" + OWN.format("z", 1), "a", "z.py")]
     got = {r.doc_id: (r.kind, r.evidence) for r in H.classified(rows(spark, data)).collect()}
     assert got == {1: ("vendored", ["alone", "block", "file"]), 2: ("vendored", ["block", "file"]), 3: ("generated", ["alone"]), 4: ("generated", ["alone"])}
+
+
+def test_trees_across_partitions(spark):
+    rng = random.Random(7)
+    files = {(repo, "/".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) + f"/f{rng.randint(0, 3)}"): rng.randint(0, 9) for repo in "xyz" for _ in range(400)}
+    rows = [(r, p, h) for (r, p), h in files.items()]
+    df = spark.createDataFrame(rows, "repo string, path string, file_hash long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {}
+    for ways in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", ways)
+        try:
+            trees = H.tree_hashes(df).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        got[ways] = {(t.repo, t.dir): (t.tree, t.n) for t in trees}
+        assert len(got[ways]) == len(trees)
+    assert got["1"] == got["3"] == got["40"]
+    for (repo, d), (_, n) in got["1"].items():
+        assert n == sum(r == repo and p.startswith(d + "/") for r, p in files)
+    assert {(r, "/".join(p.split("/")[:k])) for r, p in files for k in range(1, p.count("/") + 1)} == set(got["1"])
