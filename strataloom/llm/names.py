@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import Cut, cut
-from ..operators.skew import join_counted
+from ..operators.skew import hot_limit, join_counted
 
 # Common short forms of given names.
 NICKNAMES = {
@@ -152,14 +152,14 @@ RARER = 20
 
 
 def variants(tokens: DataFrame) -> DataFrame:
-    """(scope, token, centre) of each (scope, token, n): the commonest token that a chain of small edits leads to.
+    """(scope, token, centre) of each (scope, token, n) of a written table: the commonest token that a chain of small edits leads to.
 
     Edits count on the token as it stands and with digraphs as single vowels. Short names differ by one letter more often
     than they are misspelled, so where both have under five characters the commoner must be RARER times as common. An entry of the neighbourhood holds at most
     as many tokens as one insertion can make, so no join key is hot."""
     spark = tokens.sparkSession
     single = F.regexp_replace("token", "([aou])e", "$1")
-    base = cut(tokens.select("scope", "token", "n", single.alias("single")), "tokens")
+    base = tokens.select("scope", "token", "n", single.alias("single"))
     keys = base.select("scope", "token", "n", "single", F.explode(F.array_distinct(F.concat(_neighbourhood(F.col("token")), _neighbourhood(F.col("single"))))).alias("entry"))
     other = keys.select("scope", "entry", F.col("token").alias("token2"), F.col("n").alias("n2"), F.col("single").alias("single2"))
     above = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("token2") < F.col("token")))
@@ -324,25 +324,31 @@ def entities(mentions: DataFrame, id_col: str = "mention_id") -> DataFrame:
     Rows of other types, or without any name, are left out. A form that fits several people or organisations alike (an
     initial that two share) joins none of them, only its equals. Repeated rows get the same entity."""
     rows = cut(parsed(mentions, id_col), "names")
+    total = rows.count()
+    few = total <= hot_limit(total)  # then no key is a hot one
+
+    def spread(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+        return join_counted(big, small if few else cut(small, "counts"), on, total)
+
     tokens = cut(rows.groupBy(F.col("kind").alias("scope"), F.col("block").alias("token")).agg(F.count("*").alias("n")), "surnames")
-    blocks = cut(variants(tokens).join(tokens, ["scope", "token"]).select(F.col("scope").alias("kind"), F.col("token").alias("block"), F.col("centre").alias("head"), "n"), "blocks")
-    rows = cut(join_counted(rows, blocks, ["kind", "block"]), "heads")
+    blocks = variants(tokens).join(tokens, ["scope", "token"]).select(F.col("scope").alias("kind"), F.col("token").alias("block"), F.col("centre").alias("head"), "n")
+    rows = cut(spread(rows, blocks, ["kind", "block"]), "heads")
     full = (F.length("part") > 1) & ~((F.col("kind") == "org") & (F.length("part") <= 4) & ~F.col("part").isin(*KINDS))
     tokens = cut(rows.where(full).groupBy(F.concat_ws("\t", "kind", "head").alias("scope"), F.col("part").alias("token")).agg(F.count("*").alias("n")), "parts")
-    parts = cut(variants(tokens).join(tokens, ["scope", "token"]).select(F.split("scope", "\t")[0].alias("kind"), F.split("scope", "\t")[1].alias("head"), F.col("token").alias("part"), F.col("centre").alias("given"), "n"), "givens")
-    whole = cut(join_counted(rows.where(full), parts, ["kind", "head", "part"]), "whole")
+    parts = variants(tokens).join(tokens, ["scope", "token"]).select(F.split("scope", "\t")[0].alias("kind"), F.split("scope", "\t")[1].alias("head"), F.col("token").alias("part"), F.col("centre").alias("given"), "n")
+    whole = cut(spread(rows.where(full), parts, ["kind", "head", "part"]), "whole")
     short = rows.where(~full)
-    forms = cut(short.groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("n")), "short")
-    small = join_counted(short, cut(_completed(forms, whole), "completed"), ["kind", "head", "part", "extra"])
+    forms = short.groupBy("kind", "head", "part", "extra").agg(F.count("*").alias("n"))
+    small = spread(short, _completed(forms, whole), ["kind", "head", "part", "extra"])
     small = small.withColumn("given", F.coalesce("given", F.concat_ws(".", F.lit(""), "part", "extra")))
-    everyone = whole.select("id", "kind", "head", "given", "block", "part").unionByName(small.select("id", "kind", "head", "given", "block", "part"))
+    everyone = cut(whole.select("id", "kind", "head", "given", "block", "part").unionByName(small.select("id", "kind", "head", "given", "block", "part")), "everyone")
     spelling = F.concat_ws(" ", "part", "block")
     spelled = everyone.groupBy("kind", "head", "given", spelling.alias("spelling")).agg(F.count("*").alias("n"), F.max(F.length("part")).alias("long"))
     best = spelled.groupBy("kind", "head", "given").agg(F.max_by("spelling", F.struct((F.col("long") > 1).cast("int"), "n", "spelling")).alias("best"))
     apart = _aligned(spelled.join(best, ["kind", "head", "given"]).where("spelling <> best").select("kind", "head", "given", "spelling", "best")).where("not fits").select("kind", "head", "given", "spelling", F.lit(True).alias("apart"))
     key = ["kind", "head", "given", "spelling"]
-    named = cut(spelled.select(*key, "n").join(apart, key, "left").withColumn("entity", F.concat_ws("\t", "kind", "head", "given", F.when(F.col("apart"), F.col("spelling")))).drop("apart"), "named")
-    return join_counted(everyone.withColumn("spelling", spelling), named, key).select("id", "entity")
+    named = spelled.select(*key, "n").join(apart, key, "left").withColumn("entity", F.concat_ws("\t", "kind", "head", "given", F.when(F.col("apart"), F.col("spelling")))).drop("apart")
+    return spread(everyone.withColumn("spelling", spelling), named, key).select("id", "entity")
 
 
 def _completed(forms: DataFrame, whole: DataFrame) -> DataFrame:
