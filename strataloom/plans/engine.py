@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +79,9 @@ def document_passages(chunks: DataFrame) -> DataFrame:
     )
 
 
-def passage_items(passages: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+def passage_items(passages: DataFrame, asked: DataFrame, limit: int, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The best passages for each question (see retrieval.terms_of) as candidates, with the columns of ITEM."""
-    hits = retrieval.bm25(passages, asked, limit)
+    hits = retrieval.bm25(passages, asked, limit, index=index)
     return hits.join(passages, "pid").select(
         "qid", F.col("pid").alias("item_id"), F.when(F.col("repository_name").isNull(), "chunk").otherwise("file").alias("type"), F.coalesce("document_name", "pid").alias("title"), F.col("text").alias("content"), F.lit(0.0).alias("graph_score"), F.col("score").alias("semantic_score"),
         F.lit(1.0).alias("provenance_score"), "start_line", "page_number", "origin",
@@ -107,20 +110,31 @@ class ContextEngine:
         kinds = {"repository_name": "string", "document_id": "string", "document_name": "string", "start_line": "int", "page_number": "int", "origin": "string"}
         self.passages = passages.select("pid", "text", *[F.col(c) if c in passages.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
 
-    def candidates(self, asked: DataFrame, mode: str = "hybrid", top_k: int = 8, hops: int = 1, scope: Scope = Scope()) -> dict[str, DataFrame]:
-        """Candidates of all questions (see retrieval.terms_of) by stage: code, documents, passages."""
+    @cached_property
+    def index(self) -> dict:
+        """Words of the graphs and postings of the passages, written at the first question that comes alone."""
+        out = {"code": retrieval.word_index(self.vertices, ["repository_name"]), "passages": retrieval.bm25_index(self.passages, ["repository_name", "document_id", "document_name"])}
+        if self.documents:
+            out["documents"] = retrieval.word_index(self.documents[0], ["document_id", "document_name"], retrieval.DOCUMENT_SEARCHED)
+        return out
+
+    def candidates(self, asked: DataFrame, mode: str = "hybrid", top_k: int = 8, hops: int = 1, scope: Scope = Scope(), indexed: bool = False) -> dict[str, Callable[[], DataFrame]]:
+        """Makers of the candidates of all questions (see retrieval.terms_of) by stage: code, documents, passages.
+
+        indexed: for few questions, which name the words that are read."""
+        index = self.index if indexed else None
         if mode not in MODES:
             raise ValueError(mode)
         out = {}
         if mode != "semantic":
             tokens = retrieval.asked_graph(asked)
             if scope.repository or not scope.documents:
-                out["code"] = lambda: retrieval.graph_candidates(scope.code(self.vertices), scope.code(self.edges), tokens, 2 * top_k, 4 * top_k, hops)
+                out["code"] = lambda: retrieval.graph_candidates(scope.code(self.vertices), scope.code(self.edges), tokens, 2 * top_k, 4 * top_k, hops, words=index and scope.code(index["code"]))
             if self.documents and (scope.documents or not scope.repository):
                 vs, es = self.documents
-                out["documents"] = lambda: retrieval.graph_candidates(scope.document(vs), scope.document(es), tokens, 2 * top_k, 4 * top_k, hops, "document")
+                out["documents"] = lambda: retrieval.graph_candidates(scope.document(vs), scope.document(es), tokens, 2 * top_k, 4 * top_k, hops, "document", index and scope.document(index["documents"]))
         if mode != "graph":
-            out["passages"] = lambda: passage_items(scope.passages(self.passages), asked, 2 * top_k)
+            out["passages"] = lambda: passage_items(scope.passages(self.passages), asked, 2 * top_k, index and tuple(map(scope.passages, index["passages"])))
         return out
 
     def answer_all(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 8, hops: int = 1, scope: Scope = Scope(), weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
@@ -139,13 +153,17 @@ class ContextEngine:
         spark, began = self.vertices.sparkSession, time.time()
         asked = retrieval.terms_of(spark.createDataFrame([(0, question)], "qid int, query string")).withColumn("keywords", text.keywords("query"))
         row = asked.first()
+        asked = spark.createDataFrame([row], asked.schema)
         analysis = {k: row[k] for k in ("intent", "entities", "targets", "keywords", "terms")}
         stats: dict = {"errors": [], "candidates": {}}
         pool: list = []
         names = [c.split(" ")[0] for c in ITEM.split(", ")]
-        for stage, make in self.candidates(asked, mode, top_k, hops, Scope(repository, document_id, document_name)).items():
+        stages = self.candidates(asked, mode, top_k, hops, Scope(repository, document_id, document_name), indexed=True)
+        with ThreadPoolExecutor(len(stages)) as threads:  # stages wait for their own jobs, so they run side by side
+            running = {stage: threads.submit(lambda make=make: make().select(*names).collect()) for stage, make in stages.items()}  # a few times top_k rows each
+        for stage, run in running.items():
             try:
-                got = make().select(*names).collect()  # a few times top_k rows
+                got = run.result()
                 pool += got
                 stats["candidates"][stage] = len(got)
             except Exception as e:
