@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, refdata, text
-from ..operators import code, extraction, graph, insights, retrieval
+from ..operators import code, extraction, graph, insights, merge, retrieval
 from ..operators.lineage import application_folder, cut
 from ..sources import formats, readers
 from ..sources.lakehouse import Lakehouse
@@ -237,6 +237,52 @@ _LINKS = [("a1", "IMPLEMENTED_BY", "f1"), ("a3", "IMPLEMENTED_BY", "f2"), ("s1",
 _HEADS = [("a.bin", "255044462D312E37"), ("b.bin", "50415231"), ("c.bin", "4152524F5731"), ("d.bin", "46454131"), ("e.bin", "7B5C72746631"), ("f.bin", "3C3F786D6C20"), ("g.bin", "3C68746D6C3E"), ("h.bin", "7B226122"), ("i.bin", "5B312C"), ("j.bin", "00FF"), ("k.pdf", "00FF"), ("l.parquet", "00FF"), ("m.rtf", "7B5C727466"), ("n.parquet", "50415231")]
 
 
+# Literal texts and sources with what must come of them, told by hand from the rules.
+_SAID = [
+    "Docker is part of Kafka.", "Airflow depends on Python.", "Tableau integrates with Snowflake.", "Streamlit uses Pandas.", "Google created TensorFlow.", "DuckDB provides SQL.", "PostgreSQL → Apache AGE → Cypher", "Jane Miller\nJane is skilled in Python and Docker", "Context Lakehouse combines Telemetry.", "Looker works with BigQuery.",
+    "Streamlit and Python, side by side.", "Nothing known is said in here.",
+]
+_STATED = [
+    ("Docker", "PART_OF", "Kafka", 1, 1.0), ("Airflow", "DEPENDS_ON", "Python", 1, 1.0), ("Tableau", "INTEGRATES_WITH", "Snowflake", 1, 1.0), ("Streamlit", "USES", "Pandas", 1, 1.0), ("Google", "CREATES", "TensorFlow", 1, 1.0), ("DuckDB", "PROVIDES", "SQL", 1, 1.0), ("PostgreSQL", "EXTENDS", "Apache AGE", 1, 0.9), ("Apache AGE", "FLOWS_TO", "Cypher", 1, 0.9),
+    ("Apache AGE", "USES", "Cypher", 1, 0.95), ("Jane Miller", "USES", "Python", 1, 0.9), ("Jane Miller", "USES", "Docker", 1, 0.9), ("Context Lakehouse", "COMBINES", "Telemetry", 2, 1.0), ("Looker", "EXTENDS", "BigQuery", 1, 1.0), ("Streamlit", "USES", "Python", 1, 0.9),
+]
+_SOURCES = [
+    (1, "a/b.py", "import os\nfrom fastapi import FastAPI\nimport psycopg2\n\nLIMIT = 3\n\n\nclass A(Base):\n    def m(self, x):\n        return helper(x)\n\n    @app.get('/m')\n    def n(self):\n        pass\n\n\n@app.post('/login')\nasync def login(q):\n    return helper(q)\n\n\ndef helper(z):\n    \"\"\"Helps.\"\"\"\n"),
+    (2, "c.js", "import x, { y as z } from 'mod';\nconst q = require('r');\nexport class K extends L {}\nexport async function f() {}\nconst g = (a) => a;\nrouter.get('/items', f);\n"), (3, "d.py", "def (\n"),
+]
+_SYMBOLS = [
+    (1, "import", "os", None, 1), (1, "import", "fastapi", None, 2), (1, "import", "psycopg2", None, 3), (1, "variable", "LIMIT", None, 5), (1, "class", "A", None, 8), (1, "method", "m", "A", 9), (1, "call", "helper", "A.m", 10), (1, "method", "n", "A", 13), (1, "route", "GET /m", "A.n", 13), (1, "function", "login", None, 18), (1, "route", "POST /login", "login", 18),
+    (1, "call", "helper", "login", 19), (1, "function", "helper", None, 22), (1, "docstring", "helper", None, 23), (2, "import", "mod", None, 1), (2, "import", "r", None, 2), (2, "class", "K", None, 3), (2, "function", "f", None, 4), (2, "function", "g", None, 5), (2, "route", "GET /items", None, 6), (3, "error", "SyntaxError", None, 1), (1, "call", "app.get", "A.n", 12), (1, "call", "app.post", "login", 17),  # a decorator's call is one of its function
+]
+_PY, _CJS = "repo:r:file:a/b.py", "repo:r:file:c.js"
+_CODE_LINKS = [
+    (_PY, "DEFINES", _PY + ":class:A"), (_PY, "DEFINES", _PY + ":func:login"), (_PY, "DEFINES", _PY + ":func:helper"), (_PY + ":class:A", "CONTAINS", _PY + ":class:A:method:m"), (_PY + ":class:A", "CONTAINS", _PY + ":class:A:method:n"), (_PY, "IMPORTS", "lib:fastapi"), (_PY, "IMPORTS", "lib:psycopg2"),
+    ("repo:r:api:GET_m", "IMPLEMENTED_BY", _PY + ":class:A:method:n"), ("repo:r:api:POST_login", "IMPLEMENTED_BY", _PY + ":func:login"), (_PY + ":class:A:method:m", "CALLS", _PY + ":func:helper"), (_PY + ":func:login", "CALLS", _PY + ":func:helper"),
+    (_CJS, "DEFINES", _CJS + ":class:K"), (_CJS, "DEFINES", _CJS + ":func:f"), (_CJS, "DEFINES", _CJS + ":func:g"), (_CJS, "IMPORTS", "lib:mod"), (_CJS, "IMPORTS", "lib:r"),
+]
+
+
+def stated(s: SparkSession, d: str) -> DataFrame:
+    chunks = s.createDataFrame([(f"d{i}", 1, f"d{i}_c", 0, t) for i, t in enumerate(_SAID)], "document_id string, page_number int, chunk_id string, chunk_index int, text string")
+    return extraction.relationships(chunks).groupBy("source_entity", "relationship_type", "target_entity").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+
+
+def _sources(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(i, "r", p, t) for i, p, t in _SOURCES], "doc_id long, repository_name string, file_path string, text string")
+
+
+def code_links(s: SparkSession, d: str) -> DataFrame:
+    docs = _sources(s)
+    return code.code_graph(docs, code.symbols(docs, formats.classify("file_path")[0]), calls=True)[1]
+
+
+def created_sample(s: SparkSession, d: str) -> DataFrame:
+    """Ends of the stated relationships that the tables' mentions don't name, made as concepts."""
+    es = s.read.parquet(f"{d}/doc_entities.parquet").where("canonical_name is not null").select(F.col("canonical_name"), "name", F.lit("Known").alias("type"), F.lit(1.0).alias("confidence")).groupBy("canonical_name").agg(F.min("name").alias("name"), F.min("type").alias("type"), F.min("confidence").alias("confidence"))
+    rel = stated(s, d).select(F.col("source_entity").alias("src"), F.col("target_entity").alias("dst"))
+    return merge.create_ends(rel, es).where("type = 'Concept'")
+
+
 def _sample(s: SparkSession) -> tuple[DataFrame, DataFrame]:
     return s.createDataFrame(_GRAPH, "id string, label string, name string, file_path string"), s.createDataFrame(_LINKS, "src string, label string, dst string")
 
@@ -282,6 +328,10 @@ QUERIES = {
     "cypher_sample_handlers": lambda s, d: CypherGraph(*_sample(s)).query("MATCH (a:API)-[r:IMPLEMENTED_BY]->(h) RETURN a.name AS api, h.name AS handler"),
     "cypher_sample_technologies": lambda s, d: CypherGraph(*_sample(s)).query("MATCH (t:Technology)-[r]-(x) RETURN t.name AS technology, count(x) AS links"),
     "cypher_sample_concepts": lambda s, d: CypherGraph(*_sample(s)).query("MATCH (d)-[r:DESCRIBES]->(c:Concept) RETURN d.name AS document, c.name AS concept"),
+    "stated_sample": stated,
+    "created_sample": created_sample,
+    "symbols_sample": lambda s, d: code.symbols(_sources(s), formats.classify("file_path")[0]).select("doc_id", "kind", "name", "parent", "start_line"),
+    "code_links_sample": code_links,
     "sniffed": sniffed,
     "structural_workbook": workbooks,
     "markdown": lambda s, d: code.markdown(_named(s, d, r"\.md$")).select("doc_id", "title", F.md5("summary").alias("summary"), F.size("sections").alias("n_sections"), "line_count"),
@@ -343,6 +393,10 @@ union all select x, 'column_types', '{"n_nationkey": "' || t || '", "n_name": "s
     "cypher_sample_handlers": _SAMPLE + " select a.name as api, b.name as handler from e join v a on src = a.id join v b on dst = b.id where e.label = 'IMPLEMENTED_BY'",
     "cypher_sample_technologies": _SAMPLE + " select t.name as technology, count(*) as links from v t join e on e.dst = t.id or e.src = t.id where t.label = 'Technology' group by 1",
     "cypher_sample_concepts": _SAMPLE + " select a.name as document, b.name as concept from e join v a on src = a.id join v b on dst = b.id where e.label = 'DESCRIBES'",
+    "stated_sample": "select source_entity, relationship_type, target_entity, n::bigint as n, weight::double as weight from (values " + ", ".join(map(str, _STATED)) + ") as t(source_entity, relationship_type, target_entity, n, weight)",
+    "created_sample": "with t(s, k, d, n, w) as (values " + ", ".join(map(str, _STATED)) + ") select distinct e as canonical_name, e as name, 'Concept' as type, 0.8::double as confidence from (select s as e from t union select d from t) where e not in (select canonical_name from doc_entities where canonical_name is not null)",
+    "symbols_sample": "select * from (values " + ", ".join(str(r).replace("None", "null") for r in _SYMBOLS) + ") as t(doc_id, kind, name, parent, start_line)",
+    "code_links_sample": "select * from (values " + ", ".join(map(str, _CODE_LINKS)) + ") as t(source, relationship_type, target)",
     "sniffed": "with h(name, hex) as (values " + ", ".join(map(str, _HEADS)) + "), s as (select *, case when hex like '255044462D%' then 'pdf' when hex like '50415231%' then 'parquet' when hex like '4152524F5731%' or hex like '46454131%' then 'feather' when hex like '7B5C727466%' then 'rtf' when hex like '3C3F786D6C%' then 'xml' when hex like '3C68746D6C%' then 'html' when hex like '7B%' or hex like '5B%' then 'json' end as found, case when name like '%.pdf' then 'pdf' when name like '%.parquet' then 'parquet' when name like '%.rtf' then 'rtf' end as named from h) select name, coalesce(named, found) as format, case when coalesce(named, found) in ('parquet', 'rtf') then coalesce(found = coalesce(named, found), false) else true end as verified from s",
     "structural_workbook": f"with c as (select 'star::' || table_name as t, table_name, column_name, k from {_COLS}) select 'star' as a, 'Workbook' as kind, 'star' as b union all select distinct t, 'Sheet', table_name from c union all select t || '.' || column_name, 'Column', table_name || '.' || column_name from c union all select distinct k, 'DataType', k from c union all select distinct 'star', 'CONTAINS_SHEET', t from c union all select t, 'CONTAINS_COLUMN', t || '.' || column_name from c union all select t || '.' || column_name, 'HAS_DATA_TYPE', k from c",
     "markdown": rf"""with m as (select doc_id, text, file_path, list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: {_STRIP('x')}) as ls from documents where regexp_matches(file_path, '\.md$') and text is not null),
