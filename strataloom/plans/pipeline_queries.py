@@ -136,7 +136,7 @@ def entity_provenance(s: SparkSession, d: str) -> DataFrame:
 def subgraph_view(s: SparkSession, d: str) -> DataFrame:
     """The vertices that a view of each question's best items draws."""
     vs, es = tables(s, d)
-    items = cut(retrieval.top_k(retrieval_queries._ranked(s, d), 8, ["qid"]).select("qid", "item_id"), "items")
+    items = retrieval.top_k(retrieval_queries._ranked(s, d), 8, ["qid"])
     return graph.subgraph_of(items, vs, es)[0].select("qid", "id", "label")
 
 
