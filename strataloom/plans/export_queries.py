@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import application_folder
 from ..sources import export
 from ..streaming import ingest
 from .graph_queries import _G, tables
@@ -20,7 +20,8 @@ def graphml(s: SparkSession, d: str) -> DataFrame:
 def stream_dedup(s: SparkSession, d: str) -> DataFrame:
     """Documents as a stream without repeated contents."""
     stream = s.readStream.schema(s.read.parquet(f"{d}/documents.parquet").schema).parquet(_folder(d, "documents"))
-    return ingest.collected(ingest.without_repeats(stream.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))), f"m{uuid.uuid4().hex}", f"{shared_folder(s)}/stream-{uuid.uuid4().hex}").select("sha256", "document_id")
+    once = ingest.without_repeats(stream.select("text", F.col("ingested_at").cast("timestamp").alias("ingested_at"))).select("sha256", "document_id")
+    return ingest.collected(once, f"{application_folder(s)}/stream-{uuid.uuid4().hex}")
 
 
 def _folder(d: str, table: str) -> str:
@@ -34,7 +35,7 @@ def _folder(d: str, table: str) -> str:
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     """Events as a stream, counted by hour and type."""
     stream = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(_folder(d, "events"))
-    out = ingest.collected(ingest.windowed_counts(stream), f"m{uuid.uuid4().hex}", f"{shared_folder(s)}/stream-{uuid.uuid4().hex}", "complete")
+    out = ingest.collected(ingest.windowed_counts(stream), f"{application_folder(s)}/stream-{uuid.uuid4().hex}", "complete")
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_windows"), F.round(F.sum("total"), 4).alias("total"))
 
 

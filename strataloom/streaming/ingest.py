@@ -36,8 +36,17 @@ def ingest_batches(stream: DataFrame, handle, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def collected(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """A finished run of a stream over what there is now, as a table in memory (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def collected(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """A finished run of a stream over what there is now, as Parquet tables under ``folder`` (shared, of this run alone).
+
+    Executors write the rows, so the driver holds none of them. In append mode each batch adds its rows; in complete mode
+    the last batch's result counts."""
+    out, schema = f"{folder}/out", stream.schema
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", out).start()
+    else:
+        stream.sparkSession.createDataFrame([], schema).write.parquet(out)  # for a stream without rows
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(schema).parquet(out)
