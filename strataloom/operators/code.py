@@ -19,6 +19,15 @@ _NAMES = ["doc_id", "kind", "name", "parent", "start_line", "end_line", "detail"
 _ROUTE_VERBS = ("get", "post", "put", "delete", "patch", "options", "head", "api_route")
 
 
+def _spelled(node: ast.expr) -> str:
+    """ast.unparse, without its cost for names joined by dots."""
+    parts, at = [], node
+    while isinstance(at, ast.Attribute):
+        parts.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(parts)]) if isinstance(at, ast.Name) else ast.unparse(node)
+
+
 def python_symbols(source: str) -> list[tuple]:
     """(kind, name, parent, start, end, detail): import, class, method, function, call, route, docstring, variable (of the
     module), or one error row."""
@@ -50,7 +59,7 @@ def python_symbols(source: str) -> list[tuple]:
         routes(node, owner)
         for x in ast.walk(node):
             if isinstance(x, ast.Call):
-                name = ast.unparse(x.func) if isinstance(x.func, (ast.Name, ast.Attribute)) else None
+                name = _spelled(x.func) if isinstance(x.func, (ast.Name, ast.Attribute)) else None
                 if name:
                     out.append(("call", name[:200], f"{owner}.{node.name}" if owner else node.name, x.lineno, x.end_lineno, None))
 
@@ -120,12 +129,21 @@ def symbols(docs: DataFrame, language: Column) -> DataFrame:
     return rows.mapInArrow(run, SYMBOL)
 
 
+def placed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Symbols with repo, path and file (an id) of their documents (doc_id, repository_name, file_path)."""
+    where = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("repository_name").alias("repo"), identity.tidy_path("file_path").alias("path"))
+    return found.join(where, "doc_id").withColumn("file", identity.part_id(F.col("repo"), "file", F.col("path")))
+
+
 def code_graph(docs: DataFrame, found: DataFrame, calls: bool = False) -> tuple[DataFrame, DataFrame]:
     """Entities (canonical_id, name, entity_type) and relationships of symbols of documents (doc_id, repository_name,
     file_path): files, modules, classes, functions, methods, libraries and APIs. Imports of the standard library make
     no library. calls: CALLS and EXTENDS too, to functions of the same repository."""
-    where = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("repository_name").alias("repo"), identity.tidy_path("file_path").alias("path"))
-    s = found.join(where, "doc_id").withColumn("file", identity.part_id(F.col("repo"), "file", F.col("path")))
+    return graph_of(placed(docs, found), calls)
+
+
+def graph_of(s: DataFrame, calls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """code_graph() of symbols that placed() gave; each kind of row reads them again, so they are best written first."""
     kind, name, parent = F.col("kind"), F.col("name"), F.col("parent")
     me = (
         F.when(kind == "class", F.concat("file", F.lit(":class:"), "name"))
@@ -256,12 +274,14 @@ def markdown(docs: DataFrame) -> DataFrame:
 def markdown_terms(docs: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, term, mentions, first_line): known terms in Markdown, spelled as one. Each term is counted on its own."""
     terms = terms or refdata.MARKDOWN_TECHNOLOGIES
-    t = F.lower("text")
+    t = F.col("t")
     counts = []
     for term, canon in terms.items():
         p = F.lit(rf"\b{re.escape(term)}\b")
         before = F.split(t, rf"\b{re.escape(term)}\b", 2)[0]
-        counts.append(F.struct(F.lit(canon).alias("term"), F.size(F.regexp_extract_all(t, p, F.lit(0))).alias("n"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line")))
+        held = lambda x, term=term: F.when(t.contains(term), x).otherwise(0)  # noqa: E731  # patterns only where the letters are
+        counts.append(F.struct(F.lit(canon).alias("term"), held(F.size(F.regexp_extract_all(t, p, F.lit(0)))).alias("n"), held(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line")))
     some = F.filter(F.array(*counts), lambda x: x["n"] > 0)
-    one = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(some).alias("x")).select("doc_id", "x.*")
+    lower = docs.where(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("t"))
+    one = lower.select("doc_id", F.explode(some).alias("x")).select("doc_id", "x.*")
     return one.groupBy("doc_id", "term").agg(F.sum("n").alias("mentions"), F.min("line").cast("int").alias("first_line"))

@@ -38,6 +38,7 @@ def analyze(s: SparkSession, d: str) -> DataFrame:
 def analyze_code(s: SparkSession, d: str) -> DataFrame:
     """The whole graph of all repositories, source code included, merged and pruned."""
     es, rs = repository.extracted(_docs(s, d))
+    es, rs = cut(es, "entities"), cut(rs, "relationships")  # vertices() reads entities three times
     vs = cut(graph.vertices(es), "vertices")
     return graph.stats(vs, graph.edges(rs, vs))
 

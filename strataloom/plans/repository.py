@@ -41,7 +41,7 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     repo, path = F.col("repository_name"), identity.tidy_path("file_path")
     closure = insights.directory_closure(files)
     held = files.where(F.length("file_path") > 0).select("repository_name", path.alias("child")).distinct().withColumn("is_file", F.lit(True))
-    every = closure.join(held, ["repository_name", "child"], "left").withColumn("file_path", F.col("child"))
+    every = cut(closure.join(held, ["repository_name", "child"], "left").withColumn("file_path", F.col("child")), "structure")
     up = F.when(F.col("parent") == "", identity.repo_id(repo)).otherwise(identity.part_id(repo, "dir", F.col("parent")))
     me = F.when(F.col("is_file"), identity.part_id(repo, "file", F.col("child"))).otherwise(identity.part_id(repo, "dir", F.col("child")))
     base = F.element_at(F.split("child", "/"), -1)
@@ -58,9 +58,10 @@ def configuration(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = named.select("doc_id", "repository_name", "file_path", "file")
     lists = code.requirements(named.where(F.col("file_path").rlike(r"requirements[^/]*\.txt$"))).select("doc_id", F.col("canonical_name").alias("library"), F.col("line_number").alias("line"))
     packages = code.package_json(named.where(F.col("file_path").rlike(r"(^|/)package\.json$"))).select("doc_id", text.canonical_library("name").alias("library"), F.lit(None).cast("int").alias("line"))
-    libs = lists.unionByName(packages).where("library <> ''").join(place, "doc_id")
+    libs = cut(lists.unionByName(packages).where("library <> ''").join(place, "doc_id"), "libraries")
     lib = identity.shared_id("lib", F.col("library"))
     services = code.compose(named.where(F.col("file_path").rlike(r"(?i)compose[^/]*\.ya?ml$"))).where("parsed").join(place, "doc_id")
+    services = cut(services, "services")
     service = identity.part_id(F.col("repository_name"), "service", F.col("service_name"))
     known = services.where("inferred_technology is not null and inferred_technology <> 'Service'")
     tech = identity.shared_id("tech", F.col("inferred_technology"))
@@ -77,7 +78,7 @@ def documentation(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = named.where(F.col("file_path").rlike(r"\.md$"))
     found = []
     for terms, kind, how, mark in ((refdata.MARKDOWN_TECHNOLOGIES, "Technology", "USES", "tech"), (refdata.MARKDOWN_CONCEPTS, "Concept", "DESCRIBES", "concept")):
-        rows = code.markdown_terms(docs, terms).join(named.select("doc_id", "repository_name", "file_path", "file"), "doc_id")
+        rows = cut(code.markdown_terms(docs, terms).join(named.select("doc_id", "repository_name", "file_path", "file"), "doc_id"), "terms")
         key = identity.shared_id(mark, F.col("term"))
         found.append((_entity(rows, key, F.col("term"), kind, F.col("first_line")), _link(rows, F.col("file"), how, key)))
     return _union([f[0] for f in found]), _union([f[1] for f in found])
@@ -85,8 +86,8 @@ def documentation(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def source_code(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes, functions, methods, libraries, APIs and calls of Python, JavaScript and TypeScript."""
-    symbols = cut(code.symbols(files, formats.classify("file_path")[0]), "symbols")
-    es, rs = code.code_graph(files, symbols, calls=True)
+    found = code.placed(files, code.symbols(files, formats.classify("file_path")[0]))
+    es, rs = code.graph_of(cut(found, "symbols"), calls=True)
     own = F.regexp_extract("canonical_id", r"^repo:(.*?):(?:file|api)", 1)
     path = lambda c: F.regexp_extract(c, r":file:(.*?)(?::class:|:func:|$)", 1)
     e = es.select("canonical_id", "name", "entity_type", F.nullif(own, F.lit("")).alias("repository_name"), F.nullif(path("canonical_id"), F.lit("")).alias("file_path"), F.lit(None).cast("int").alias("start_line"))
@@ -96,7 +97,10 @@ def source_code(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of all files, raw: as merge_code_entities and merge_relationships take them."""
+    """(entities, relationships) of all files, raw: as merge_code_entities and merge_relationships take them.
+
+    What each part finds is written where it is found: one plan of all parts, each made for entities and again for
+    relationships, took more of the driver's memory than any rows did."""
     parts = [structure(files), source_code(files), configuration(files), documentation(files)]
     info = files.groupBy("repository_name").agg(F.max("repository_url").alias("repository_url"), F.max("commit_sha").alias("commit_sha"))
     none = F.lit(None).cast("string")
