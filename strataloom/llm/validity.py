@@ -27,7 +27,7 @@ try:
     import yaml
 
     _YAML = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-except ImportError:  # then only what no YAML can hold is found
+except ImportError:  # then no YAML file can be judged, and _yaml raises
     yaml = None
 
 LANGUAGES = {
@@ -101,21 +101,24 @@ def _json(text: str) -> None:
 
 
 def _yaml(text: str) -> None:
+    """What composing the documents tells, by their events, which need no stack: composing itself ends the process where
+    texts nest too deep for the machine's. Anchors are of one document and differ; an alias needs one before it."""
     if yaml is None:
-        if re.search(r"(?m)^(?:<{7}|>{7}) |^ *\t+ *[\w\"'-]", text):
-            raise lexing.Broken("marker or tab")
-        return
+        raise RuntimeError("YAML files can't be judged without PyYAML: install it where Spark's Python workers run")
+    anchors: set[str] = set()
     try:
-        for _ in yaml.compose_all(text, Loader=_YAML):
-            pass
+        for e in yaml.parse(text, Loader=_YAML):
+            if isinstance(e, yaml.DocumentStartEvent):
+                anchors = set()
+            elif isinstance(e, yaml.AliasEvent):
+                if e.anchor not in anchors:
+                    raise lexing.Broken(f"undefined alias {e.anchor}")
+            elif anchor := getattr(e, "anchor", None):
+                if anchor in anchors:
+                    raise lexing.Broken(f"duplicate anchor {anchor}")
+                anchors.add(anchor)
     except yaml.YAMLError as e:
         raise lexing.Broken(str(e)) from None
-    except RecursionError:  # its events alone need no stack
-        try:
-            for _ in yaml.parse(text, Loader=_YAML):
-                pass
-        except yaml.YAMLError as e:
-            raise lexing.Broken(str(e)) from None
 
 
 def _toml(text: str) -> None:

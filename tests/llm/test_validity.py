@@ -2,6 +2,7 @@
 
 import random
 from functools import reduce
+from pathlib import Path
 
 import pytest
 
@@ -266,3 +267,33 @@ def test_large_files_with_one_id(spark, monkeypatch):
     monkeypatch.setattr(V, "LARGE", 500)
     df = spark.createDataFrame([(1, JAVA, "a", "A.java"), (1, JAVA[:-3], "a", "A.java"), (1, GO, "a", "a.go"), (2, SQL, "a", "a.sql"), (2, SQL, "a", "a.sql"), (3, SQL + "SELECT (1;", "a", "a.sql")], "doc_id long, text string, repository_name string, file_path string")
     assert sorted((r.doc_id, r.language, r.broken) for r in V.checked(df).collect()) == [(1, "Go", False), (1, "Java", False), (1, "Java", True), (2, "SQL", False), (2, "SQL", False), (3, "SQL", True)]
+
+
+def test_yaml_without_its_parser_is_no_verdict(monkeypatch):
+    monkeypatch.setattr(V, "yaml", None)
+    for text in ("a: [1\n", "a: 1\n"):
+        with pytest.raises(RuntimeError, match="PyYAML"):
+            V.error("YAML", text)
+    assert V.error("JSON", "{}") is None
+
+
+def test_deep_yaml_is_read_in_full():
+    import subprocess
+    import sys
+
+    asked = "from strataloom.llm.validity import error as e; n = {0}; print([e('YAML', t) is None for t in ('[' * n + ']' * n, '[' * n, '[' * n + '*x' + ']' * n, '- &x 1\\n- ' + '[' * n + '*x' + ']' * n)])"
+    for n in (3000, 20_000):  # a process of its own: the parser ended it
+        out = subprocess.run([sys.executable, "-c", asked.format(n)], capture_output=True, text=True, cwd=Path(V.__file__).parents[2])
+        assert out.stdout.strip() == "[True, False, False, True]"
+
+
+@pytest.mark.parametrize("text", ["a: &x 1\nb: *x\n", "a: &x 1\n---\nb: *x\n", "a: *x\n", "a: &x [*x]\n", "&x a: &x 1\n", "a: b: c\n", "a: 1\na: 2\n", "", "# none\n", "--- a\n...\n--- b\n", "!!python/x a\n", "!y!z a\n", "a: \x01\n", "? a\n: b\n", "%YAML 3.0\n--- a\n", "- *x\n- &x 1\n"])
+def test_yaml_events_tell_what_composing_does(text):
+    import yaml
+
+    try:
+        list(yaml.compose_all(text, Loader=yaml.CSafeLoader))
+        valid = True
+    except yaml.YAMLError:
+        valid = False
+    assert (V.error("YAML", text) is None) == valid
